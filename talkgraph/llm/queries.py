@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgraph.llm import copies, fusion
+from talkgraph.llm import copies, fusion, nearest
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -76,8 +76,27 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranked(kg).select("sample_id", "triple_id", "weight_rank", "similarity_rank", "tier_rank", "rrf")
 
 
-QUERIES = {"p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+#: Seconds within which an utterance is given a slide.
+SLIDE_TOLERANCE = 12.0
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = nearest.nearest(spark, (f"{d}/utterances.parquet", "utterance_id", "start_time"), (f"{d}/slides.parquet", "slide_id", "start_time"), "sample_id", SLIDE_TOLERANCE)
+    return found.selectExpr("left_id as utterance_id", "right_id as slide_id").distinct()
+
+
+P3_SQL = """
+with u as (select distinct sample_id, utterance_id, start_time from utterances where start_time is not null),
+s as (select distinct sample_id, slide_id, start_time from slides where start_time is not null),
+j as (select utterance_id, slide_id, row_number() over (partition by u.sample_id, utterance_id, u.start_time order by abs(u.start_time - s.start_time), s.start_time, slide_id) k
+  from u join s on u.sample_id = s.sample_id and abs(u.start_time - s.start_time) <= 12.0)
+select distinct utterance_id, slide_id from j where k = 1
+"""
+
+
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
+    "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
     "p2_statements": _GROUPS + "select triple_id, sample_id, relation, n_copies from g where triple_id = keep_id",
     "p6_found": P6_SQL + "select sample_id, triple_id from k where place <= 5",
