@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgraph.llm import copies, fusion, nearest
+from talkgraph.llm import copies, encode, fusion, mojibake, nearest
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -94,7 +94,23 @@ select distinct utterance_id, slide_id from j where k = 1
 """
 
 
-QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    (docs,) = load(spark, d, "documents")
+    return encode.token_ids(docs, "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    (docs,) = load(spark, d, "documents")
+    return mojibake.restored(docs, "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with their text as far as it can be restored."""
+    (docs,) = load(spark, d, "documents")
+    return mojibake.restored(docs, "doc_id", "text")
+
+
+QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
     "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
