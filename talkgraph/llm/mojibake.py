@@ -23,7 +23,7 @@ ROUNDS = 4
 #: What a decoded span may consist of: letters and signs in common use (fixed values).
 COMMON = frozenset(
     [chr(c) for c in (*range(0xA0, 0x100), *range(0x410, 0x450), 0x401, 0x451, *range(0x391, 0x3CA))]
-    + list("ŒœŠšŽžŁłĆćČčĘęĄąŚśŹźŻżŘřĚěŮůŐőŰűĞğİıŞşƒˆ˜–—‘’‚“”„†‡•…‰‹›€™№→←↑↓∑∞≈≠≤≥√∂∫−×÷")
+    + list("ŒœŠšŽžŸŁłĆćČčĘęĄąŚśŹźŻżŘřĚěŮůŐőŰűĞğİıŞşƒˆ˜–—‘’‚“”„†‡•…‰‹›€™№→←↑↓∑∞≈≠≤≥√∂∫−×÷")
 )
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
