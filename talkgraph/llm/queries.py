@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkgraph.llm import copies, encode, fusion, mojibake, nearest
+from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -99,6 +100,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(docs, "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = load(spark, d, "documents", "heldout_passages")
+    return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents and how much of them at most."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("max_share"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
     return mojibake.restored(docs, "doc_id", "text").select("doc_id").distinct()
@@ -110,7 +125,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(docs, "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
     "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
