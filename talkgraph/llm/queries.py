@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest
+from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -95,6 +95,25 @@ select distinct utterance_id, slide_id from j where k = 1
 """
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """(source, eval_key, train_key, split) of each pair."""
+    gold, train, edges = load(spark, d, "gold_test", "decomposer_train", "supervision")
+    q = overlaps.overlaps(gold, train, "qa_id", ["question"], question=True)
+    e = overlaps.overlaps(edges.where("split in ('dev', 'test')"), edges.where("split = 'train'"), "sample_key", ["head_content", "tail_content"], group="relation")
+    splits = gold.select(F.col("qa_id").alias("eval_key"), "split").union(edges.select("sample_key", "split")).distinct()
+    return q.withColumn("source", F.lit("question")).union(e.withColumn("source", F.lit("edge"))).join(splits, "eval_key")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _overlaps(spark, d)
+    return pairs.select("source", F.least("eval_key", "train_key").alias("key_a"), F.greatest("eval_key", "train_key").alias("key_b")).distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per source and evaluation split."""
+    return _overlaps(spark, d).groupBy("source", "split").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_key").alias("n_eval"), F.countDistinct("train_key").alias("n_train"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
     return encode.token_ids(docs, "doc_id", "text")
@@ -125,7 +144,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(docs, "doc_id", "text")
 
 
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+QUERIES = {"p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
     "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
