@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps
+from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps, scans
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{d}/{n}.parquet") for n in names]
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    regions, chunks = load(spark, d, "visual_regions", "paper_chunks")
+    return scans.cleaned(
+        regions.select(F.lit("visual_regions").alias("source_table"), F.col("region_id").alias("row_key"), F.col("sample_id").alias("session"), scans.page_of("slide_id").alias("page"), F.col("ocr_text").alias("text"))
+        .union(chunks.select(F.lit("paper_chunks"), "chunk_id", "sample_id", "page", "text"))
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d).select("source_table", "row_key", F.explode("noise").alias("noise")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as clean continuous paragraphs, with the noise found in it."""
+    return _scanned(spark, d).withColumn("noise", F.array_join("noise", ","))
+
+
 COPY_KEY = {"id_col": "triple_id", "exact": ["sample_id", "relation"], "text": ["head_content", "tail_content"]}
 
 
@@ -144,7 +161,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(docs, "doc_id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
     "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
