@@ -224,8 +224,8 @@ def cleaned(records: DataFrame) -> DataFrame:
     # headers: keys that recur in their session and stand at a page edge, then every line that has such a key
     at = feats.select("rid", "row_key", "session", F.explode("lines").alias("l")).select("rid", "row_key", "session", "l.*")
     keys = (
-        at.groupBy("session", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"), F.max("edge").alias("edge"))
-        .where(F.col("edge") & (F.col("n") >= HEADER_PAGES) & (F.col("n_own") * 2 >= F.col("n"))).select("session", "key")
+        at.groupBy("session", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"), F.sum(F.col("edge").cast("int")).alias("n_edge"))
+        .where(((F.col("n_edge") >= HEADER_PAGES) | (F.col("n_edge") > 0) & (F.col("n") > HEADER_PAGES)) & (F.col("n_own") * 3 >= F.col("n"))).select("session", "key")
     )
     a, k = at.alias("a"), keys.alias("k")
     headers = a.join(k, (F.col("a.session").eqNullSafe(F.col("k.session"))) & (F.col("a.key") == F.col("k.key"))).groupBy("a.rid", "a.row_key").agg(F.collect_set("a.i").alias("headers"))
