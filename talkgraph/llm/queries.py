@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps, scans
+from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps, pairs, scans
 
 
 def load(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -94,6 +94,11 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranked(kg).select("sample_id", "triple_id", "weight_rank", "similarity_rank", "tier_rank", "rrf")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    (results,) = load(spark, d, "results")
+    return pairs.defects(results)
+
+
 #: Seconds within which an utterance is given a slide.
 SLIDE_TOLERANCE = 12.0
 
@@ -161,7 +166,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(docs, "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
+QUERIES = {"p4_found": p4_found, "p1_found": p1_found, "p1_clean": p1_clean, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored, "p3_found": p3_found, "p2_found": p2_found, "p2_statements": p2_statements, "p6_found": p6_found, "p6_ranking": p6_ranking}
 SQL = {
     "p3_found": P3_SQL,
     "p2_found": _GROUPS + "select keep_id, triple_id from g where keep_id < triple_id",
