@@ -86,7 +86,9 @@ def inside(core: str, longer: str | None) -> bool:
     if at < 0 or at + len(core) >= len(longer):
         return False
     begins = at == 0 or re.search(r"(?:[.,:;]|\b(?:but|yet))\s*$", longer[:at])
-    return bool(begins) and not re.match(r"\s*[.!?]", longer[at + len(core) :])
+    rest = longer[at + len(core) :]
+    opens = re.match(r"\s+([A-ZÀ-Þ][^\W_]*)\s", rest)  # a new sentence after a missing full stop
+    return bool(begins) and not re.match(r"\s*[.!?]", rest) and not (opens and any(opens[1].lower() in ws for ws in STOP.values()))
 
 
 def traits(question: str, response: str, known: float, ended: float, longer: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -114,7 +116,7 @@ def traits(question: str, response: str, known: float, ended: float, longer: lis
             bool(spoken and asked_in and spoken != asked_in), bool(spoken and spoken == asked_in), not spoken,
             cannot and (about or self_) and not named, sorry, self_ and about, cannot, named, about and not named and share < 0.5,
             last and not closed and tail in _DANGLING and sentence, last and bool(re.search(r"[,;:–-]\s*$|\([^)]*$", c)), broken, broken and sentence,
-            last and not closed and any(inside(core, x) for x in longer), last and bool(re.search(r"(?:\.\.|…)\s*$", c)), closed, last and not closed and ended < 1 and sentence, last and not closed, len(own) <= 4, k == 0, last,
+            last and not closed and any(inside(core, x) for x in longer) and not any(x and core + "." in x for x in longer), last and bool(re.search(r"(?:\.\.|…)\s*$", c)), closed, last and not closed and ended < 1 and sentence, last and not closed, len(own) <= 4, k == 0, last,
         ])
     return parts, np.array(rows, float).reshape(len(parts), -1)
 
