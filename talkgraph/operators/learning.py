@@ -19,8 +19,8 @@ def hard_negatives(positives: DataFrame, pool: DataFrame, existing: DataFrame, k
     head, ties by a seeded hash.
 
     positives: edge_id, sample_id, head_id, head_type, head_content, relation, tail_id, tail_type, tail_content;
-    pool: sample_id, id, type, content; existing: head_id, relation, tail_id. Candidates are met on (session,
-    type, word) of the two contents, so only pairs that share a word are scored; those of score 0 fill up.
+    pool: sample_id, id, type, content; existing: head_id, relation, tail_id. Every candidate of the session and
+    type is scored, as those without a common word fill up; only the k best of a positive go beyond a task.
     """
     cand = pool.where("id is not null").select("sample_id", F.col("id").alias("cid"), F.col("type").alias("tail_type"), F.col("content").alias("cc")).dropDuplicates(["sample_id", "cid", "tail_type"])
     c = cand.withColumn("ct", X.tokens(F.coalesce("cc", F.lit(""))))
