@@ -104,3 +104,32 @@ def last_binary(c: Column) -> Column:
 def without_thinking(c: Column) -> Column:
     """What follows a closing thinking tag."""
     return F.trim(F.regexp_replace(c, r"(?s)^.*</think>", ""))
+
+
+def semantic_windows(c: Column, most: int = 2200, lap: int = 250) -> Column:
+    """Sentences packed into windows, each after the first led by the end of the window before it (without that one's own lead).
+
+    A sentence longer than a window is cut into overlapping pieces.
+    """
+    t = squeeze(F.coalesce(c, F.lit("")))
+    sents = F.filter(F.transform(F.split(t, r"(?<=[.!?。！？；;])\s+"), F.trim), lambda x: x != "")
+    step = max(1, most - lap)
+    pieces = lambda s: F.transform(F.sequence(F.lit(0), F.length(s) - 1, F.lit(step)), lambda i: F.trim(F.substring(s, i + 1, F.lit(most))))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+    def add(a: Column, s: Column) -> Column:
+        flushed = F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+        long_, fits = F.length(s) > most, F.length(a["cur"]) + 1 + F.length(s) <= most
+        return F.struct(
+            F.when(long_, F.concat(flushed, F.filter(pieces(s), lambda p: p != ""))).when((a["cur"] == "") | fits, a["done"]).otherwise(flushed).alias("done"),
+            F.when(long_, "").when(a["cur"] == "", s).when(fits, F.concat(a["cur"], F.lit(" "), s)).otherwise(s).alias("cur"),
+        )
+
+    wins = F.aggregate(sents, zero, add, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    led = F.transform(wins, lambda w, i: F.when(i == 0, w).otherwise(F.trim(F.concat(F.trim(F.right(F.element_at(wins, F.greatest(F.lit(1), i)), F.lit(lap))), F.lit(" "), w))))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(led)
+
+
+def prompt(question: Column, context: Column) -> Column:
+    """The prompt of an answering model: what it may use, then the question."""
+    return F.concat(F.lit("Answer from the context only; say so if it does not hold the answer.\n"), F.coalesce(context, F.lit("")), F.lit("\nQuestion: "), question)
