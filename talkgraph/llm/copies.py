@@ -104,5 +104,5 @@ def members(df: DataFrame, id_col: str, exact: list[str], text: list[str]) -> Da
 
 def collapsed(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """df with one record of each group of copies, and n_copies, the number of records in its group."""
-    n = found.groupBy(F.col("keep_id").alias(id_col)).agg(F.count("*").alias("_n"))
-    return df.dropDuplicates([id_col]).join(found, id_col, "left_anti").join(n, id_col, "left").withColumn("n_copies", 1 + F.coalesce("_n", F.lit(0))).drop("_n")
+    n = found.groupBy(F.col("keep_id").alias(id_col)).agg(F.count("*").alias("__copies"))
+    return df.dropDuplicates([id_col]).join(found, id_col, "left_anti").join(n, id_col, "left").withColumn("n_copies", 1 + F.coalesce("__copies", F.lit(0))).drop("__copies")
