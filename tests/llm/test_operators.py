@@ -1,0 +1,226 @@
+"""Operators for training data: hand-made cases, brute force, round trips and held-out accuracy."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from talkgraph.llm import copies, encode, fusion, leaks, mojibake, nearest, overlaps, pairs, scans
+
+KG = "triple_id bigint, sample_id string, relation string, head_content string, tail_content string, extra string, _id string, keep_id string"
+KEY = {"id_col": "triple_id", "exact": ["sample_id", "relation"], "text": ["head_content", "tail_content"]}
+
+
+def groups(spark, rows):
+    df = spark.createDataFrame([(i, s, r, h, t, "e", "x", "y") for i, s, r, h, t in rows], KG)
+    return {(r["keep_id"], r["triple_id"]) for r in copies.members(df, **KEY).collect()}, df
+
+
+def test_copies(spark):
+    rows = [
+        (1, "s", "r", "method: A-b; value: -1.5", "Tail"), (2, "s", "r", "VALUE : −1.5|method :a B ", "tail."), (3, "s", "r", "method: A-b; value: 1.5", "Tail"), (4, "s", "r", "method: A-b; value: -15", "Tail"),
+        (5, "s", "r", "Tail", "method: A-b; value: -1.5"), (6, "z", "r", "method: A-b; value: -1.5", "Tail"), (7, "s", "q", "method: A-b; value: -1.5", "Tail"), (8, "s", "r", None, "Tail"), (9, "s", "r", "", "Tail"),
+        (10, "s", "r", None, "tail"), (11, "s", "r", "...", "Tail"), (12, None, None, "a", "b"), (13, None, None, "A", "b!"), (14, "s", "r", "a; a; b", "x"), (15, "s", "r", "b; a; a", "x"), (16, "s", "r", "a; b; b", "x"),
+        (17, "s", "r", "1 2", "n"), (18, "s", "r", "12", "n"), (19, "s", "r", "x" * 200_000, "n"), (20, "s", "r", "X" * 200_000 + ".", "n"), (20, "s", "r", "X" * 200_000 + ".", "n"),
+    ]
+    got, df = groups(spark, rows)
+    assert got == {(1, 2), (8, 10), (9, 11), (12, 13), (14, 15), (19, 20)}
+    kept = {r["triple_id"]: r["n_copies"] for r in copies.collapsed(df, copies.members(df, **KEY), "triple_id").collect()}
+    assert kept[1] == 2 and kept[3] == 1 and 2 not in kept and len(kept) == 20 - 6
+
+
+def test_copies_of_nothing_and_a_hot_group(spark):
+    assert groups(spark, [])[0] == set()
+    got, _ = groups(spark, [(i, "s", "r", "Hot", "t") for i in range(300)] + [(1000 + i, "s", "r", f"cold {i} x", "t") for i in range(50)])
+    assert got == {(0, i) for i in range(1, 300)}
+
+
+def test_collisions_are_grouped_by_their_fields(spark, monkeypatch):
+    monkeypatch.setattr(copies, "multiset_hash", lambda column, pieces, seed: F.lit(1))
+    assert groups(spark, [(1, "s", "r", "a", "b"), (2, "s", "r", "c", "b"), (3, "s", "r", "C", "b"), (4, "s", "r", "A!", "b")])[0] == {(1, 4), (2, 3)}
+
+
+def near_brute(left, right, tol):
+    out = set()
+    for e, i, t in left:
+        c = [(abs(t - u), u, j) for f, j, u in right if f == e and e is not None and t is not None and u is not None and abs(t - u) <= tol]
+        if c:
+            out.add((i, min(c)[2]))
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 60])
+def test_nearest(spark, tmp_path, n):
+    rng = random.Random(n)
+    t = lambda: rng.choice([None, *[round(rng.random() * 2000, 1) for _ in range(9)]])
+    left = [(rng.choice(["a", "b", None]), f"u{i}", t()) for i in range(n)] + ([("a", "edge", 600.0), ("a", "edge", 600.0)] if n else [])
+    right = [(rng.choice(["a", "b"]), f"s{i}", t()) for i in range(n)] + ([("a", "x", 588.0), ("a", "w", 612.0), ("a", "v", 588.0)] if n else [])
+    schema = "sample_id string, id string, start_time double"
+    spark.createDataFrame(left, schema).selectExpr("sample_id", "id uid", "start_time", "1 side", "2 stretch").write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame(right, schema).selectExpr("sample_id", "id sid", "start_time").write.parquet(f"{tmp_path}/r")
+    got = nearest.nearest(spark, (f"{tmp_path}/l", "uid", "start_time"), (f"{tmp_path}/r", "sid", "start_time"), "sample_id", 12.0).collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == near_brute(left, right, 12.0)
+
+
+TRIPLES = "triple_id bigint, sample_id string, signal_source string, weight double, provenance array<struct<similarity_score:double>>, tier string, rrf string"
+
+
+def test_fusion(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice(["x", "y", None]), rng.choice([None, float("nan"), rng.randrange(5) * 1.0, rng.random() * 900]), [(rng.choice([None, rng.random()]),) for _ in range(rng.randrange(3))], rng.choice(["Strong ", "MEDIUM", "weak", None])) for i in range(200)]
+    got = {r["triple_id"]: r for r in fusion.ranked(spark.createDataFrame([(*r, "x") for r in rows + rows[:5]], TRIPLES)).collect()}
+    ok = lambda w: w is not None and w == w
+    scale = {s: [r[3] for r in rows if r[2] == s and ok(r[3])] for s in ("x", "y", None)}
+    stand = {}
+    for r in rows:
+        sims = [s[0] for s in r[4] if s[0] is not None]
+        stand[r[0]] = (sum(w < r[3] for w in scale[r[2]]) / len(scale[r[2]]) if ok(r[3]) else -1, max(sims, default=-1), {"strong": 2, "medium": 1}.get((r[5] or "").strip().lower(), 0))
+    assert len(got) == 200
+    for r in rows:
+        mates = [x[0] for x in rows if x[1] == r[1]]
+        assert [got[r[0]][c] for c in ("weight_rank", "similarity_rank", "tier_rank")] == [1 + sum(stand[m][k] > stand[r[0]][k] for m in mates) for k in range(3)]
+    assert fusion.top(spark.createDataFrame([], TRIPLES)).count() == 0
+
+
+def test_token_ids_against_a_library(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    enc = encode.encoder(encode.VOCABULARY)
+    ref = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ["", " ", "<|endoftext|> it's", "héllo wörld 日本語 🙂🙂", "a" * 30_000, "\n\n  x", "\u0000​"] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x400, 0x460), rng.randrange(0x1F600, 0x1F640)])) for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert [enc.encode(t) for t in texts] == [ref.encode_ordinary(t) for t in texts] and enc.encode(None) == []
+    table = enc.table
+    assert sorted(table.ids.tolist()) == sorted(enc.ranks.values()) and all(table.get(k) == v for k, v in list(enc.ranks.items())[::500]) and table.get(b"no such token, surely") == -1
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "hi", "z")], "doc_id bigint, text string, ids string")
+    assert {r["doc_id"]: r["ids"] for r in encode.token_ids(df, "doc_id", "text").collect()} == {1: [], 2: [], 3: ref.encode_ordinary("hi")}
+
+
+RIGHT = ["Während des Vortrags wäre die Prüfgröße müßig.", "La medición añadió ¿qué? señales más rápidas.", "Où la méthode échoue, l’exposé « déjà » fini.", "INFORMAÇÃO: a média não é SÃO MÃOS.", "Её проверка — «ИТОГ» см. № 4.", "Score → ∑ᵢ wᵢ·xᵢ ≤ √π 🙂", "20 °C ±2% €5 £3", "演讲内容很短 発表", "plain ascii"]
+
+
+@pytest.mark.parametrize("legacy", ["cp1252", "latin-1", "iso8859_15", "cp1251", "mac_roman", "cp437", "cp850"])
+def test_wrong_decodings_round_trip(legacy):
+    for text in RIGHT[:4]:
+        wrong = text.encode().decode(legacy, "ignore")
+        if wrong.encode(legacy) == text.encode():
+            hit, new, whole = mojibake.restore(wrong)
+            assert hit and new == text, (legacy, wrong, new)
+    assert [t for t in RIGHT if mojibake.restore(t)[0]] == []
+
+
+def test_wrong_decodings_more():
+    twice = "café naïve é".encode().decode("cp1252").encode().decode("cp1252")
+    assert mojibake.restore(twice)[:2] == (True, "café naïve é")
+    ru = "После доклада проверка устойчива. Мы сравнили варианты."
+    assert mojibake.restore(ru.encode("cp1251").decode("latin-1"))[:2] == (True, ru)
+    assert mojibake.restore(ru.encode().decode("cp1252", "replace"))[0] and not mojibake.restore("a�b")[2]
+    assert [mojibake.restore(t)[0] for t in (None, "", "   ", "x" * 300_000)] == [False] * 4
+
+
+ITEM = "The sparse encoder raises recall on FooSet by nine points while the shared decoder keeps eleven frames per batch and drops the rest of them without any warm up at all today"
+
+
+def leaked(*texts):
+    return [bool(leaks.WuManber([(1, ITEM)]).leaked(t)) for t in texts]
+
+
+def test_leaks():
+    w = ITEM.split()
+    slip = ITEM.replace("sparse", "spasre").replace("decoder", "decodder")
+    assert leaked(ITEM, f"intro words {ITEM.upper()}, more.", slip, " ".join(w[:13]) + " other text here " + " ".join(w[18:])) == [True] * 4
+    assert leaked("", " ".join(w[:9]), " ".join(w[:8] + ["x"] + w[9:14]), " ".join(w[:9]) + " z" * 200 + " " + " ".join(w[20:29])) == [False] * 4
+    brute = {i for i in range(len(w) - 12) if leaked(" ".join(w[i : i + 13]))[0]}
+    assert brute == set(range(len(w) - 12))
+
+
+def test_leaks_frame(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a"), (1, ITEM, "a"), (2, None, "b"), (3, "", "c"), (4, "z " * 200_000 + ITEM, "d")], "doc_id bigint, text string, share string")
+    items = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (7, ITEM)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(1, 7), (4, 7)}
+    assert leaks.leaks(docs, "doc_id", "text", items.where("false"), "item_id", "text").count() == 0
+    assert leaks.leaks(docs.where("false"), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+BASE = "How many points of recall at ten does FooSlice gain over BarMatch on BazPrime?"
+SAME = [BASE.upper(), BASE.lower(), "According to the presentation: " + BASE, BASE + " Answer briefly.", "Over BarMatch on BazPrime, how many points of recall at ten does FooSlice gain?", BASE.replace("points", "ponits"), BASE.replace("How many", "How many more"), f"“{BASE}”", BASE + " (one sentence)"]
+OTHER = [BASE.replace("FooSlice", "FooSpan"), BASE.replace("ten", "one"), BASE.replace("recall at ten", "edit similarity"), "How many points of recall at ten does BarMatch gain over FooSlice on BazPrime?", BASE.replace("BazPrime", "BazPrimo")]
+
+
+def test_overlaps(spark):
+    s = "qa_id string, question string, eval_key string"
+    train = spark.createDataFrame([(f"t{i}", q, "x") for i, q in enumerate(SAME + OTHER + [None, "", "x" * 100_000])] + [("t0", SAME[0], "x")], s)
+    held = spark.createDataFrame([("g", BASE, "x"), ("h", None, "x"), ("i", "", "x")], s)
+    got = overlaps.overlaps(held, train, "qa_id", ["question"], question=True).where("eval_key = 'g'").collect()
+    assert {r["train_key"] for r in got} == {f"t{i}" for i in range(len(SAME))} and len(got) == len(SAME)
+    assert overlaps.overlaps(held.where("false"), train, "qa_id", ["question"], question=True).count() == 0
+
+
+def test_edges(spark):
+    f = "method: FooNet; metric: recall; value: -1.5; setting: few-shot"
+    rows = [("1", "r", f, "Slide 5"), ("2", "r", "value = -1.5|setting=few-shot|METHOD: foonet|metric: recal", "slide 5 "), ("3", "r", f, "Slide 6"), ("4", "q", f, "Slide 5"), ("5", "r", f.replace("-1.5", "1.5"), "Slide 5"), ("6", "r", None, "Slide 5")]
+    t = spark.createDataFrame(rows, "k string, relation string, h string, t string")
+    got = overlaps.overlaps(t.where("k = '1'"), t.where("k <> '1'"), "k", ["h", "t"], group="relation").collect()
+    assert {r["train_key"] for r in got} == {"2"}
+
+
+def test_segments_find_what_brute_force_finds():
+    rng = random.Random(2)
+    vocabulary = ["sparse", "dense", "encoder", "decoder", "speaker", "annotators", "shrinks", "steadily", "recordings", "overlap"]
+    make = lambda: " ".join([rng.choice(vocabulary) for _ in range(7)] + [rng.choice(["FooNet", "BarNet", "7", "8"])])
+    slip = lambda t: "".join(c for i, c in enumerate(t) if i != rng.randrange(3, 9)) if rng.random() < 0.5 else t
+    evals = [(f"e{i}", "", (make(),)) for i in range(60)]
+    train = [("", (slip(rng.choice(evals)[2][0]),)) for _ in range(60)] + [("", (make(),)) for _ in range(200)]
+    ix = overlaps.Index(evals, False)
+    C = lambda t: overlaps.Canonical(t, False)
+    for g, ts in train:
+        assert set(ix.twins(g, ts)) == {k for k, _, e in evals if overlaps.agree(C(ts[0]), C(e[0]), False)}
+
+
+PAGES = [
+    ("a", "FooTalk: sparse encoder for slide retrieval\nThe dense workload was mea-\nsured twice on ten recordings.\n3", 3), ("b", "FOOTALK: SPARSE ENCODER FOR SLIDE RETRIEVAL | 4\nThe dense vvorkload was measured with mixed-\nprecision weights.", 4),
+    ("c", "1 Related work\n- Most mixed-precision recordings were measured twice\n- The workload is dense.", 5), ("d", "*FooTalk: sparse encoder for slide retrieva1*\nThe workl0ad is dense and mea¬\nsured.\nPage 6 of 9", 6),
+]
+
+
+def test_scans(spark):
+    filler = [(f"f{i}", f"The workload {i} was measured with mixed-precision weights.", 1) for i in range(12)]
+    rows = [("t", k, "s", p, x, "z") for k, x, p in PAGES + filler] + [("t", "n", "s", None, None, "z"), ("t", "e", None, 1, " ", "z"), ("t", "long", "s", 1, "word " * 60_000, "z"), ("t", "a", "s", 3, PAGES[0][1], "z")]
+    got = {r["row_key"]: r for r in scans.cleaned(spark.createDataFrame(rows, "source_table string, row_key string, session string, page int, text string, rid string")).collect()}
+    assert set(got["a"]["noise"]) == {"header", "hyphenation", "page_number"} and got["a"]["clean_text"] == "The dense workload was measured twice on ten recordings."
+    assert set(got["b"]["noise"]) == {"header", "misread", "page_number"} and "workload was measured with mixed-precision weights" in got["b"]["clean_text"]
+    assert got["c"]["noise"] == [] and got["c"]["clean_text"].count("\n") == 2
+    assert set(got["d"]["noise"]) == {"header", "misread", "hyphenation", "page_number"} and got["d"]["clean_text"] == "The workload is dense and measured."
+    assert got["n"]["noise"] == [] and got["n"]["clean_text"] is None and got["e"]["noise"] == [] and got["long"]["noise"] == [] and len(got) == 19
+
+
+def qa(n):
+    rng = random.Random(n)
+    name = lambda: rng.choice(["Foo", "Bar", "Baz", "Qux"]) + rng.choice(["Net", "Mix", "Cue", "Tree"])
+    q = [lambda a, b: (f"Which metric is reported for {a} in the full-data setting on {b}?", f"The metric reported for {a} in the full-data setting is edit similarity, averaged over {rng.randrange(99)} passages."),
+         lambda a, b: (f"Welche Auswertung nutzt {a} für die Wörter in {b}?", f"{a} nutzt eine kürzere Auswertung, die auf {rng.randrange(99)} Wörter geprüft wurde und um 2.1 Punkte zulegt."),
+         lambda a, b: (f"What limitation of {a} does the speaker mention for table parsing?", f"{a} cannot handle layered tables on a single card, so the speaker advises against it for table parsing.")]
+    return [rng.choice(q)(name(), name()) for _ in range(n)]
+
+
+def test_pairs_held_out():
+    crf = pairs.trained(qa(150))
+    judge = lambda q, a, known=9, longer=None: pairs.defect(crf, q, a, known, known, [longer])
+    for q, a in qa(40)[::2]:
+        other = "The talk reports a rather different result which was checked on the slides." if q.startswith("Welche") else "Das Verfahren nutzt eine kürzere Auswertung, die auf 12 Wörter geprüft wurde und nicht zulegt."
+        assert judge(q, a) is None and judge(q, "Unfortunately the talk is brief here, but " + a) is None
+        assert judge(q, q) == judge(q, q.lower().rstrip("?") + ".") == judge(q, f"Question: {q} Answer:") == "copies_question"
+        assert judge(q, "I am sorry, but I cannot answer this from the given context.") == "refusal"
+        assert judge(q, other) == "wrong_language"
+        assert judge(q, a[: int(len(a) * 0.7)].rsplit(" ", 1)[0] + " of the") == "truncated" and judge(q, a[: int(len(a) * 0.6)] + "xq", 0) == "truncated"
+    assert [judge("Q?", a) for a in (None, "", "  ", "...", "N/A", "null", '""')] == ["empty_answer"] * 7
+    assert judge(None, "A plain answer.") is None
+
+
+def test_pairs_frame(spark):
+    rows = [(i, q, q, a, a, None) for i, (q, a) in enumerate(qa(60))]
+    rows += [(100, "z", qa(1)[0][0], None, "Sorry, I cannot answer this question.", (True,)), (101, "z", qa(1)[0][0], "x " * 50_000, None, (True,)), (102, None, None, None, None, None)]
+    df = spark.createDataFrame(rows + rows[-1:], "result_id bigint, sample_id string, question string, ground_truth_answer string, generated_answer string, llm_evaluation struct<is_unanswerable:boolean>").withColumn("last", F.lit(1)).withColumn("longest", F.lit(2))
+    got = {(r["result_id"], r["answer_field"], r["defect"]) for r in pairs.defects(df).collect()}
+    assert {x for x in got if x[0] < 100} == set()
+    assert (101, "generated_answer", "empty_answer") in got and (102, "ground_truth_answer", "empty_answer") in got and not [x for x in got if x[0] == 100]
+    assert pairs.defects(df.where("false")).count() == 0
