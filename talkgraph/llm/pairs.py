@@ -114,7 +114,7 @@ def traits(question: str, response: str, known: float, ended: float, longer: lis
         rows.append([
             1.0, share >= 0.95, share >= 0.75, share < 0.5, back >= 0.95, back >= 0.7, share >= 0.95 and back >= 0.7,
             bool(spoken and asked_in and spoken != asked_in), bool(spoken and spoken == asked_in), not spoken,
-            cannot and (about or self_) and not named, sorry, self_ and about, cannot, named, about and not named and share < 0.5,
+            cannot and (about or self_) and not named, sorry, self_ and about, cannot, named, about and (cannot or sorry or self_),
             last and not closed and tail in _DANGLING and sentence, last and bool(re.search(r"[,;:–-]\s*$|\([^)]*$", c)), broken, broken and sentence,
             last and not closed and any(inside(core, x) for x in longer) and not any(x and core + "." in x for x in longer), last and bool(re.search(r"(?:\.\.|…)\s*$", c)), closed, last and not closed and ended < 1 and sentence, last and not closed, len(own) <= 4, k == 0, last,
         ])
