@@ -23,6 +23,8 @@ TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 TRAIN_PAIRS = 2000
 #: Share of a response's words that decides its defect.
 COVER = 0.5
+#: Words of a remark that a whole sentence of refusal may be followed by.
+REMARK = 5
 #: A word of small letters that fewer texts than this share hold inside is taken for a piece of one.
 RARE = 2e-4
 
@@ -270,7 +272,9 @@ def defect(crf: CRF, question: str | None, response: str | None, known: float, e
     for t, c in zip(tags, parts):
         size[t] += len(words(c))
     total = sum(size.values())
-    if size["refusal"] and size["refusal"] >= COVER * total and size["answer"] + size["unfinished"] < COVER * total:
+    if size["refusal"] >= COVER * total > 0 and size["answer"] + size["unfinished"] < COVER * total:
+        return "refusal"
+    if any(t == "refusal" and re.search(r"[.!?]$", c.strip()) for t, c in zip(tags, parts)) and size["answer"] <= REMARK:
         return "refusal"
     if size["echo"] >= COVER * total and not size["answer"]:
         return "copies_question"
