@@ -15,6 +15,7 @@ block where it lies, and nothing but the pairs is shuffled.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -178,6 +179,18 @@ def _numbers(canon: list[Canonical]) -> tuple:
     return tuple(tuple(sorted(w for w in c.words if _numeric(w))) for c in canon)
 
 
+_indexes: dict[str, Index] = {}
+
+
+def index_of(name: str, block: list, question: bool) -> Index:
+    """The index of a block, made once in a worker process, which Spark reuses for later tasks."""
+    if name not in _indexes:
+        if len(_indexes) > 1:
+            _indexes.clear()
+        _indexes[name] = Index(block, question)
+    return _indexes[name]
+
+
 def blocks(rows: DataFrame, n_texts: int) -> Iterator[list[tuple[str, str, tuple[str | None, ...]]]]:
     block, size = [], 0
     for key, group, *texts in rows.toLocalIterator():
@@ -206,10 +219,10 @@ def overlaps(held_out: DataFrame, train: DataFrame, key: str, texts: list[str],
     out = train.sparkSession.createDataFrame([], schema)
     names = [f"t{i}" for i in range(len(texts))]
     for block in blocks(whole(held_out), len(texts)):
-        sent = sc.broadcast(block)
+        sent, name = sc.broadcast(block), uuid.uuid4().hex
 
-        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, memo = Index(sent.value, question), {}
+        def run(parts: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
+            index, memo = index_of(name, sent.value, question), {}
             for part in parts:
                 got = []
                 for k, grp, *ts in zip(part["key"], part["grp"], *(part[c] for c in names)):

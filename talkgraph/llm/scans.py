@@ -116,12 +116,12 @@ def header_key(line: str) -> str:
 
 
 def page_number(line: str, place: str, page: int | None) -> bool:
-    """Whether a line is nothing but a printed page number. A bare number inside the page has to be the page's own, give or take one."""
+    """Whether a line is nothing but a printed page number. A bare number inside the page has to be the page's own, give or take one, or what its number ends in."""
     m = _ALONE.fullmatch(line.strip())
     if not m or len(line.strip()) > 24 or "%" in line or re.search(r"\d[.,]\d|\d\W*$(?<=[.;,])", line.strip()):
         return False
     dressed = m[1] or re.fullmatch(r"\[\d+\]|[-–—]\s*\d+\s*[-–—]", line.strip())
-    return bool(dressed) or place == "edge" or (page is not None and abs(int(m[2]) - page) <= 1)
+    return bool(dressed) or place == "edge" or (page is not None and (abs(int(m[2]) - page) <= 1 or str(page).endswith(m[2])))
 
 
 def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, str, bool, bool]], list[tuple[int, str, str, str]], list[int]]:
