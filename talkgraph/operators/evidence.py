@@ -131,3 +131,35 @@ def grid_regions(images: DataFrame) -> DataFrame:
     z = F.lit(0)
     boxes = F.array(F.array(z, z, w, h), F.array(z, z, hw, hh), F.array(hw, z, w, hh), F.array(z, hh, hw, h), F.array(hw, hh, w, h))
     return images.select("slide_id", F.posexplode(boxes).alias("n", "b")).select("slide_id", "n", *(F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+def linked_nodes(nodes: DataFrame, utterances: DataFrame, alignment: DataFrame, chunks: DataFrame, top_utterances: int = 3, top_chunks: int = 3, top_regions: int = 3) -> DataFrame:
+    """Evidence of each node: (node_id, utterances, slides, regions, chunks), arrays of ids in order of preference.
+
+    Utterances by overlap of words (above 0), the slides and regions those are aligned to, each once, and
+    paper chunks by Jaccard of words. Texts are met on (session, word); a node without any match has empty
+    arrays. nodes: sample_id, node_id, content; utterances: sample_id, utterance_id, text; chunks: sample_id,
+    chunk_id, text; alignment: as aligned() gives it.
+    """
+    n = nodes.select("sample_id", "node_id", X.tokens(F.coalesce("content", F.lit(""))).alias("qt")).distinct()
+
+    def met(texts: DataFrame, id_col: str, score: Column, k: int) -> DataFrame:
+        t = texts.where("text is not null").select("sample_id", id_col, X.tokens(F.col("text")).alias("ct")).distinct()
+        pairs = n.select("sample_id", "node_id", F.explode("qt").alias("w"), "qt").join(t.select("sample_id", id_col, F.explode("ct").alias("w")), ["sample_id", "w"]).select("sample_id", "node_id", "qt", id_col).distinct()
+        best = pairs.join(t, ["sample_id", id_col]).groupBy("node_id", id_col).agg(F.max(F.round(score, 6)).alias("score"))
+        w = Window.partitionBy("node_id").orderBy(F.desc("score"), id_col)
+        return best.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+
+    def listed(df: DataFrame, id_col: str, out: str, k: int) -> DataFrame:
+        first = df.where(F.col(id_col).isNotNull()).groupBy("node_id", id_col).agg(F.min("o").alias("o"))
+        w = Window.partitionBy("node_id").orderBy("o", id_col)
+        kept = first.withColumn("p", F.row_number().over(w)).where(F.col("p") <= k)
+        return kept.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", id_col))), lambda x: x[id_col]).alias(out))
+
+    u = met(utterances, "utterance_id", X.overlap(F.col("qt"), F.col("ct")), top_utterances).select("node_id", "utterance_id", "rk")
+    seen = u.withColumnRenamed("rk", "o").join(alignment.select("utterance_id", "slide_id", "region_id", F.coalesce("rk", F.lit(0)).alias("r")), "utterance_id", "left").withColumn("o", F.col("o") * 100 + F.coalesce("r", F.lit(0)))
+    c = met(chunks, "chunk_id", X.jaccard(F.col("qt"), F.col("ct")), top_chunks).select("node_id", "chunk_id", F.col("rk").alias("o"))
+    out = n.select("node_id").distinct()
+    for df, id_col, name, k in ((seen, "utterance_id", "utterances", top_utterances), (seen, "slide_id", "slides", top_utterances), (seen, "region_id", "regions", top_regions), (c, "chunk_id", "chunks", top_chunks)):
+        out = out.join(listed(df, id_col, name, k), "node_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out

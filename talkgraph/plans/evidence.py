@@ -131,3 +131,20 @@ def e01_embeddings(s, d):
     """Offline embeddings of all paper chunks."""
     c = table(s, d, "paper_chunks").where("text is not null").select("chunk_id", "text").distinct()
     return providers.embedded(c, "text").select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+
+
+@query()
+def j10_evidence_links(s, d):
+    """Evidence of every result node, assembled anew from utterances, slides, regions and paper chunks."""
+    n = table(s, d, "evidence_links").where("node_id is not null and node_type = 'Result'").select("sample_id", "node_id", "content")
+    got = E.linked_nodes(n, table(s, d, "utterances"), alignment(s, d), table(s, d, "paper_chunks"))
+    return got.select("node_id", *(F.array_join(c, "|").alias(c) for c in ("utterances", "slides", "regions", "chunks")))
+
+
+@query()
+def c08_claim_windows(s, d):
+    """Each claim with its related nodes and the chunks of its evidence, as lists."""
+    rel = j11_related_nodes(s, d)
+    ev = E.claim_evidence(rel, table(s, d, "evidence_links")).groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]), "|").alias("chunks"))
+    nodes = rel.groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "rk", "node_id"))), lambda x: x["node_id"]), "|").alias("nodes"))
+    return nodes.join(ev, "claim_id", "left").select("claim_id", "nodes", F.coalesce("chunks", F.lit("")).alias("chunks"))
