@@ -174,3 +174,22 @@ def test_bitmaps_round_trip():
         bits = np.zeros(1 << O.RANGE_BITS, np.uint8)
         bits[np.random.default_rng(1).choice(1 << O.RANGE_BITS, n, replace=False)] = 1
         assert (O.unpack(O.pack(np.packbits(bits, bitorder="little").tobytes())) == bits.astype(bool)).all()
+
+
+def test_references_of_tables_with_clashing_columns(spark):
+    t = datetime(2030, 1, 1)
+    kg = spark.createDataFrame([(1, "a", "Slide", "b", "ProsodyEvent", t, "x", "y", "z"), (2, None, "Slide", "c", "Claim", None, "x", "y", "z"), (2, None, "Slide", "c", "Claim", None, "x", "y", "z")], "triple_id bigint, head_id string, head_type string, tail_id string, tail_type string, written_at timestamp_ntz, e string, at string, kind string")
+    links = spark.createDataFrame([("n", t, [("r1",), (None,)], None, "q"), (None, t, [], None, "q"), ("m", t, None, t, "q")], "node_id string, written_at timestamp_ntz, visual_regions array<struct<region_id:string>>, deleted_at timestamp_ntz, ref_id string")
+    refs = O.triple_refs(kg).union(O.region_refs(links))
+    assert sorted((r["source_table"], r["ref_field"], r["kind"], r["ref_id"]) for r in refs.distinct().collect()) == [("evidence_links", "region_id", "region", "r1"), ("kg_triples", "head_id", "slide", "a"), ("kg_triples", "tail_id", "node", "c")]
+    none = spark.createDataFrame([], "slide_id string, region_id string, chunk_id string, utterance_id string, written_at timestamp_ntz, deleted_at timestamp_ntz, born string")
+    found = O.orphans(refs, O.parents(none, none, none, none, links))
+    assert {(r["source_key"], r["ref_id"], r["status"]) for r in found.collect()} == {("1", "a", "missing"), ("2", "c", "missing"), ("n", "r1", "missing")}
+    assert {(r["source_table"], r["n_refs"]) for r in O.orphan_report(found).collect()} == {("kg_triples", 1), ("evidence_links", 1)}
+
+
+def test_a_hot_reference(spark):
+    t = datetime(2030, 1, 2)
+    refs = spark.createDataFrame([("t", str(i), "f", "region", "hot" if i % 3 == 0 else f"r{i}", t) for i in range(300)], REFS)
+    assert O.orphans(refs, spark.createDataFrame([], ROWS)).count() == 300
+    assert O.orphans(refs, spark.createDataFrame([("region", "hot", datetime(2030, 1, 1), None)], ROWS)).count() == 200
