@@ -224,3 +224,17 @@ def test_pairs_frame(spark):
     assert {x for x in got if x[0] < 100} == set()
     assert (101, "generated_answer", "empty_answer") in got and (102, "ground_truth_answer", "empty_answer") in got and not [x for x in got if x[0] == 100]
     assert pairs.defects(df.where("false")).count() == 0
+
+
+def test_wrong_decodings_frame(spark):
+    wrong = "cafÃ© naÃ¯ve"
+    df = spark.createDataFrame([(1, wrong, "x", True), (1, wrong, "x", True), (2, None, "x", True), (3, "", "x", True), (4, "plain", "x", True), (5, "x " * 100_000 + wrong, "x", True)], "doc_id bigint, text string, restored string, whole boolean")
+    got = {r["doc_id"]: (r["restored"][-10:], r["whole"]) for r in mojibake.restored(df, "doc_id", "text").collect()}
+    assert got == {1: ("café naïve", True), 5: ("café naïve", True)}
+    assert mojibake.restored(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_scans_and_tokens_of_nothing(spark):
+    none = spark.createDataFrame([], "source_table string, row_key string, session string, page int, text string")
+    assert scans.cleaned(none).count() == 0
+    assert encode.token_ids(none.selectExpr("row_key doc_id", "text"), "doc_id", "text").count() == 0
