@@ -80,11 +80,12 @@ def members(df: DataFrame, id_col: str, exact: list[str], text: list[str]) -> Da
     all rows is one row a task; the join back is an inner sort-merge join, whose large partitions Spark's
     adaptive execution splits.
     """
-    rows = fingerprinted(df, id_col, exact, text)
-    groups = (
-        rows.groupBy("_f1", "_f2").agg(F.min("_id").alias("keep_id"), F.max("_id").alias("_last")).where("keep_id < _last").drop("_last")
-    )
-    grouped = written(rows.join(groups, ["_f1", "_f2"]), "copies")
+    marks = written(fingerprinted(df, id_col, exact, text).select("_id", "_f1", "_f2"), "copies-marks")
+    groups = marks.groupBy("_f1", "_f2").agg(F.min("_id").alias("keep_id"), F.max("_id").alias("_last")).where("keep_id < _last").drop("_last")
+    ids = written(marks.join(groups, ["_f1", "_f2"]).dropDuplicates(["_id", "_f1", "_f2"]), "copies-ids")
+    # the fields are needed of records in groups only
+    own = df.join(ids.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
+    grouped = written(fingerprinted(own, id_col, exact, text).join(ids, ["_id", "_f1", "_f2"]), "copies")
     keeper = grouped.where("_id = keep_id").dropDuplicates(["_f1", "_f2"]).select("_f1", "_f2", *(F.col(c).alias(f"k{c}") for c in grouped.columns if c[:2] in ("_x", "_t")))
     same = reduce(
         lambda a, b: a & b,
