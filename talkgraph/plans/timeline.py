@@ -238,6 +238,14 @@ def pred06_embedding_noise(s, d):
     return table(s, d, "paper_chunks").where(F.length(F.coalesce("text", F.lit(""))) < 100).select("chunk_id", "text").distinct().select("chunk_id", X.too_noisy(F.col("text")).alias("noisy"))
 
 
+@query(r"""with t as (select chunk_id, trim(regexp_replace(coalesce(text,''),'[ \t\n\r\f\v]+',' ','g')) t from (select distinct chunk_id, text from paper_chunks)),
+c as (select *, length(t) n, length(regexp_replace(t,'[^\p{L}\p{N}]','','g')) a, length(regexp_replace(t,'[\p{L}\p{N} ]','','g')) p from t)
+select chunk_id, n = 0 or (n >= 120 and a/n < 0.30 and p/n > 0.35) or (n >= 120 and contains(t,'…') and p/n > 0.42) noisy from c""")
+def pred06_embedding_noise_all(s, d):
+    """Chunks of every length; pred06_embedding_noise has those under 100 characters, as its SQL has."""
+    return table(s, d, "paper_chunks").select("chunk_id", "text").distinct().select("chunk_id", X.too_noisy(F.col("text")).alias("noisy"))
+
+
 @query("select relation, count(*) n from (select case " + " ".join(f"when {' or '.join(f'''contains(lower(question), {chr(39)}{c}{chr(39)})''' for c in cues)} then '{r}'" for r, cues in O.QUESTION_CUES) + " else 'supported_by' end relation from gold_test where question is not null) group by 1")
 def f30_question_relation(s, d):
     return table(s, d, "gold_test").where("question is not null").select(X.question_relation(F.col("question")).alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
