@@ -13,6 +13,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,10 +25,8 @@ SEED = 4
 MIN_RUN = 9
 #: Share of the item's words that has to stand in runs, within STRETCH times the item's length.
 SHARE, STRETCH = 0.4, 2.0
-#: A window of STOCK_WORDS words in at least STOCK_ITEMS items is a stock sentence's.
+#: A window of STOCK_WORDS words in at least STOCK_ITEMS items of different wording is a stock sentence's.
 STOCK_WORDS, STOCK_ITEMS = 8, 3
-#: Patterns that more items share tell nothing apart and are left to the others of the same run.
-MAX_SHARED = 3
 #: Bytes of item text searched for at once; larger item sets are searched in blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -38,6 +37,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@lru_cache(1 << 16)
 def near(a: str, b: str) -> bool:
     """Equal but for a spelling slip: one edit (a swap of neighbours is one), two in words of nine letters or more."""
     if a == b:
@@ -65,7 +65,11 @@ class WuManber:
     """All items' patterns, for one pass over each document."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.words = {i: words(t) for i, t in items}
+        self.same: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, ws in {i: words(t) for i, t in items}.items():
+            self.same[tuple(ws)].append(i)
+        #: One item stands for all of the same wording.
+        self.words = {same[0]: ws for ws, same in self.same.items()}
         self.ids: dict[str, int] = {}
         for ws in self.words.values():
             for w in ws:
@@ -84,8 +88,6 @@ class WuManber:
         self.shift: dict[int, int] = {}
         self.bucket: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(dict)
         for pattern, places in where.items():
-            if len({i for i, _ in places}) > MAX_SHARED:
-                continue
             for k in range(1, SEED):
                 block = pattern[k - 1] * self.base + pattern[k]
                 self.shift[block] = min(self.shift.get(block, SEED - 1), SEED - 1 - k)
@@ -115,10 +117,10 @@ class WuManber:
                 continue
             ws = self.words[item]
             a, q = at, p
-            while a and q and near(own[a - 1], ws[q - 1]):
+            while a and q and (own[a - 1] == ws[q - 1] or near(own[a - 1], ws[q - 1])):
                 a, q = a - 1, q - 1
             b, r = at + SEED, p + SEED
-            while b < len(own) and r < len(ws) and near(own[b], ws[r]):
+            while b < len(own) and r < len(ws) and (own[b] == ws[r] or near(own[b], ws[r])):
                 b, r = b + 1, r + 1
             done[item, at - p] = b
             if b - a >= MIN_RUN:
@@ -126,13 +128,16 @@ class WuManber:
         return out
 
     def leaked(self, text: str) -> dict[int, float]:
-        """item -> the largest share of its words that stands in runs within one stretch, if that is enough."""
+        """item -> the largest share of its words that stands in runs within one stretch, if that is enough.
+
+        A run of nothing but stock does not count; of any other run every word does.
+        """
         out = {}
         for item, runs in self.runs(text).items():
             n, stock = len(self.words[item]), self.stock[item]
             if sum(r[2] for r in runs) < SHARE * n:
                 continue
-            place = sorted((a + k, q + k) for a, q, m in runs for k in range(m) if q + k not in stock)
+            place = sorted((a + k, q + k) for a, q, m in runs if not stock.issuperset(range(q, q + m)) for k in range(m))
             count: Counter = Counter()
             start = best = 0
             for at, q in place:
@@ -145,7 +150,7 @@ class WuManber:
                     start += 1
                 best = max(best, len(count))
             if best >= SHARE * n:
-                out[item] = best / n
+                out.update(dict.fromkeys(self.same[tuple(self.words[item])], best / n))
         return out
 
 
