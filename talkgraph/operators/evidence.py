@@ -94,6 +94,11 @@ def edge_text(relation: Column, head: Column, tail: Column) -> Column:
     return F.trim(F.concat(P.text(head), F.lit(" "), phrase, F.lit(" "), P.text(tail)))
 
 
+def paper_targets(triples: DataFrame) -> DataFrame:
+    """Triples that should have paper evidence and have none."""
+    return triples.where((P.weight(F.col("relation"), "paper") > 0) & (F.coalesce(F.size(P.items(F.col("provenance"), "paper")), F.lit(0)) <= 0))
+
+
 def paper_repairs(triples: DataFrame, edge_vectors: DataFrame, chunk_vectors: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(triple_id, chunk_id, similarity): the nearest chunk of the session for edges that should have paper evidence and have none, if near enough.
 
@@ -101,7 +106,7 @@ def paper_repairs(triples: DataFrame, edge_vectors: DataFrame, chunk_vectors: Da
     """
     from talkgraph.functions.vectors import dot
 
-    need = triples.where((P.weight(F.col("relation"), "paper") > 0) & (F.coalesce(F.size(P.items(F.col("provenance"), "paper")), F.lit(0)) <= 0)).select("triple_id", "sample_id")
+    need = paper_targets(triples).select("triple_id", "sample_id")
     met = need.join(edge_vectors, "triple_id").join(chunk_vectors, "sample_id").select("triple_id", "chunk_id", F.round(dot(F.col("qv"), F.col("v")), 4).alias("similarity"))
     best = met.groupBy("triple_id").agg(F.max(F.struct("similarity", "chunk_id")).alias("b"))
     return best.select("triple_id", "b.chunk_id", "b.similarity").where(F.col("similarity") >= threshold)

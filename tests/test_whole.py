@@ -1,7 +1,10 @@
 """Registered queries over whole tables, beside brute force."""
 
+from talkgraph.functions import ontology as O
 from talkgraph.llm import leaks
-from talkgraph.plans import timeline
+from talkgraph.plans import evidence, timeline
+
+PROV = "array<struct<source_type:string,slide_id:string,region_id:string,chunk_id:string,page:int>>"
 
 
 def stored(spark, folder, **tables):
@@ -36,3 +39,12 @@ def test_leaks_around_stock():
     assert leaks.WuManber([(i, " ".join(item(0))) for i in range(5)]).leaked(" ".join(w)) == dict.fromkeys(range(5), 1.0)
     mixed = [[f"c{i}"] + [f"p{k // 4 * 4}q{k % 4}" for k in range(i % 2 * 4, i % 2 * 4 + 4)] * 3 for i in range(10)]
     assert set(leaks.WuManber([(i, " ".join(m)) for i, m in enumerate(mixed)] + [(99, "p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")]).leaked("p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")) >= {99}
+
+
+def test_paper_repairs_of_every_relation(spark, tmp_path):
+    rows = [(i, "s", r, "dense encoder", "sparse decoder", []) for i, r in enumerate(O.WEIGHTS)] + [(90 + i, "s", r, "dense encoder", "sparse decoder", [("paper", None, None, "c1", 1)]) for i, r in enumerate(O.WEIGHTS)]
+    chunks = [("s", f"c{i}", f"dense encoder {p} sparse decoder") for i, p in enumerate(O.PHRASES.values())] + [("z", "c9", "dense encoder sparse decoder")]
+    d = stored(spark, tmp_path, kg_triples=(rows, f"triple_id int, sample_id string, relation string, head_content string, tail_content string, provenance {PROV}"), paper_chunks=(chunks, "sample_id string, chunk_id string, text string"))
+    got = {r["triple_id"]: (r["chunk_id"], r["similarity"]) for r in evidence.j29_paper_repairs(spark, d).collect()}
+    where = {r: f"c{i}" for i, r in enumerate(O.PHRASES)}
+    assert got == {i: (where[r], 1.0) for i, (r, w) in enumerate(O.WEIGHTS.items()) if w[2] > 0} and len(got) == 6
