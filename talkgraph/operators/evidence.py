@@ -142,7 +142,8 @@ def linked_nodes(nodes: DataFrame, utterances: DataFrame, alignment: DataFrame,
     """Evidence of each node: (node_id, utterances, slides, regions, chunks), arrays of ids in order of preference.
 
     Utterances by overlap of words (above 0), the slides and regions those are aligned to, each once, and
-    paper chunks by Jaccard of words. Texts are met on (session, word); a node without any match has empty
+    paper chunks by Jaccard of words. Nodes meet all texts of their session,
+    as keys of (session, word) take many times the disk; a node without any match has empty
     arrays. nodes: sample_id, node_id, content; utterances: sample_id, utterance_id, text; chunks: sample_id,
     chunk_id, text; alignment: as aligned() gives it.
     """
@@ -150,8 +151,7 @@ def linked_nodes(nodes: DataFrame, utterances: DataFrame, alignment: DataFrame,
 
     def met(texts: DataFrame, id_col: str, score: Column, k: int) -> DataFrame:
         t = texts.where("text is not null").select("sample_id", id_col, X.tokens(F.col("text")).alias("ct")).distinct()
-        pairs = n.select("sample_id", "node_id", F.explode("qt").alias("w"), "qt").join(t.select("sample_id", id_col, F.explode("ct").alias("w")), ["sample_id", "w"]).select("sample_id", "node_id", "qt", id_col).distinct()
-        best = pairs.join(t, ["sample_id", id_col]).groupBy("node_id", id_col).agg(F.max(F.round(score, 6)).alias("score"))
+        best = n.join(t, "sample_id").where(F.arrays_overlap("qt", "ct")).groupBy("node_id", id_col).agg(F.max(F.round(score, 6)).alias("score"))
         w = Window.partitionBy("node_id").orderBy(F.desc("score"), id_col)
         return best.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 

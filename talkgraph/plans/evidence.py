@@ -135,8 +135,8 @@ def e01_embeddings(s, d):
 
 @query()
 def j10_evidence_links(s, d):
-    """Evidence of every result node, assembled anew from utterances, slides, regions and paper chunks."""
-    n = table(s, d, "evidence_links").where("node_id is not null and node_type = 'Result'").select("sample_id", "node_id", "content")
+    """Evidence of every node, assembled anew from utterances, slides, regions and paper chunks."""
+    n = table(s, d, "evidence_links").where("node_id is not null").select("sample_id", "node_id", "content")
     got = E.linked_nodes(n, table(s, d, "utterances"), alignment(s, d), table(s, d, "paper_chunks"))
     return got.select("node_id", *(F.array_join(c, "|").alias(c) for c in ("utterances", "slides", "regions", "chunks")))
 

@@ -208,6 +208,24 @@ def j09_overlap_topn(s, d):
     return top_by_words(nodes, utt, X.overlap(F.col("qt"), F.col("ct")), "utterance_id", 3)
 
 
+@query()
+def j08_jaccard_topk_all(s, d):
+    """Nodes of every type; j08_jaccard_topk has results only, as its SQL has."""
+    chunks = table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", X.tokens(F.col("text")).alias("ct")).distinct()
+    return top_by_words(all_nodes(s, d), chunks, X.jaccard(F.col("qt"), F.col("ct")), "chunk_id", 3)
+
+
+@query()
+def j09_overlap_topn_all(s, d):
+    """Nodes of every type; j09_overlap_topn has methods only, as its SQL has."""
+    utt = table(s, d, "utterances").where("text is not null").select("sample_id", "utterance_id", X.tokens(F.col("text")).alias("ct")).distinct()
+    return top_by_words(all_nodes(s, d), utt, X.overlap(F.col("qt"), F.col("ct")), "utterance_id", 3)
+
+
+def all_nodes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "evidence_links").where("node_id is not null").select("sample_id", "node_id", X.tokens(F.coalesce("content", F.lit(""))).alias("qt")).distinct()
+
+
 def top_by_words(nodes: DataFrame, texts: DataFrame, score, out: str, k: int) -> DataFrame:
     """Top k texts of the session by a score of the word sets (qt, ct): texts are met on (session, word), so that none without a common word is scored."""
     t = texts.select("sample_id", out, "ct")

@@ -1,8 +1,10 @@
 """Registered queries over whole tables, beside brute force."""
 
+import re
+
 from talkgraph.functions import ontology as O
 from talkgraph.llm import leaks
-from talkgraph.plans import evidence, timeline
+from talkgraph.plans import evidence, learning, timeline
 
 PROV = "array<struct<source_type:string,slide_id:string,region_id:string,chunk_id:string,page:int>>"
 
@@ -48,3 +50,39 @@ def test_paper_repairs_of_every_relation(spark, tmp_path):
     got = {r["triple_id"]: (r["chunk_id"], r["similarity"]) for r in evidence.j29_paper_repairs(spark, d).collect()}
     where = {r: f"c{i}" for i, r in enumerate(O.PHRASES)}
     assert got == {i: (where[r], 1.0) for i, (r, w) in enumerate(O.WEIGHTS.items()) if w[2] > 0} and len(got) == 6
+
+
+NODES = [("s", f"n{i}", t, c) for i, (t, c) in enumerate([("Claim", "dense encoder wins"), ("Dataset", "FooSet of talks"), ("Metric", "recall at ten"), ("Limitation", "slow decoder"), ("Method", "sparse decoder"), ("Result", "recall of nine"), ("Claim", None)])]
+TEXTS = ["the dense encoder", "recall at nine", "a slow decoder of talks", "FooSet", "sparse words", "nothing shared", "ten talks of nine"]
+
+
+def toks(t):
+    return set(re.findall("[a-z0-9_]+", (t or "").lower()))
+
+
+def best(score, k=3):
+    """node -> its k best texts by brute force."""
+    out = {}
+    for _, n, _, c in NODES:
+        scored = sorted((-round(score(toks(c), toks(t)), 6), i) for i, t in enumerate(TEXTS) if toks(c) & toks(t))
+        out[n] = [i for _, i in scored[:k]]
+    return out
+
+
+def test_evidence_of_nodes_of_every_type(spark, tmp_path):
+    d = stored(
+        spark, tmp_path,
+        evidence_links=(NODES, "sample_id string, node_id string, node_type string, content string"),
+        paper_chunks=([("s", f"c{i}", t) for i, t in enumerate(TEXTS)] + [("z", "c9", "dense encoder wins")], "sample_id string, chunk_id string, text string"),
+        utterances=([("s", f"u{i}", t, float(i), i + 1.0) for i, t in enumerate(TEXTS)], "sample_id string, utterance_id string, text string, start_time double, end_time double"),
+        slides=([("s", "p1", 0.0, 99.0)], "sample_id string, slide_id string, start_time double, end_time double"),
+        visual_regions=([("p1", "r1", "x", None, None, None)], "slide_id string, region_id string, ocr_text string, visual_summary string, chart_type string, entities array<string>"),
+    )
+    jac, over = best(lambda a, b: len(a & b) / len(a | b)), best(lambda a, b: len(a & b) / min(len(a), len(b)))
+    assert all(v for n, v in jac.items() if n != "n6") and jac["n6"] == []
+    rows = {r["node_id"]: r for r in evidence.j10_evidence_links(spark, d).collect()}
+    assert {n: r["chunks"] for n, r in rows.items()} == {n: "|".join(f"c{i}" for i in v) for n, v in jac.items()}
+    assert {n: r["utterances"] for n, r in rows.items()} == {n: "|".join(f"u{i}" for i in v) for n, v in over.items()}
+    for name, col, pre, want in (("j08_jaccard_topk_all", "chunk_id", "c", jac), ("j09_overlap_topn_all", "utterance_id", "u", over)):
+        got = {(r["node_id"], r["rk"], r[col]) for r in learning.QUERIES[name](spark, d).collect()}
+        assert got == {(n, k, f"{pre}{i}") for n, v in want.items() for k, i in enumerate(v, 1)}
