@@ -48,6 +48,14 @@ def j22_hard_negatives(s, d):
     return M.hard_negatives(pos, pool, table(s, d, "kg_triples").select("head_id", "relation", "tail_id").where("head_id is not null and tail_id is not null"))
 
 
+@query()
+def j22_hard_negatives_all(s, d):
+    """Positives of every split; j22_hard_negatives has those of dev, as its SQL has."""
+    pos = table(s, d, "supervision").where("coalesce(negative_type, '') = ''").withColumnRenamed("sample_key", "edge_id").select("edge_id", "sample_id", "head_id", "head_type", "head_content", "relation", "tail_id", "tail_type", "tail_content")
+    pool = table(s, d, "evidence_links").where("node_id is not null").groupBy("sample_id", F.col("node_id").alias("id"), F.col("node_type").alias("type")).agg(F.min("content").alias("content"))
+    return M.hard_negatives(pos, pool, table(s, d, "kg_triples").select("head_id", "relation", "tail_id").where("head_id is not null and tail_id is not null"))
+
+
 @query("""with c as (select relation, count(*) c from supervision group by 1), t as (select sum(c)::bigint n, count(*) r from c)
 select sample_key, round(coalesce(sample_weight,1.0)*n/(r*c),6) weight from supervision join c using (relation), t""")
 def a23_balanced_weights(s, d):

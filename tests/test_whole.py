@@ -1,5 +1,6 @@
 """Registered queries over whole tables, beside brute force."""
 
+import hashlib
 import re
 
 from talkgraph.functions import ontology as O
@@ -86,3 +87,20 @@ def test_evidence_of_nodes_of_every_type(spark, tmp_path):
     for name, col, pre, want in (("j08_jaccard_topk_all", "chunk_id", "c", jac), ("j09_overlap_topn_all", "utterance_id", "u", over)):
         got = {(r["node_id"], r["rk"], r[col]) for r in learning.QUERIES[name](spark, d).collect()}
         assert got == {(n, k, f"{pre}{i}") for n, v in want.items() for k, i in enumerate(v, 1)}
+
+
+def test_hard_negatives_of_every_split(spark, tmp_path):
+    h, r, t = O.allowed()[0]
+    pos = [(f"e{i}", "s", split, "h", h, "dense encoder", r, "t0", t, "recall of nine", None) for i, split in enumerate(["train", "dev", "test"])] + [("e9", "s", "train", "h", h, "x", r, "t0", t, "y", "paper_hard")]
+    pool = [("s", f"t{i}", t, c) for i, c in enumerate(["recall of nine", "recall", "dense recall", "recall of ten", "other", "nine"])] + [("z", "t9", t, "recall of nine")]
+    d = stored(
+        spark, tmp_path,
+        supervision=(pos, "sample_key string, sample_id string, split string, head_id string, head_type string, head_content string, relation string, tail_id string, tail_type string, tail_content string, negative_type string"),
+        evidence_links=(pool, "sample_id string, node_id string, node_type string, content string"),
+        kg_triples=([("h", r, "t3")], "head_id string, relation string, tail_id string"),
+    )
+    jac = lambda a, b: len(a & b) / max(1, len(a | b))
+    sim = lambda c: round(jac(toks("recall of nine"), toks(c)) + 0.15 * jac(toks("dense encoder"), toks(c)), 6)
+    order = sorted((-sim(c), hashlib.md5(f"{n}|42".encode()).hexdigest(), n) for s, n, _, c in pool if s == "s" and n not in ("t0", "t3"))
+    want = {(f"e{i}", n, k) for i in range(3) for k, (_, _, n) in enumerate(order[:2], 1)}
+    assert {(x["edge_id"], x["neg_tail"], x["rk"]) for x in learning.QUERIES["j22_hard_negatives_all"](spark, d).collect()} == want
