@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset (tests, one machine) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; where that is unset and one machine does all work (tests), a folder of our own."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have:
         return have.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = "file://" + tempfile.mkdtemp(prefix="talkgraph-")

@@ -4,7 +4,6 @@ import hashlib
 import re
 
 from talkgraph.functions import ontology as O
-from talkgraph.llm import leaks
 from talkgraph.plans import evidence, learning, timeline
 
 PROV = "array<struct<source_type:string,slide_id:string,region_id:string,chunk_id:string,page:int>>"
@@ -31,19 +30,6 @@ def test_noise_of_long_chunks(spark, tmp_path):
     assert sum(want.values()) > 3
 
 
-def test_leaks_around_stock():
-    stock = "in the low light recordings one listener asked whether the"
-    item = lambda i: [f"a{i}x{k}" for k in range(22)] + stock.split() + [f"b{i}x{k}" for k in range(22)]
-    w = item(0)
-    search = leaks.WuManber([(i, " ".join(item(i))) for i in range(6)])
-    assert search.leaked(" ".join(w[16:40])) == {0: 24 / 54}
-    assert search.leaked(stock + " z " + stock) == {}
-    assert search.leaked(" ".join(w[:12]) + " z " + stock) == {}
-    assert leaks.WuManber([(i, " ".join(item(0))) for i in range(5)]).leaked(" ".join(w)) == dict.fromkeys(range(5), 1.0)
-    mixed = [[f"c{i}"] + [f"p{k // 4 * 4}q{k % 4}" for k in range(i % 2 * 4, i % 2 * 4 + 4)] * 3 for i in range(10)]
-    assert set(leaks.WuManber([(i, " ".join(m)) for i, m in enumerate(mixed)] + [(99, "p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")]).leaked("p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")) >= {99}
-
-
 def test_paper_repairs_of_every_relation(spark, tmp_path):
     rows = [(i, "s", r, "dense encoder", "sparse decoder", []) for i, r in enumerate(O.WEIGHTS)] + [(90 + i, "s", r, "dense encoder", "sparse decoder", [("paper", None, None, "c1", 1)]) for i, r in enumerate(O.WEIGHTS)]
     chunks = [("s", f"c{i}", f"dense encoder {p} sparse decoder") for i, p in enumerate(O.PHRASES.values())] + [("z", "c9", "dense encoder sparse decoder")]
