@@ -1,7 +1,7 @@
 """Held-out passages inside a corpus: Wu-Manber search over words, then runs and their coverage.
 
-A text is the sequence of its words (letters and digits, lower case). Patterns are the SEED-word windows of
-all items. As in Wu and Manber's search, a shift table over blocks of two words says how far the window may
+A text is the sequence of its words (letters and digits, lower case; in scripts without spaces every character
+is one). Patterns are the SEED-word windows of all items, and whole items of fewer words. As in Wu and Manber's search, a shift table over blocks of two words says how far the window may
 jump, and where the shift is zero the block, being a pattern's suffix, selects a bucket whose patterns are
 compared directly. Every hit is then extended in both directions, word by word and tolerating spelling
 slips, to a run of the item's wording.
@@ -25,12 +25,14 @@ SEED = 4
 MIN_RUN = 9
 #: Share of the item's words that has to stand in runs, within STRETCH times the item's length.
 SHARE, STRETCH = 0.4, 2.0
-#: A window of STOCK_WORDS words in at least STOCK_ITEMS items of different wording is a stock sentence's.
+#: A window of STOCK_WORDS words in at least STOCK_ITEMS items of different wording is a stock sentence's; items that are leaks of one another are one wording.
 STOCK_WORDS, STOCK_ITEMS = 8, 3
 #: Bytes of item text searched for at once; larger item sets are searched in blocks.
 BLOCK_BYTES = 16 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts that put no spaces between words (fixed values): Thai, Lao, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{_UNSPACED}]+|[{_UNSPACED}]")
 
 
 def words(text: str) -> list[str]:
@@ -61,13 +63,37 @@ def near(a: str, b: str) -> bool:
     return last[m] <= most
 
 
+def covered(places: list[int]) -> int:
+    """Words that windows of STOCK_WORDS words at these places, in order, cover."""
+    return sum(min(STOCK_WORDS, p - last) for last, p in zip([-STOCK_WORDS, *places], places))
+
+
+def wordings(windows: dict[int, list[tuple[int, ...]]], size: dict[int, int]) -> dict[int, int]:
+    """Item -> the first item that it is a leak of, or itself: as much of one of the two stands in common windows.
+
+    Items meet the first ones of each wording through the windows that they share.
+    """
+    first, posts = {}, defaultdict(list)
+    for i, gs in windows.items():
+        common = defaultdict(list)
+        for p, g in enumerate(gs):
+            for j in posts.get(g, ()):
+                common[j].append(p)
+        first[i] = next((j for j, places in common.items() if covered(places) >= SHARE * min(size[i], size[j])), i)
+        if first[i] == i:
+            for g in set(gs):
+                posts[g].append(i)
+    return first
+
+
 class WuManber:
     """All items' patterns, for one pass over each document."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.same: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, ws in {i: words(t) for i, t in items}.items():
-            self.same[tuple(ws)].append(i)
+            if ws:
+                self.same[tuple(ws)].append(i)
         #: One item stands for all of the same wording.
         self.words = {same[0]: ws for ws, same in self.same.items()}
         self.ids: dict[str, int] = {}
@@ -75,16 +101,24 @@ class WuManber:
             for w in ws:
                 self.ids.setdefault(w, len(self.ids) + 1)
         self.base = len(self.ids) + 1
+        #: Whole items of fewer than SEED words, which the blocks can't hold.
+        self.short: dict[tuple[int, ...], int] = {}
         where: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        held: Counter = Counter()
+        held: dict[tuple[int, ...], set[int]] = defaultdict(set)
         grams = {}
         for i, ws in self.words.items():
             own = [self.ids[w] for w in ws]
             for p in range(len(own) - SEED + 1):
                 where[tuple(own[p : p + SEED])].append((i, p))
+            if len(own) < SEED:
+                self.short[tuple(own)] = i
             grams[i] = [tuple(own[p : p + STOCK_WORDS]) for p in range(len(own) - STOCK_WORDS + 1)]
-            held.update(set(grams[i]))
-        self.stock = {i: {q for p, g in enumerate(gs) if held[g] >= STOCK_ITEMS for q in range(p, p + STOCK_WORDS)} for i, gs in grams.items()}
+        first = wordings(grams, {i: len(ws) for i, ws in self.words.items()})
+        for i, gs in grams.items():
+            for g in gs:
+                held[g].add(first[i])
+        self.lengths = sorted({len(k) for k in self.short})
+        self.stock = {i: {q for p, g in enumerate(gs) if len(held[g]) >= STOCK_ITEMS for q in range(p, p + STOCK_WORDS)} for i, gs in grams.items()}
         self.shift: dict[int, int] = {}
         self.bucket: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(dict)
         for pattern, places in where.items():
@@ -105,6 +139,11 @@ class WuManber:
             for item, p in bucket[block].get(tuple(ids[at - SEED + 1 : at - 1]), ()):
                 yield item, p, at - SEED + 1
             at += 1
+        for m in self.lengths:
+            for at in range(n - m + 1):
+                item = self.short.get(tuple(ids[at : at + m]))
+                if item is not None:
+                    yield item, 0, at
 
     def runs(self, text: str) -> dict[int, list[tuple[int, int, int]]]:
         """item -> (place in the document, place in the item, words) of its runs."""
@@ -116,14 +155,14 @@ class WuManber:
             if at < done.get((item, at - p), -1):
                 continue
             ws = self.words[item]
-            a, q = at, p
+            a, q, seed = at, p, min(SEED, len(ws))
             while a and q and (own[a - 1] == ws[q - 1] or near(own[a - 1], ws[q - 1])):
                 a, q = a - 1, q - 1
-            b, r = at + SEED, p + SEED
+            b, r = at + seed, p + seed
             while b < len(own) and r < len(ws) and (own[b] == ws[r] or near(own[b], ws[r])):
                 b, r = b + 1, r + 1
             done[item, at - p] = b
-            if b - a >= MIN_RUN:
+            if b - a >= min(MIN_RUN, len(ws)):
                 out[item].append((a, q, b - a))
         return out
 
@@ -183,7 +222,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_co
 
     Documents are searched where they are read, once for each block of items; nothing is shuffled but the
     hits. Null and empty texts on either side have no words and no hits, items of fewer than MIN_RUN words
-    can't be found, and repeated rows give one result row.
+    are found where the whole item stands, and repeated rows give one result row.
     """
     kinds = dict(docs.select(id_col).dtypes) | dict(items.select(item_col).dtypes)
     schema = f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds[item_col]}, share double"

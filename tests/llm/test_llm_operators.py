@@ -251,3 +251,14 @@ def test_leaks_around_stock():
     assert leaks.WuManber([(i, " ".join(item(0))) for i in range(5)]).leaked(" ".join(w)) == dict.fromkeys(range(5), 1.0)
     mixed = [[f"c{i}"] + [f"p{k // 4 * 4}q{k % 4}" for k in range(i % 2 * 4, i % 2 * 4 + 4)] * 3 for i in range(10)]
     assert set(leaks.WuManber([(i, " ".join(m)) for i, m in enumerate(mixed)] + [(99, "p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")]).leaked("p0q0 p0q1 p0q2 p0q3 p4q0 p4q1 p4q2 p4q3 end")) >= {99}
+
+
+def test_leaks_of_equal_short_and_unspaced_items():
+    near = [ITEM, ITEM.replace("nine", "ten"), ITEM.replace("nine", "six"), ITEM.replace("nine", "two")]
+    for n in (1, 3, 10):
+        assert leaks.WuManber([(i, ITEM) for i in range(n)]).leaked(ITEM) == dict.fromkeys(range(n), 1.0)
+    assert set(leaks.WuManber(list(enumerate(near))).leaked(" ".join(ITEM.split()[12:]))) == set(range(4))
+    chinese = "演讲者比较了两种编码器在幻灯片检索中的召回率并说明了原因"
+    search = leaks.WuManber([(1, chinese), (2, "seven frames a batch suffice"), (3, "FooSet"), (4, "...")])
+    assert set(search.leaked(f"上文{chinese}。下文")) == set(search.leaked(f"上文{chinese[3:17]}。下文")) == {1} and search.leaked(chinese[:8]) == {}
+    assert set(search.leaked("Here, seven frames a batch suffice.")) == {2} and search.leaked("seven frames a batch") == {} and set(search.leaked("on fooset")) == {3}
