@@ -49,17 +49,20 @@ def near_brute(left, right, tol):
     return out
 
 
-@pytest.mark.parametrize("n", [0, 60])
-def test_nearest(spark, tmp_path, n):
+@pytest.mark.parametrize("n, scale, base, tol, hot", [(0, 2000, 0.0, 12.0, 9), (60, 2000, 0.0, 12.0, 99), (60, 40_000, 1.7e9, 12.0, 3), (40, 9000, -500.0, 1500.0, 3), (40, 1e15, -3e14, 1e13, 99)])
+def test_nearest(spark, tmp_path, monkeypatch, n, scale, base, tol, hot):
+    monkeypatch.setattr(nearest, "HOT", hot)
+    monkeypatch.setattr(nearest, "SLABS", 3)
     rng = random.Random(n)
-    t = lambda: rng.choice([None, *[round(rng.random() * 2000, 1) for _ in range(9)]])
-    left = [(rng.choice(["a", "b", None]), f"u{i}", t()) for i in range(n)] + ([("a", "edge", 600.0), ("a", "edge", 600.0)] if n else [])
-    right = [(rng.choice(["a", "b"]), f"s{i}", t()) for i in range(n)] + ([("a", "x", 588.0), ("a", "w", 612.0), ("a", "v", 588.0)] if n else [])
+    t = lambda: rng.choice([None, float("inf"), *[base + round(rng.random() * scale, 1) for _ in range(20)]])
+    left = [(rng.choice(["a", "b", None]), f"u{i}", t()) for i in range(n)] + ([("a", "edge", base + 600.0), ("a", "edge", base + 600.0)] if n else [])
+    right = [(rng.choice(["a", "b"]), f"s{i}", t()) for i in range(n)] + ([("a", "x", base + 600.0 - tol), ("a", "w", base + 600.0 + tol), ("a", "v", base + 600.0 - tol)] if n else [])
     schema = "sample_id string, id string, start_time double"
     spark.createDataFrame(left, schema).selectExpr("sample_id", "id uid", "start_time", "1 side", "2 stretch").write.parquet(f"{tmp_path}/l")
     spark.createDataFrame(right, schema).selectExpr("sample_id", "id sid", "start_time").write.parquet(f"{tmp_path}/r")
-    got = nearest.nearest(spark, (f"{tmp_path}/l", "uid", "start_time"), (f"{tmp_path}/r", "sid", "start_time"), "sample_id", 12.0).collect()
-    assert {(r["left_id"], r["right_id"]) for r in got} == near_brute(left, right, 12.0)
+    got = nearest.nearest(spark, (f"{tmp_path}/l", "uid", "start_time"), (f"{tmp_path}/r", "sid", "start_time"), "sample_id", tol).collect()
+    finite = lambda rows: [r for r in rows if r[2] != float("inf")]
+    assert {(r["left_id"], r["right_id"]) for r in got} == near_brute(finite(left), finite(right), tol)
 
 
 TRIPLES = "triple_id bigint, sample_id string, signal_source string, weight double, provenance array<struct<similarity_score:double>>, tier string, rrf string"
