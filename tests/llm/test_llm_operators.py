@@ -118,6 +118,14 @@ def test_wrong_decodings_more():
     assert mojibake.restore(ru.encode("cp1251").decode("latin-1"))[:2] == (True, ru)
     assert mojibake.restore(ru.encode().decode("cp1252", "replace"))[0] and not mojibake.restore("a�b")[2]
     assert [mojibake.restore(t)[0] for t in (None, "", "   ", "x" * 300_000)] == [False] * 4
+    for t in ("ÀÁÂ and ÄÖÜ", "the xдx variable", "ÀÁÂÃÄÅ ÆÇÈÉÊË ÌÍÎÏÐÑ", "НАБОР Iй", "αβγ δεζ", "Ünï ÇÖDË ÀÉÎÕÜ"):
+        assert mojibake.restore(t) == (False, t, True), t
+    often = "café naïve é"
+    for _ in range(6):
+        often = often.encode().decode("cp1252")
+    assert mojibake.restore(often)[:2] == (True, "café naïve é")
+    assert mojibake.restore(ru.encode("koi8-r").decode("latin-1"))[:2] == (True, ru) and mojibake.restore(ru.encode("koi8-r").decode("cp1251"))[1] == ru
+    assert mojibake.restore("la naпveté du modиle")[1] == "la naïveté du modèle"
 
 
 ITEM = "The sparse encoder raises recall on FooSet by nine points while the shared decoder keeps eleven frames per batch and drops the rest of them without any warm up at all today"
