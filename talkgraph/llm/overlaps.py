@@ -1,35 +1,40 @@
 """Records of evaluation splits that recur, exactly or nearly, in the training split.
 
-An edit-distance segment join. Texts are brought to a canonical sequence of words; at most K of them may
-have been changed, so of an evaluation text cut at word boundaries into segments, any K + 1 leave at least
-one untouched in its training twin, and a segment that is a name is always untouched, as names have to
-agree. So the rarest name is indexed, or else the K + 1 rarest words, together with the text's numbers, which
-have to agree too. A training text's words are matched against these segments at the positions allowed (any
-word's beginning, as words may be rearranged), and the pairs found are verified: the words left over on
-either side are paired by banded dynamic programming, and names, numbers and their order or roles compared.
-
-The evaluation side goes to the executors in blocks of bounded size; the training side is read once for each
-block where it lies, and nothing but the pairs is shuffled.
+An edit-distance segment join. Texts are brought to canonical strings of words; of an evaluation string K + 1
+segments, cut at word boundaries, are indexed, so that K slips leave at least one of them untouched in a training
+twin. The rarest are taken; a name, which has to agree, is enough by itself. Words may be rearranged, so the
+positions allowed are all beginnings of words; length and numbers have to fit, too. Evaluation segments and
+training substrings meet in a shuffle join on their hash, and each pair found is verified: banded dynamic
+programming over the two strings in the order written and in two sorted ones, then names, numbers and their order
+or roles, and the slips word by word.
+
+Copies are one class of texts on either side; classes are joined, and their members listed beside.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgraph.functions.shared import written
+
 #: Words of a text that a slip may have changed, for every so many words; at least MIN_K.
 WORDS_PER_SLIP, MIN_K = 5, 3
-#: Bytes of evaluation text that go to the executors at once.
-BLOCK_BYTES = 16 << 20
+#: Edits of a whole string: so many, and one more for every so many characters.
+EDITS, CHARS_PER_EDIT = 3, 15
 
 # Words that may come or go.
-SMALL = frozenset("a an the of in on at to for by is are was were be do does did has have and as that more please there".split())
+SMALL = frozenset(
+    "a an the of in on at to for by is are was were be been do does did has have had and as that more please there very really quite just also then now so too actually exactly rather "
+    "kindly well still even here any some this these those it its their our your can could would will may might shall should you me us we i".split()
+)
 # Words that ask or say the same.
 ALIKE = (("which", "what"), ("speaker", "talk", "presenter"), ("aligned", "linked", "matched"), ("use", "employ", "utilise", "utilize", "apply"), ("reported", "given", "stated"))
 # Words of lead-ins and of closing requests.
@@ -38,7 +43,7 @@ CLOSING = frozenset("a answer as be brief briefly cite concise explain in keep o
 
 _SAME = {w: group[0] for group in ALIKE for w in group}
 _TOKEN = re.compile(r"(?<![\w.])[-−–]?\.?\d+(?:[.,]\d+)*(?:\w+)?|[^\W_]+")
-_NAME = re.compile(r"[^\W_]*[a-zß-ÿ][A-Z][^\W_]*")
+_WORD, _HUMP = re.compile(r"[^\W_]+"), re.compile(r"[a-zß-ÿ][A-Z]")
 _WRAP = "\"'`*_“”„«»‘’()[]<> \t\r\n\xa0"
 
 
@@ -82,17 +87,47 @@ def bare(text: str) -> str:
     return text
 
 
+def banded(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits turn one string into the other: dynamic programming over the band beside the diagonal."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    while a and b and a[0] == b[0]:
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[n:], b[n:]
+    while a and b and a[-1] == b[-1]:
+        n = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+        a, b = a[: len(a) - n], b[: len(b) - n]
+    n, m, far = len(a), len(b), most + 1
+    last = [j if j <= most else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        lo, hi = max(1, i - most), min(m, i + most)
+        row = [far] * (m + 1)
+        row[0] = min(i, far)
+        for j in range(lo, hi + 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a[i - 1] != b[j - 1]), far)
+        if min(row[lo - 1 : hi + 1]) > most:
+            return False
+        last = row
+    return last[m] <= most
+
+
+@lru_cache(maxsize=100_000)
+def _small(w: str) -> bool:
+    """Whether a word is a slip of a small one."""
+    return len(w) > 3 and any(near(w, x) for x in SMALL)
+
+
 class Canonical:
     """The words of a text that count, and which of them are names or numbers with the words before them."""
 
-    __slots__ = ("bag", "names", "roles", "seq", "words")
+    __slots__ = ("bag", "names", "roles", "seq", "strings", "words")
 
     def __init__(self, text: str, question: bool) -> None:
         if question:
             text = bare(text)
         raw = _TOKEN.findall(text)
-        cased = sum(w.isupper() for w in raw) * 2 <= len(raw)
-        self.names = {w.lower() for w in _NAME.findall(text)} if cased else set()
+        cased = sum(map(str.isupper, raw)) * 2 <= len(raw)
+        self.names = {w.lower() for w in _WORD.findall(text) if _HUMP.search(w)} if cased else set()
         low = [_SAME.get(w, w) for w in (self._number(x.lower()) for x in raw)]
         self.words = tuple(w for w in low if w not in SMALL)
         self.bag = Counter(self.words)
@@ -100,6 +135,7 @@ class Canonical:
         self.roles: dict[str, list[str]] = defaultdict(list)
         for before, w in zip(["", *low], low):
             self.roles[w].append(before)
+        self.strings = tuple(" ".join(sorted(self.words, key=k) if k else self.words) for k in (None, str, lambda w: w[::-1]))
 
     @staticmethod
     def _number(w: str) -> str:
@@ -109,16 +145,19 @@ class Canonical:
 def agree(a: Canonical, b: Canonical, fields: bool) -> bool:
     """Whether two texts say the same about the same names and numbers."""
     left, right = list((a.bag - b.bag).elements()), list((b.bag - a.bag).elements())
-    if len(left) != len(right):
-        return False
     names = a.names | b.names
-    for w in left:
-        if w in names or _numeric(w):
-            return False
-        twin = next((x for x in right if x not in names and not _numeric(x) and near(w, x)), None)
-        if twin is None:
-            return False
-        right.remove(twin)
+    if any(w in names or _numeric(w) for w in left + right):
+        return False
+    for w in list(left):
+        twin = next((x for x in right if near(w, x)), None)
+        if twin is not None:
+            left.remove(w)
+            right.remove(twin)
+    if not all(map(_small, left + right)):
+        return False
+    most = EDITS + max(len(a.strings[0]), len(b.strings[0])) // CHARS_PER_EDIT
+    if not any(banded(x, y, most) for x, y in zip(a.strings, b.strings)):
+        return False
     if fields:
         return True
     fixed = lambda c: [w for w in c.seq if w in names or _numeric(w)]
@@ -134,44 +173,8 @@ def parts_of(text: str | None) -> tuple[str, bool]:
     return text, len(re.findall(r"[;|]", text)) >= 2
 
 
-class Index:
-    """A block of evaluation records, by their rarest words."""
-
-    def __init__(self, rows: list[tuple[str, str, tuple[str | None, ...]]], question: bool) -> None:
-        classes: dict[tuple, list[str]] = defaultdict(list)
-        for key, grp, texts in rows:
-            classes[grp, texts].append(key)
-        self.question, self.entries = question, []
-        held: Counter = Counter()
-        for (grp, texts), keys in classes.items():
-            canon = [Canonical(t or "", question) for t in texts]
-            words = {(i, w) for i, c in enumerate(canon) for w in c.words if not _numeric(w)}
-            held.update(words)
-            self.entries.append((grp, texts, canon, keys, words))
-        self.posts: dict[tuple, list[int]] = defaultdict(list)
-        for e, (grp, _, canon, _, words) in enumerate(self.entries):
-            total = sum(len(c.words) for c in canon)
-            named = [w for w in words if w[1] in canon[w[0]].names]
-            by_rarity = sorted(named or words, key=lambda w: (held[w], w))
-            for w in by_rarity[: 1 if named else max(MIN_K, total // WORDS_PER_SLIP) + 1] or [None]:
-                self.posts[grp, _numbers(canon), w].append(e)
-
-    def twins(self, grp: str, texts: tuple[str | None, ...]) -> list[str]:
-        """Keys of the block's records that say the same as the given one."""
-        canon = [Canonical(t or "", self.question) for t in texts]
-        numbers = _numbers(canon)
-        maybe = {e for i, c in enumerate(canon) for w in c.bag for e in self.posts.get((grp, numbers, (i, w)), ())}
-        maybe.update(self.posts.get((grp, numbers, None), ()))
-        out = []
-        for e in maybe:
-            _, own, other, keys, _ = self.entries[e]
-            if all(agree(c, o, parts_of(t)[1] and parts_of(x)[1]) for c, o, t, x in zip(canon, other, texts, own)):
-                out += keys
-        return out
-
-
 def _numeric(w: str) -> bool:
-    return any(c.isdigit() for c in w)
+    return not w.isalpha() and any(c.isdigit() for c in w)
 
 
 def _numbers(canon: list[Canonical]) -> tuple:
@@ -179,60 +182,84 @@ def _numbers(canon: list[Canonical]) -> tuple:
     return tuple(tuple(sorted(w for w in c.words if _numeric(w))) for c in canon)
 
 
-_indexes: dict[str, Index] = {}
+def substrings(grp: str, texts: tuple[str, ...], question: bool) -> tuple[list[tuple[int, bool]], int, int]:
+    """((hash, is a name) of the segments of a record, its slips allowed, its length). A hash stands for group, numbers, text and word; a record without words has one for all of that."""
+    canon = [Canonical(t, question) for t in texts]
+    numbers = _numbers(canon)
+    of = lambda i, w: xxhash.xxh64_intdigest(repr((grp, numbers, i, w))) - (1 << 63)
+    got = sorted((of(i, w), w in c.names) for i, c in enumerate(canon) for w in set(c.words) if not _numeric(w))
+    total = sum(len(c.words) for c in canon)
+    return got or [(of(-1, ""), False)], max(MIN_K, total // WORDS_PER_SLIP), sum(len(c.strings[0]) for c in canon)
 
 
-def index_of(name: str, block: list, question: bool) -> Index:
-    """The index of a block, made once in a worker process, which Spark reuses for later tasks."""
-    if name not in _indexes:
-        if len(_indexes) > 1:
-            _indexes.clear()
-        _indexes[name] = Index(block, question)
-    return _indexes[name]
+@lru_cache(maxsize=20_000)
+def _canonical(text: str, question: bool) -> Canonical:
+    return Canonical(text, question)
 
 
-def blocks(rows: DataFrame, n_texts: int) -> Iterator[list[tuple[str, str, tuple[str | None, ...]]]]:
-    block, size = [], 0
-    for key, group, *texts in rows.toLocalIterator():
-        block.append((key, group, tuple(texts)))
-        size += sum(len(t or "") for t in texts) + 64
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def says_the_same(one: tuple[str, ...], other: tuple[str, ...], question: bool) -> bool:
+    """Whether each text of one record says the same as the other record's."""
+    return all(agree(_canonical(x, question), _canonical(y, question), parts_of(x)[1] and parts_of(y)[1]) for x, y in zip(one, other))
 
 
-def overlaps(held_out: DataFrame, train: DataFrame, key: str, texts: list[str], group: str | None = None, question: bool = False) -> DataFrame:
-    """(eval_key, train_key) of records whose texts each say the same about the same names and numbers.
+def classed(df: DataFrame, key: str, texts: list[str], group: str | None) -> DataFrame:
+    """(cls, key, grp, t0, t1, ...) of the rows without a null; cls is one for all rows of the same group and texts."""
+    g = F.col(group) if group else F.lit("")
+    whole = df.select(F.col(key).cast("string").alias("key"), g.alias("grp"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(texts))).na.drop()
+    return whole.withColumn("cls", F.unhex(F.md5(F.to_json(F.struct("grp", *(f"t{i}" for i in range(len(texts))))))))
+
+
+def twins(held_out: DataFrame, train: DataFrame, n_texts: int, question: bool = False) -> DataFrame:
+    """(eval_cls, train_cls) of classes whose texts each say the same, from classed() rows."""
+    names = [f"t{i}" for i in range(n_texts)]
+    kind = "cls binary, " + "".join(f"{n} string, " for n in names) + "hs array<bigint>, is_name array<boolean>, k int, size int"
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            got = [substrings(grp, ts, question) for grp, *ts in zip(part["grp"], *(part[c] for c in names))]
+            yield part[["cls", *names]].assign(hs=[[h for h, _ in g[0]] for g in got], is_name=[[n for _, n in g[0]] for g in got], k=[g[1] for g in got], size=[g[2] for g in got])
+
+    # one row per class; segments of copies are cut where they are read, and meet their class before anything is exploded
+    held, own = (written(df.select("cls", "grp", *names).mapInPandas(cut, kind).dropDuplicates(["cls"]), tag) for df, tag in ((held_out, "overlap-held"), (train, "overlap-train")))
+    words = held.select("cls", "k", "size", F.explode(F.arrays_zip("hs", "is_name")).alias("s")).select("cls", "k", "size", F.col("s.hs").alias("h"), F.col("s.is_name").alias("name"))
+    counts = words.groupBy("h").agg(F.count("*").alias("n"))
+    # the rarest name, or else the K + 1 rarest words
+    rarest = Window.partitionBy("cls").orderBy(F.desc("name"), "n", "h")
+    index = (
+        words.join(counts, "h").withColumn("rk", F.row_number().over(rarest)).withColumn("named", F.max("name").over(Window.partitionBy("cls")))
+        .where(F.when(F.col("named"), F.col("rk") == 1).otherwise(F.col("rk") <= F.col("k") + 1)).select("h", F.col("cls").alias("eval_cls"), F.col("size").alias("eval_size"))
+    )
+    most = EDITS * n_texts + F.greatest("size", "eval_size") / CHARS_PER_EDIT
+    met = own.select(F.explode("hs").alias("h"), F.col("cls").alias("train_cls"), "size").join(index, "h").where(F.abs(F.col("size") - F.col("eval_size")) <= most).select("eval_cls", "train_cls").distinct()
+    side = lambda df, p: df.select(F.col("cls").alias(f"{p}_cls"), F.col("hs").alias(f"{p}_hs"), F.col("k").alias(f"{p}_k"), *(F.col(n).alias(f"{p}_{n}") for n in names))
+    few = lambda a, b: F.size(F.array_except(f"{a}_hs", f"{b}_hs")) <= F.greatest("eval_k", "train_k") + 1
+    both = met.join(side(held, "eval"), "eval_cls").join(side(own, "train"), "train_cls").where(few("eval", "train") & few("train", "eval")).drop("eval_hs", "train_hs", "eval_k", "train_k")
+
+    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            one, other = (zip(*(part[f"{p}_{n}"] for n in names)) for p in ("eval", "train"))
+            same = [says_the_same(x, y, question) for x, y in zip(one, other)]
+            yield part.loc[same, ["eval_cls", "train_cls"]]
+
+    return both.mapInPandas(verify, "eval_cls binary, train_cls binary")
+
+
+def overlaps(held_out: DataFrame, train: DataFrame, key: str, texts: list[str], group: str | None = None, question: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (eval_cls, train_cls), evaluation members (cls, key), training members) of records whose texts each say
+    the same about the same names and numbers.
 
     Two texts say the same if they have the same words but for formatting, letter case, small words, words
     that ask the same, the order of words (names and numbers keeping their order or the word before them) and
     of fields, and spelling slips; of questions, also but for a lead-in or closing request. group, if given,
-    has to be equal. Rows with a null in the key, the group or a text don't take part, nor do texts without any
-    word; repeated rows give one result row, and an empty side gives an empty result.
+    has to be equal. Rows with a null in the key, the group or a text don't take part; texts without any word
+    agree with one another; repeated rows give one result row, and an empty side gives an empty result. The pairs of
+    classes and the members are linear in the rows; expanded() makes all pairs of keys of them.
     """
-    g = F.col(group) if group else F.lit("")
-    cols = [F.col(key).alias("key"), g.alias("grp"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(texts))]
-    whole = lambda df: df.select(*cols).na.drop()
-    sc, schema = train.sparkSession.sparkContext, "eval_key string, train_key string"
-    out = train.sparkSession.createDataFrame([], schema)
-    names = [f"t{i}" for i in range(len(texts))]
-    for block in blocks(whole(held_out), len(texts)):
-        sent, name = sc.broadcast(block), uuid.uuid4().hex
-
-        def run(parts: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
-            index, memo = index_of(name, sent.value, question), {}
-            for part in parts:
-                got = []
-                for k, grp, *ts in zip(part["key"], part["grp"], *(part[c] for c in names)):
-                    what = (grp, *ts)
-                    if what not in memo:
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        memo[what] = index.twins(grp, tuple(ts))
-                    got += [(e, k) for e in memo[what]]
-                yield pd.DataFrame(got, columns=["eval_key", "train_key"])
-
-        out = out.union(whole(train).mapInPandas(run, schema))
-    return out.distinct()
+    held, own = (classed(df, key, texts, group) for df in (held_out, train))
+    return twins(held, own, len(texts), question), held.select("cls", "key").distinct(), own.select("cls", "key").distinct()
+
+
+def expanded(pairs: DataFrame, held_members: DataFrame, train_members: DataFrame) -> DataFrame:
+    """(eval_key, train_key) of every pair of members."""
+    e, t = held_members.toDF("eval_cls", "eval_key"), train_members.toDF("train_cls", "train_key")
+    return pairs.join(e, "eval_cls").join(t, "train_cls").select("eval_key", "train_key")

@@ -117,23 +117,31 @@ select distinct utterance_id, slide_id from j where k = 1
 """
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """(source, eval_key, train_key, split) of each pair."""
+def _overlaps(spark: SparkSession, d: str) -> dict[str, tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]]:
+    """source -> (pairs of classes and members, (key, split) of the evaluation side)."""
     gold, train, edges = load(spark, d, "gold_test", "decomposer_train", "supervision")
-    q = overlaps.overlaps(gold, train, "qa_id", ["question"], question=True)
-    e = overlaps.overlaps(edges.where("split in ('dev', 'test')"), edges.where("split = 'train'"), "sample_key", ["head_content", "tail_content"], group="relation")
-    splits = gold.select(F.col("qa_id").alias("eval_key"), "split").union(edges.select("sample_key", "split")).distinct()
-    return q.withColumn("source", F.lit("question")).union(e.withColumn("source", F.lit("edge"))).join(splits, "eval_key")
+    held = edges.where("split in ('dev', 'test')")
+    return {
+        "question": (overlaps.overlaps(gold, train, "qa_id", ["question"], question=True), gold.selectExpr("qa_id key", "split")),
+        "edge": (overlaps.overlaps(held, edges.where("split = 'train'"), "sample_key", ["head_content", "tail_content"], group="relation"), held.selectExpr("sample_key key", "split")),
+    }
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _overlaps(spark, d)
-    return pairs.select("source", F.least("eval_key", "train_key").alias("key_a"), F.greatest("eval_key", "train_key").alias("key_b")).distinct()
+    pairs = [overlaps.expanded(*got).select(F.lit(source).alias("source"), F.least("eval_key", "train_key").alias("key_a"), F.greatest("eval_key", "train_key").alias("key_b")) for source, (got, _) in _overlaps(spark, d).items()]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Counts per source and evaluation split."""
-    return _overlaps(spark, d).groupBy("source", "split").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_key").alias("n_eval"), F.countDistinct("train_key").alias("n_train"))
+    """Counts per source and evaluation split, from classes of copies and their sizes."""
+    out = []
+    for source, ((pairs, held, train), splits) in _overlaps(spark, d).items():
+        met = pairs.join(held.join(splits.distinct(), "key").groupBy(F.col("cls").alias("eval_cls"), "split").agg(F.count("*").alias("ne")), "eval_cls")
+        met = met.join(train.groupBy(F.col("cls").alias("train_cls")).agg(F.count("*").alias("nt")), "train_cls").select(F.lit(source).alias("source"), "split", "eval_cls", "train_cls", "ne", "nt")
+        once = lambda cls, n, name: met.select("source", "split", cls, n).distinct().groupBy("source", "split").agg(F.sum(n).alias(name))  # noqa: B023, E731
+        total = met.groupBy("source", "split").agg(F.sum(F.col("ne") * F.col("nt")).alias("n_pairs"))
+        out.append(total.join(once("eval_cls", "ne", "n_eval"), ["source", "split"]).join(once("train_cls", "nt", "n_train"), ["source", "split"]))
+    return out[0].union(out[1])
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -157,34 +157,77 @@ SAME = [BASE.upper(), BASE.lower(), "According to the presentation: " + BASE, BA
 OTHER = [BASE.replace("FooSlice", "FooSpan"), BASE.replace("ten", "one"), BASE.replace("recall at ten", "edit similarity"), "How many points of recall at ten does BarMatch gain over FooSlice on BazPrime?", BASE.replace("BazPrime", "BazPrimo")]
 
 
+def twin_keys(held, train, *args, **kw):
+    return {(r["eval_key"], r["train_key"]) for r in overlaps.expanded(*overlaps.overlaps(held, train, *args, **kw)).collect()}
+
+
 def test_overlaps(spark):
-    s = "qa_id string, question string, eval_key string"
-    train = spark.createDataFrame([(f"t{i}", q, "x") for i, q in enumerate(SAME + OTHER + [None, "", "x" * 100_000])] + [("t0", SAME[0], "x")], s)
-    held = spark.createDataFrame([("g", BASE, "x"), ("h", None, "x"), ("i", "", "x")], s)
-    got = overlaps.overlaps(held, train, "qa_id", ["question"], question=True).where("eval_key = 'g'").collect()
-    assert {r["train_key"] for r in got} == {f"t{i}" for i in range(len(SAME))} and len(got) == len(SAME)
-    assert overlaps.overlaps(held.where("false"), train, "qa_id", ["question"], question=True).count() == 0
+    s = "qa_id string, question string, eval_key string, cls string"
+    more = [BASE.replace("does", "does really"), "So how many points of recall at ten did FooSlice actually gain over BarMatch on BazPrime?"]
+    train = spark.createDataFrame([(f"t{i}", q, "x", "y") for i, q in enumerate(SAME + more + OTHER + [None, "", "x" * 100_000])] + [("t0", SAME[0], "x", "y")], s)
+    held = spark.createDataFrame([("g", BASE, "x", "y"), ("h", None, "x", "y"), ("i", "", "x", "y"), ("j", BASE, "x", "y")], s)
+    got = twin_keys(held, train, "qa_id", ["question"], question=True)
+    assert got == {(k, f"t{i}") for i in range(len(SAME + more)) for k in "gj"} | {("i", f"t{len(SAME + more + OTHER) + 1}")}
+    pairs, members, _ = overlaps.overlaps(held, train, "qa_id", ["question"], question=True)
+    assert pairs.count() == len(SAME + more) + 1 and members.count() == 3
+    assert twin_keys(held.where("false"), train, "qa_id", ["question"], question=True) == twin_keys(held, train.where("false"), "qa_id", ["question"], question=True) == set()
 
 
 def test_edges(spark):
     f = "method: FooNet; metric: recall; value: -1.5; setting: few-shot"
     rows = [("1", "r", f, "Slide 5"), ("2", "r", "value = -1.5|setting=few-shot|METHOD: foonet|metric: recal", "slide 5 "), ("3", "r", f, "Slide 6"), ("4", "q", f, "Slide 5"), ("5", "r", f.replace("-1.5", "1.5"), "Slide 5"), ("6", "r", None, "Slide 5")]
     t = spark.createDataFrame(rows, "k string, relation string, h string, t string")
-    got = overlaps.overlaps(t.where("k = '1'"), t.where("k <> '1'"), "k", ["h", "t"], group="relation").collect()
-    assert {r["train_key"] for r in got} == {"2"}
+    assert twin_keys(t.where("k = '1'"), t.where("k <> '1'"), "k", ["h", "t"], group="relation") == {("1", "2")}
+
 
+def slipped(rng, text, n=1):
+    """A text with one letter changed, dropped, doubled or swapped with the next, in each of n words of letters alone."""
+    ws = text.split()
+    for i in rng.sample([i for i, w in enumerate(ws) if w.isalpha() and len(w) >= 5 and w.islower()], n):
+        w, p = ws[i], rng.randrange(len(ws[i]) - 1)
+        ws[i] = rng.choice([w[:p] + rng.choice("aeknrst") + w[p + 1 :], w[:p] + w[p + 1 :], w[:p] + w[p] + w[p:], w[:p] + w[p + 1] + w[p] + w[p + 2 :]])
+    return " ".join(ws)
 
-def test_segments_find_what_brute_force_finds():
+
+def test_segments_find_what_brute_force_finds(spark):
     rng = random.Random(2)
     vocabulary = ["sparse", "dense", "encoder", "decoder", "speaker", "annotators", "shrinks", "steadily", "recordings", "overlap"]
-    make = lambda: " ".join([rng.choice(vocabulary) for _ in range(7)] + [rng.choice(["FooNet", "BarNet", "7", "8"])])
-    slip = lambda t: "".join(c for i, c in enumerate(t) if i != rng.randrange(3, 9)) if rng.random() < 0.5 else t
-    evals = [(f"e{i}", "", (make(),)) for i in range(60)]
-    train = [("", (slip(rng.choice(evals)[2][0]),)) for _ in range(60)] + [("", (make(),)) for _ in range(200)]
-    ix = overlaps.Index(evals, False)
-    C = lambda t: overlaps.Canonical(t, False)
-    for g, ts in train:
-        assert set(ix.twins(g, ts)) == {k for k, _, e in evals if overlaps.agree(C(ts[0]), C(e[0]), False)}
+    make = lambda: " ".join([rng.choice(vocabulary) for _ in range(7)] + [rng.choice(["FooNet", "BarNet", "7", "8", "plain"])])
+    evals = [(f"e{i}", make()) for i in range(60)]
+    near = [slipped(rng, rng.choice(evals)[1], 2) for _ in range(60)]
+    train = [(f"t{i}", t) for i, t in enumerate(near + [make() for _ in range(200)])]
+    got = twin_keys(spark.createDataFrame(evals, "k string, t string"), spark.createDataFrame(train, "k string, t string"), "k", ["t"])
+    want = {(a, b) for a, x in evals for b, y in train if overlaps.agree(overlaps.Canonical(x, False), overlaps.Canonical(y, False), False)}
+    assert got == want and len({b for _, b in want}) >= 50
+
+
+def test_slips_that_were_not_planted(spark):
+    """Recall of one to three random edits, each in another of our own words, against all pairs known."""
+    rng = random.Random(8)
+    pool = "layered narrow faithful noisy gentle parser reader ranker summary corpus margin benefit decline venue lecture chapter figure margins reports explains loses keeps favours questions audience".split()
+    name = lambda: rng.choice(["Kilo", "Lima", "Mika", "Nova", "Opal"]) + rng.choice(["Bank", "Deck", "Farm", "Gate"]) + rng.choice(["", "Two", "Max"])
+    held = [(f"e{i}", f"{name()} {' '.join(rng.sample(pool, rng.randrange(6, 11)))} {rng.randrange(90)} {rng.choice(pool)}") for i in range(300)]
+    train = [(f"t{i}", slipped(rng, t, 1 + i % 3)) for i, (_, t) in enumerate(held)]
+    got = twin_keys(spark.createDataFrame(held, "k string, t string"), spark.createDataFrame(train, "k string, t string"), "k", ["t"])
+    assert sum((f"e{i}", f"t{i}") in got for i in range(300)) >= 285 and len(got) <= 300
+
+
+@pytest.mark.parametrize("n", range(3))
+def test_banded(n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(9)))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(2000):
+        a, b, most = word(), word(), rng.randrange(6)
+        assert overlaps.banded(a, b, most) == (edits(a, b) <= most), (a, b, most)
 
 
 PAGES = [
