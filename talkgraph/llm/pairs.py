@@ -10,6 +10,7 @@ tag. Word statistics and the longest wording of each question's answers come fro
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ TRAIN_PAIRS = 2000
 COVER = 0.5
 #: Words of a remark that a whole sentence of refusal may be followed by.
 REMARK = 5
-#: A word of small letters that fewer texts than this share hold inside is taken for a piece of one.
-RARE = 2e-4
+#: A word of small letters is taken for a piece of one that begins with it and is so many times as frequent.
+PIECE = 4
 
 # What stands for no value.
 NO_VALUE = frozenset("na n/a none null nil nan nothing unknown tbd empty undefined keine aucun ninguno ninguna".split())
@@ -40,6 +41,23 @@ STOP = {
     "ru": frozenset("и в не на что с по для как это из при от к но или мы его она был".split()),
     "it": frozenset("il gli e è una un che con per del della non più sono anche come di nel alla".split()),
 }
+# Frequent words of further languages, asked only where the first ones have too little.
+MORE = {
+    "nl": frozenset("de het een van en in is dat op te voor met niet zijn wordt door aan om ook naar bij uit maar nog dan deze wat over".split()),
+    "pl": frozenset("i w na z do nie się jest że to przez dla od po jak oraz są przy ale ten który która może tylko za".split()),
+    "sv": frozenset("och i att det som en på är av för med till den har inte om ett men kan från vid eller när också".split()),
+    "da": frozenset("og i at det som en på er af for med til den har ikke om et men kan fra ved eller når også der".split()),
+    "tr": frozenset("ve bir bu için ile da de olarak daha çok gibi en ne var olan ancak kadar sonra göre veya değil her".split()),
+    "cs": frozenset("a v se na je že to s z do pro jako ale by po která který jsou není při nebo tak však".split()),
+    "ro": frozenset("și în de la cu pe nu este o un din pentru care mai ce sunt prin dar ca se sau după".split()),
+    "fi": frozenset("ja on ei että se oli hän mutta kun ovat myös joka tai kuin niin sekä vain ole siitä".split()),
+    "hu": frozenset("a az és hogy nem is egy ez van de meg volt csak mint már vagy még ha mert azt".split()),
+    "id": frozenset("yang dan di dari untuk dengan ini itu pada tidak adalah dalam akan ke oleh juga atau karena bahwa lebih".split()),
+    "vi": frozenset("và của là có không một trong được cho các với này đã những để người khi như từ".split()),
+}
+# Scripts whose letters tell a language, or as much of it as matters.
+_SCRIPTS = {"zh": "\u4e00-\u9fff", "ja": "\u3040-\u30ff", "ko": "\uac00-\ud7af", "el": "\u0370-\u03ff", "he": "\u0590-\u05ff", "ar": "\u0600-\u06ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f"}
+_SCRIPT = re.compile("|".join(f"(?P<{c}>[{r}])" for c, r in _SCRIPTS.items()))
 _LETTERS = {"de": "äöüß", "fr": "èêàçùœâîô", "es": "ñ¿¡ó", "pt": "ãõçâê", "ru": "абвгдежзиклмнопрстуфхцчшщыэюя", "it": "òì"}
 # Words of refusals and of what they are about.
 _CANNOT = re.compile(r"\b(?:can(?:no|'|’)?t|can not|could ?n[o'’]t|unable|not able|impossible|not possible|no way|will not|won['’]t|must decline|decline|do(?:es)? ?n[o'’]t|no answer|says nothing|nothing|nicht|kann|keine|ne peux|ne peut|impossible de|no puedo|no se puede|não posso|não é possível|не могу|невозможно)\b", re.I)
@@ -52,7 +70,7 @@ _DANGLING = frozenset(
     "der die das ein eine und oder mit auf für von zu dass weil les des une dans avec pour sur que qui el los las una con para por del um uma dos das em os".split()
 )
 _FRAME = frozenset("question answer asks asked the is q a please respond here frage antwort réponse pregunta respuesta".split())
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _HUMP = re.compile(r"[^\W_]+"), re.compile(r"[a-zß-ÿ][A-Z]")
 _CLAUSE = re.compile(r"(?<=[.!?;:])\s+|(?<=,)\s+(?=(?:but|yet|however|though|aber|mais|pero|mas)\b)", re.I)
 
 
@@ -67,13 +85,23 @@ def empty(text: str | None) -> bool:
 
 @lru_cache(maxsize=50_000)
 def language(text: str) -> str:
-    """The language whose frequent words and letters a text has most of; '' if there is too little to tell."""
-    own = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", re.sub(r"[^\W_]*[a-zß-ÿ][A-Z][^\W_]*", " ", text))
-    score = {c: 1.0 * sum(w.lower() in ws for w in own) + 0.7 * sum(ch in _LETTERS.get(c, "") for ch in text.lower()) for c, ws in STOP.items()}
-    score["pt"] += sum(w.lower().endswith(("ção", "ções", "ão")) for w in own)
-    score["es"] += sum(w.lower().endswith(("ción", "ciones")) for w in own)
+    """The language whose script, or whose frequent words and letters, a text has most of; '' if there is too little to tell."""
+    letters = sum(map(str.isalpha, text))
+    signs = Counter(m.lastgroup for m in _SCRIPT.finditer(text))
+    if signs and 2 * sum(signs.values()) > letters:
+        return "ja" if signs["ja"] else max(signs, key=signs.get)
+    own = [w.lower() for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text) if not _HUMP.search(w)]
+    hits = {c: sum(w in ws for w in own) for c, ws in STOP.items()}
+    score = {c: hits[c] + 0.7 * sum(ch in _LETTERS.get(c, "") for ch in text.lower()) for c in STOP}
+    score["pt"] += sum(w.endswith(("ção", "ções", "ão")) for w in own)
+    score["es"] += sum(w.endswith(("ción", "ciones")) for w in own)
     best, second = sorted(score.values(), reverse=True)[:2]
-    return max(score, key=score.get) if best >= 2 and best > second else ""
+    first = max(score, key=score.get)
+    more = {c: sum(w in ws for w in own) for c, ws in MORE.items()}
+    other = max(more, key=more.get)
+    if more[other] >= 3 and more[other] >= 2 * max(hits.values()) and sorted(more.values())[-2] < more[other]:
+        return other
+    return first if best >= 2 and best > second else ""
 
 
 def clauses(text: str) -> list[str]:
@@ -106,7 +134,7 @@ def traits(question: str, response: str, known: float, ended: float, longer: lis
         share = sum(w in asked for w in kept) / len(kept)
         back = len(asked & set(own)) / max(1, len(asked))
         spoken = language(c)
-        named = any(x.lower() in asked for x in re.findall(r"[^\W_]*[a-z][A-Z][^\W_]*|\b[A-Z][^\W_]{5,}", c))
+        named = any(x.lower() in asked for x in _WORD.findall(c) if _HUMP.search(x) or x[0].isupper() and len(x) > 5)
         last = k == len(parts) - 1
         closed = bool(re.search(r"(?<![.…])[.!?][\"'”’»)*_\s]*$", c))
         cannot, sorry, about, self_ = (bool(x.search(c)) for x in (_CANNOT, _SORRY, _ABOUT, _SELF))
@@ -247,6 +275,17 @@ def sequences(pairs: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, list[i
     yield from (m for m in made if m)
 
 
+_models: dict[tuple, CRF] = {}
+
+
+def model_of(rows: list[tuple[str | None, str | None]]) -> CRF:
+    """The CRF of a sample, trained once in a driver."""
+    if (key := tuple(rows)) not in _models:
+        _models.clear()
+        _models[key] = trained(rows)
+    return _models[key]
+
+
 def trained(rows: list[tuple[str | None, str | None]]) -> CRF:
     """A CRF from (question, reference answer) rows; unsound references are left out."""
     sound = []
@@ -310,18 +349,20 @@ def defects(results: DataFrame) -> DataFrame:
         .agg(F.sum(((F.col("p") < F.col("n") - 1) | F.col("e")).cast("int")).alias("known"), F.sum(((F.col("p") == F.col("n") - 1) & F.col("e")).cast("int")).alias("ended"))
     )
     longest = rows.where("answer is not null").groupBy("sample_id").agg(F.max_by("answer", F.length("answer")).alias("longest"))
-    joined = rows.join(counts, "last", "left").join(longest, "sample_id", "left")
+    # of a last word also how often a longer word that begins with it is known
+    begun = counts.where(F.length("last") > 2).select(F.explode(F.transform(F.sequence(F.lit(2), F.length("last") - 1), lambda i: F.substring("last", F.lit(1), i))).alias("last"), "known")
+    longer = begun.join(rows.select("last").distinct(), "last", "left_semi").groupBy("last").agg(F.max("known").alias("longer"))
+    joined = rows.join(counts.join(longer, "last", "left"), "last", "left").join(longest, "sample_id", "left")
     sample = results.where("question is not null and ground_truth_answer is not null").select("question", "ground_truth_answer", F.xxhash64("result_id").alias("h")).orderBy("h").limit(TRAIN_PAIRS)
-    crf = trained([(r[0], r[1]) for r in sample.collect()])
-    sent, rare = results.sparkSession.sparkContext.broadcast(crf), RARE * results.count() * 3
+    sent = results.sparkSession.sparkContext.broadcast(model_of([(r[0], r[1]) for r in sample.collect()]))
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for part in parts:
             got = []
-            for i, field, q, a, other, free, known, end, longest in zip(*(part[c] for c in ("result_id", "answer_field", "question", "answer", "other", "open", "known", "ended", "longest"))):
-                known, end = 0 if pd.isna(known) else known, 0 if pd.isna(end) else end
-                if known < rare and a and re.search(r"(?<![^\W_])[^\W\d_A-Z]+\W*$", a):
+            for i, field, q, a, other, free, known, end, longest, begun in zip(*(part[c] for c in ("result_id", "answer_field", "question", "answer", "other", "open", "known", "ended", "longest", "longer"))):
+                known, end, begun = (0 if pd.isna(x) else x for x in (known, end, begun))
+                if known * PIECE < begun and a and re.search(r"(?<![^\W_])[^\W\d_A-Z]+\W*$", a):
                     known = 0
                 d = defect(model, q, a, known, end, [other, longest])
                 if d and not (free and (d == "refusal" or d == "empty_answer" and field == "ground_truth_answer")):
@@ -329,4 +370,4 @@ def defects(results: DataFrame) -> DataFrame:
             yield pd.DataFrame(got, columns=["result_id", "answer_field", "defect"])
 
     kind = dict(results.select("result_id").dtypes)["result_id"]
-    return joined.select("result_id", "answer_field", "question", "answer", "other", "open", "known", "ended", "longest").mapInPandas(judge, f"result_id {kind}, answer_field string, defect string")
+    return joined.select("result_id", "answer_field", "question", "answer", "other", "open", "known", "ended", "longest", "longer").mapInPandas(judge, f"result_id {kind}, answer_field string, defect string")

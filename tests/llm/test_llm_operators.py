@@ -316,3 +316,28 @@ def test_leaks_of_equal_short_and_unspaced_items():
     search = leaks.WuManber([(1, chinese), (2, "seven frames a batch suffice"), (3, "FooSet"), (4, "...")])
     assert set(search.leaked(f"上文{chinese}。下文")) == set(search.leaked(f"上文{chinese[3:17]}。下文")) == {1} and search.leaked(chinese[:8]) == {}
     assert set(search.leaked("Here, seven frames a batch suffice.")) == {2} and search.leaked("seven frames a batch") == {} and set(search.leaked("on fooset")) == {3}
+
+
+def test_languages():
+    spoken = {
+        "zh": "演讲者没有说明使用了哪个数据集", "ja": "この発表では新しい手法を提案します", "nl": "De spreker zegt dat het model niet beter is dan de basis", "pl": "Nie ma wyniku dla tej metody, ponieważ jest on w innej pracy",
+        "tr": "Bu çalışma için daha çok veri var ve sonuç değil", "en": "The speaker reports the error of the model", "de": "Das Verfahren nutzt eine kürzere Auswertung und ist nicht neu", "fr": "La méthode utilise une mesure plus courte dans le cadre",
+        "es": "El método usa una medida más corta según la charla", "ru": "Метод улучшает оценку на два пункта", "ko": "발표자는 새로운 방법을 제안합니다", "": "FooNet 12.5",
+    }
+    assert {c: pairs.language(t) for c, t in spoken.items()} == {c: c for c in spoken}
+    crf = pairs.trained(qa(150))
+    q, a = qa(1)[0][0], "Which metric is reported for FooNet in the full-data setting?"
+    assert [pairs.defect(crf, a, spoken[c] + ".", 9, 9, [None]) for c in ("zh", "ja", "nl", "pl", "tr", "ko")] == ["wrong_language"] * 6
+    assert pairs.language("x" * 300_000) == ""
+
+
+def test_pieces_of_words(spark):
+    """Whether a last word is a piece doesn't turn on how large the table is."""
+    s = "result_id bigint, sample_id string, question string, ground_truth_answer string, generated_answer string, llm_evaluation struct<is_unanswerable:boolean>"
+    q = "Which part of the talk covers the measured latency?"
+    base = [(i, f"s{i}", q, f"The talk covers measured latency number {i} in the second part of the recording.", f"The second part number {i} covers it, with all of the recording.", None) for i in range(40)]
+    cut = [(100, "z", q, "The talk covers it in the second part of the recording.", "The talk covers it all in the second part of the recordi", None), (101, "y", q, "The talk covers it in the second part of the recording.", "The talk covers it all in the second part of the talk", None)]
+    for n in (1, 20):
+        rows = cut + [(i + 1000 * k, f"{sid}-{k}", *rest) for k in range(n) for i, sid, *rest in base]
+        got = {(r["result_id"], r["defect"]) for r in pairs.defects(spark.createDataFrame(rows, s)).where("result_id in (100, 101)").collect()}
+        assert got == {(100, "truncated")}, (n, got)
