@@ -336,7 +336,7 @@ def test_pieces_of_words(spark):
     s = "result_id bigint, sample_id string, question string, ground_truth_answer string, generated_answer string, llm_evaluation struct<is_unanswerable:boolean>"
     q = "Which part of the talk covers the measured latency?"
     base = [(i, f"s{i}", q, f"The talk covers measured latency number {i} in the second part of the recording.", f"The second part number {i} covers it, with all of the recording.", None) for i in range(40)]
-    cut = [(100, "z", q, "The talk covers it in the second part of the recording.", "The talk covers it all in the second part of the recordi", None), (101, "y", q, "The talk covers it in the second part of the recording.", "The talk covers it all in the second part of the talk", None)]
+    cut = [(100, "z", q, "The talk covers it in the second part of the recording.", "The talk covers it all in the second part of the recordi", None), (101, "y", q, "The talk covers it in the second part of the recording.", "It is all in the second part of the recording", None)]
     for n in (1, 20):
         rows = cut + [(i + 1000 * k, f"{sid}-{k}", *rest) for k in range(n) for i, sid, *rest in base]
         got = {(r["result_id"], r["defect"]) for r in pairs.defects(spark.createDataFrame(rows, s)).where("result_id in (100, 101)").collect()}
