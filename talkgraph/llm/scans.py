@@ -1,7 +1,8 @@
 """Text of scanned pages made readable: running headers, page numbers, hyphenation and misread letters.
 
-Headers and footers are lines that recur, but for page numbers, letter case, marks and misread letters, at
-the page edges of their session; lone page numbers are told by their form, place and sequence. The words of
+Headers and footers are lines that recur, but for page numbers, letter case, marks, misread letters and a few
+lost or added ones, at the page edges of their session; lone page numbers are told by their form and place, or
+by the session's sequence, in which they keep their distance from the pages. The words of
 all pages are counted: a word broken over two lines is joined unless the corpus knows it with its hyphen, and
 a word is misread if common confusions of letters turn a much more frequent word into it. What is left is
 joined into paragraphs.
@@ -23,6 +24,12 @@ from talkgraph.functions.shared import written
 HEAD_EDGE, EDGE = 1, 2
 #: Words of a header at least, and pages of the session that have to show it.
 HEADER_WORDS, HEADER_PAGES = 4, 2
+#: Two header lines are one if they begin or end with the same PINNED words and differ in this share of their letters, or, with LONG words at least, in EXTRA words before or after, at most.
+PINNED, LOOSE, EXTRA, LONG = 3, 0.1, 2, 6
+#: Share of a session's edge lines that a header has which lines are compared with like that.
+OFTEN = 0.01
+#: Pages of a session on which printed numbers have to keep one distance from the page.
+SEQUENCE = 3
 #: How much more frequent the right word is than its misread form: of letters alone, and with foreign signs in it.
 RATIO, RATIO_SIGNS = 8, 1
 #: Letters and what they are taken for (fixed values).
@@ -30,6 +37,8 @@ CONFUSIONS = (
     ("e", "c"), ("a", "@"), ("s", "5"), ("i", "l"), ("i", "1"), ("ti", "fi"), ("o", "0"), ("l", "1"), ("d", "cl"), ("cl", "d"), ("m", "rn"), ("u", "ii"),
     ("g", "q"), ("g", "9"), ("h", "b"), ("y", "v"), ("b", "6"), ("li", "h"), ("w", "vv"), ("z", "2"), ("s", "$"), ("t", "+"), ("l", "|"), ("i", "!"),
 )
+#: Words that come and go in running headers (fixed values).
+FURNITURE = frozenset("page p pp vol no proceedings preprint draft".split())
 #: Marks of a broken word; all but the first are never part of one.
 MARKS = "-‐¬­"
 
@@ -112,7 +121,7 @@ def lines_of(text: str) -> list[str]:
 def header_key(line: str) -> str:
     """A line without page numbers, marks, letter case and misread letters."""
     words = [w for w in _TOKEN.findall(line.lower()) if not w.isdigit()]
-    return " ".join(fold(w) for w in words if w not in ("proceedings", "page", "p"))
+    return " ".join(fold(w) for w in words if w not in FURNITURE)
 
 
 def page_number(line: str, place: str, page: int | None) -> bool:
@@ -124,12 +133,13 @@ def page_number(line: str, place: str, page: int | None) -> bool:
     return bool(dressed) or place == "edge" or (page is not None and (abs(int(m[2]) - page) <= 1 or str(page).endswith(m[2])))
 
 
-def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, str, bool, bool]], list[tuple[int, str, str, str]], list[int]]:
-    """(distinct words, (line, key, at an edge, stands by itself), (line, left, right, mark) of breaks, page-number lines)."""
+def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, str, bool, bool]], list[tuple[int, str, str, str]], list[int], list[tuple[int, int]]]:
+    """(distinct words, (line, key, at an edge, stands by itself), (line, left, right, mark) of breaks, page-number lines, (line, number) of lone numbers)."""
     lines = lines_of(text)
     full = [i for i, x in enumerate(lines) if x.strip()]
     edge = {*full[:EDGE], *full[-EDGE:]}
     numbers = [i for i in full if page_number(lines[i], "edge" if i in (full[0], full[-1]) or i in edge and len(full) > 2 * EDGE else "inside", page)] if len(full) > 1 else []
+    alone = [(i, int(m[2])) for i in full if len(full) > 1 and len(lines[i]) <= 24 and (m := _ALONE.fullmatch(lines[i].strip())) and (i in numbers or lines[i].strip().isdigit())]
     body = [i for i in full if i not in numbers]
     ends = {*body[:HEAD_EDGE], *body[-HEAD_EDGE:]}
     words: set[str] = set()
@@ -146,31 +156,58 @@ def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, st
         clean = line.strip().strip("*_ \t")
         key = header_key(line)
         if key.count(" ") + 1 >= HEADER_WORDS and not _LISTED.match(line.replace("*", " ", 1) if line.lstrip().startswith("*") and not line.lstrip().startswith("* ") else line) and not re.search(r"[.!?;,:]$|[-‐¬­]$|[.;!?]\s+\w", clean):
-            at = body.index(i)
-            before = lines[body[at - 1]].strip() if at else ""
+            before = lines[body[k - 1]].strip() if k else ""
             lower = after.lstrip()[:1].islower()
-            own = not lower if at == 0 or (at == 1 and not clean[:1].islower()) else not clean[:1].islower() or before[-1:] in ".!?:;%”\"" or not before
+            own = not lower if k == 0 or (k == 1 and not clean[:1].islower()) else not clean[:1].islower() or before[-1:] in ".!?:;%”\"" or not before
             keys.append((i, key, i in ends, bool(own)))
     for i in body:
         stop, start = (*skip.get(i, (10**9, 0)), 0)[:2]
         part = lines[i][start:stop] if i in skip else lines[i]
         words.update(w for w in (x.lower() for x in _TOKEN.findall(part)) if not w.isdigit())
         words.update(x.lower() for x in _COMPOUND.findall(part))
-    return sorted(words), keys, breaks, numbers
+    return sorted(words), keys, breaks, numbers, alone
 
 
 _FEATURES = """source_table string, row_key string, session string, page int, text string, words array<string>,
-lines array<struct<i:int,key:string,edge:boolean,own:boolean>>, breaks array<struct<i:int,left:string,right:string,mark:string>>, numbers array<int>"""
+lines array<struct<i:int,key:string,edge:boolean,own:boolean>>, breaks array<struct<i:int,left:string,right:string,mark:string>>, numbers array<int>, alone array<struct<i:int,n:int>>"""
+
+
+_FIELDS = {"words": None, "lines": ("i", "key", "edge", "own"), "breaks": ("i", "left", "right", "mark"), "numbers": None, "alone": ("i", "n")}
 
 
 def _featured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         got = [features(t, None if p is None or p != p else int(p)) for t, p in zip(part["text"], part["page"])]
-        for c, k in zip(("words", "lines", "breaks", "numbers"), range(4)):
-            part[c] = [x[k] if k in (0, 3) else [dict(zip(("i", "key", "edge", "own") if k == 1 else ("i", "left", "right", "mark"), y)) for y in x[k]] for x in got]
+        for k, (c, fields) in enumerate(_FIELDS.items()):
+            part[c] = [x[k] if fields is None else [dict(zip(fields, y)) for y in x[k]] for x in got]
         yield part
 
 
+def header_keys(at: DataFrame) -> DataFrame:
+    """(session, key) of the running headers among lines (session, key, edge, own): keys that recur in their session and
+    stand at a page edge, those that do so counted together with keys that are near them, and keys near one of these.
+    Near keys count only for lines that are often at the session's edges, as a long session has like lines by chance."""
+    keys = at.groupBy("session", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"), F.sum(F.col("edge").cast("int")).alias("n_edge"))
+    keys = written(keys, "scan-keys")
+    pins = lambda df: df.withColumn("pin", F.explode(F.array(F.xxhash64("session", F.lit(0), F.substring_index("key", " ", PINNED)), F.xxhash64("session", F.lit(1), F.substring_index("key", " ", -PINNED)))))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    size = lambda c: F.size(F.split(c, " "))
+    longer = (F.contains(padded("key"), padded("other")) | F.contains(padded("other"), padded("key"))) & (F.abs(size("key") - size("other")) <= EXTRA) & ((F.least(size("key"), size("other")) >= LONG) | (F.col("key") == F.col("other")))
+    near = (F.levenshtein("key", "other", 12) >= 0) & (F.levenshtein("key", "other", 12) <= F.greatest(F.lit(1), F.floor(F.length("key") * LOOSE)))
+    edge = keys.where("n_edge > 0")
+    other = pins(edge).select("pin", F.col("session").alias("s2"), F.col("key").alias("other"), F.struct("n", "n_own", "n_edge").alias("c"))
+    met = pins(edge.select("session", "key")).join(other, "pin").where(F.col("session").eqNullSafe(F.col("s2")) & (longer | near)).select("session", "key", "other", "c").distinct()
+    sums = lambda p, when: [F.sum(F.when(when, F.col(f"c.{c}"))).alias(p + c) for c in ("n", "n_own", "n_edge")]
+    total = met.groupBy("session", "key").agg(*sums("", F.lit(True)), *sums("c_", F.col("key") == F.col("other")))
+    edges = edge.groupBy("session").agg(F.sum("n_edge").alias("edges"))
+    recurs = lambda p: ((F.col(f"{p}n_edge") >= HEADER_PAGES) | (F.col(f"{p}n_edge") > 0) & (F.col(f"{p}n") > HEADER_PAGES)) & (F.col(f"{p}n_own") * 3 >= F.col(f"{p}n"))
+    often = F.col("n_edge") >= F.greatest(F.lit(HEADER_PAGES), F.col("edges") * OFTEN)
+    total = total.alias("t").join(edges.alias("e"), F.col("t.session").eqNullSafe(F.col("e.session"))).select("t.*", "edges").withColumn("often", often & recurs(""))
+    heads = written(total.where(F.col("often") | recurs("c_")).select("session", "key", "often"), "scan-heads")
+    loose = pins(keys.select("session", "key")).join(pins(heads).select("pin", F.col("session").alias("s2"), F.col("key").alias("other"), "often"), "pin").where(F.col("session").eqNullSafe(F.col("s2")) & F.col("often") & (longer | near))
+    return heads.select("session", "key").union(loose.select("session", "key")).distinct()
+
+
 def misreadings(vocabulary: DataFrame) -> DataFrame:
     """(seen, right) from (word, n): misread words with what they stand for."""
     folded = F.pandas_udf(lambda s: s.map(fold), "string")
@@ -221,32 +258,33 @@ def cleaned(records: DataFrame) -> DataFrame:
     has = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
     feats = written(base.where(has).mapInPandas(_featured, _FEATURES).withColumn("rid", F.xxhash64("source_table", "row_key", "text")), "scan-features")
     vocabulary = written(feats.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "scan-words")
-    # headers: keys that recur in their session and stand at a page edge, then every line that has such a key
+    # headers: every line that has a header's key
     at = feats.select("rid", "row_key", "session", F.explode("lines").alias("l")).select("rid", "row_key", "session", "l.*")
-    keys = (
-        at.groupBy("session", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"), F.sum(F.col("edge").cast("int")).alias("n_edge"))
-        .where(((F.col("n_edge") >= HEADER_PAGES) | (F.col("n_edge") > 0) & (F.col("n") > HEADER_PAGES)) & (F.col("n_own") * 3 >= F.col("n"))).select("session", "key")
-    )
-    a, k = at.alias("a"), keys.alias("k")
-    headers = a.join(k, (F.col("a.session").eqNullSafe(F.col("k.session"))) & (F.col("a.key") == F.col("k.key"))).groupBy("a.rid", "a.row_key").agg(F.collect_set("a.i").alias("headers"))
+    a, k = at.alias("a"), header_keys(at).alias("k")
+    mark = lambda df, kind, i="i", how=None, seen=None: df.select("rid", "row_key", F.lit(kind).alias("kind"), (F.lit(-1) if i is None else F.col(i)).alias("i"), F.lit(None).cast("string").alias("how") if how is None else how.alias("how"), F.lit(None).cast("string").alias("seen") if seen is None else F.col(seen).alias("seen"))
+    headers = a.join(k, (F.col("a.session").eqNullSafe(F.col("k.session"))) & (F.col("a.key") == F.col("k.key"))).select("a.rid", "a.row_key", "a.i")
+    # page numbers by the session's sequence
+    lone = feats.where("page is not null").select("rid", "row_key", "source_table", F.coalesce("session", F.lit("")).alias("session"), "page", F.explode("alone").alias("l")).select("rid", "row_key", "source_table", "session", "page", "l.i", (F.col("l.n") - F.col("page")).alias("off"))
+    runs = lone.groupBy("source_table", "session", "off").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= SEQUENCE).drop("pages")
+    numbers = lone.join(runs, ["source_table", "session", "off"])
     # misread words
     wrong = misreadings(vocabulary)
-    fixes = (
-        feats.select("rid", "row_key", F.explode("words").alias("seen")).join(wrong, "seen")
-        .groupBy("rid", "row_key").agg(F.map_from_entries(F.collect_set(F.struct("seen", "right"))).alias("fixes"))
-    )
+    fixes = feats.select("rid", "row_key", F.explode("words").alias("seen")).join(wrong, "seen")
     # broken words: kept only if the corpus knows them with the hyphen
     br = feats.select("rid", "row_key", F.explode("breaks").alias("b")).select("rid", "row_key", "b.*", F.concat("b.left", F.lit("-"), "b.right").alias("comp"), F.concat("b.left", "b.right").alias("whole"))
     counts = vocabulary.select(F.col("word").alias("w"), F.col("n").alias("wn"))
-    sure = br.where(F.col("mark") != "-").select("rid", "row_key", "i", F.lit("join").alias("how"))
     doubt = (
         br.where(F.col("mark") == "-").join(counts.withColumnRenamed("w", "comp").withColumnRenamed("wn", "n_comp"), "comp", "left")
         .join(counts.withColumnRenamed("w", "whole").withColumnRenamed("wn", "n_whole"), "whole", "left")
-        .select("rid", "row_key", "i", F.when(F.coalesce("n_comp", F.lit(0)) > F.coalesce("n_whole", F.lit(0)), "keep").otherwise("join").alias("how"))
+        .withColumn("how", F.when(F.coalesce("n_comp", F.lit(0)) > F.coalesce("n_whole", F.lit(0)), "keep").otherwise("join"))
     )
-    hows = sure.union(doubt).groupBy("rid", "row_key").agg(F.map_from_entries(F.collect_set(F.struct("i", "how"))).alias("hows"))
-    out = feats.select("rid", "source_table", "row_key", "text", "numbers").join(headers, ["rid", "row_key"], "left").join(fixes, ["rid", "row_key"], "left").join(hows, ["rid", "row_key"], "left")
-    made = out.mapInPandas(_assemble, "source_table string, row_key string, clean_text string, noise array<string>")
+    sure = br.where(F.col("mark") != "-")
+    # all marks of a text are one row before the texts are met
+    marks = mark(headers, "header").union(mark(numbers, "number")).union(mark(fixes, "fix", None, F.col("right"), "seen")).union(mark(sure, "break", "i", F.lit("join"))).union(mark(doubt, "break", "i", F.col("how")))
+    of = lambda kind, x: F.collect_set(F.when(F.col("kind") == kind, x))
+    marks = marks.groupBy("rid", "row_key").agg(of("header", F.col("i")).alias("headers"), of("number", F.col("i")).alias("more"), of("fix", F.struct("seen", "how")).alias("fixes"), of("break", F.struct("i", "how")).alias("hows"))
+    out = feats.select("rid", "source_table", "row_key", "text", "numbers").join(marks, ["rid", "row_key"], "left")
+    made = out.withColumns({"fixes": F.map_from_entries("fixes"), "hows": F.map_from_entries("hows"), "numbers": F.array_union("numbers", F.coalesce("more", F.array().cast("array<int>")))}).mapInPandas(_assemble, "source_table string, row_key string, clean_text string, noise array<string>")
     none = F.array().cast("array<string>")
     return made.union(base.where(~has | F.col("text").isNull()).select("source_table", "row_key", F.col("text").alias("clean_text"), none))
 

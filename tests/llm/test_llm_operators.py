@@ -341,3 +341,15 @@ def test_pieces_of_words(spark):
         rows = cut + [(i + 1000 * k, f"{sid}-{k}", *rest) for k in range(n) for i, sid, *rest in base]
         got = {(r["result_id"], r["defect"]) for r in pairs.defects(spark.createDataFrame(rows, s)).where("result_id in (100, 101)").collect()}
         assert got == {(100, "truncated")}, (n, got)
+
+
+def test_headers_that_lost_letters_and_numbers_in_sequence(spark):
+    head = "KiloBank: layered reader for lecture summaries"
+    damaged = [head, head.replace("layered", "layred"), head.replace("summaries", "sumaries"), f"confname 2031, {head}", head.replace("reader", "reder"), head + " 7"]
+    body = "The narrow parser was compared\n{n}\nwith faithful rankers, and the margin of chapter {w} fell."
+    words = ["one", "two", "three", "four", "five", "six"]
+    rows = [("t", f"k{i}", "s", i + 1, f"{h}\n" + body.format(n=i + 101, w=words[i]), "z") for i, h in enumerate(damaged)]
+    rows += [("t", "other", "s", 9, "Some lines of text stand here\n640\nand the rest of it follows.", "z")]
+    got = {r["row_key"]: r for r in scans.cleaned(spark.createDataFrame(rows, "source_table string, row_key string, session string, page int, text string, i string")).collect()}
+    assert all({"header", "page_number"} <= set(got[f"k{i}"]["noise"]) for i in range(6)) and got["other"]["noise"] == []
+    assert all(got[f"k{i}"]["clean_text"] == f"The narrow parser was compared with faithful rankers, and the margin of chapter {words[i]} fell." for i in range(6))
