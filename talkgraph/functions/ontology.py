@@ -42,6 +42,8 @@ CUES = {
     "Limitation": (r"\b(limitation|future work|however|fails|challenge|difficult|still hard)\b", 0.62, 10),
     "Metric": (None, 0.70, 20),
 }
+#: Summaries of regions that say nothing.
+UNINFORMATIVE = r"(?i)\b(blank|empty|no visible text|no textual content|no visual elements|cannot determine)\b"
 DISFLUENCY = r"\b(uh|um|erm|hmm|i mean|actually|well|let me rephrase|sorry)\b"
 DEICTIC = r"\b(here|this curve|this line|the red line|this figure|this table)\b"
 TRANSITION = r"\b(however|but|nevertheless|yet|on the other hand|in contrast)\b"

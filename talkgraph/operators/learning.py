@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgraph.functions import text as X
+from talkgraph.operators import blocks as B
 from talkgraph.operators.triples import allowed_pairs
 
 
@@ -20,20 +23,31 @@ def hard_negatives(positives: DataFrame, pool: DataFrame, existing: DataFrame, k
 
     positives: edge_id, sample_id, head_id, head_type, head_content, relation, tail_id, tail_type, tail_content;
     pool: sample_id, id, type, content; existing: head_id, relation, tail_id. Every candidate of the session and
-    type is scored, as those without a common word fill up; only the k best of a positive go beyond a task.
+    type is scored, as those without a common word fill up, in blocks; only the best of a positive go beyond a task.
+    A null tail id excludes no candidate.
     """
-    cand = pool.where("id is not null").select("sample_id", F.col("id").alias("cid"), F.col("type").alias("tail_type"), F.col("content").alias("cc")).dropDuplicates(["sample_id", "cid", "tail_type"])
-    c = cand.withColumn("ct", X.tokens(F.coalesce("cc", F.lit(""))))
-    p = positives.withColumn("tt", X.tokens(F.coalesce("tail_content", F.lit("")))).withColumn("ht", X.tokens(F.coalesce("head_content", F.lit(""))))
-    ok = p.join(F.broadcast(allowed_pairs(p)), ["head_type", "relation", "tail_type"], "left_semi")
-    pairs = ok.join(c, ["sample_id", "tail_type"]).where("cid <> tail_id")
-    pairs = pairs.join(existing.select("head_id", "relation", F.col("tail_id").alias("cid")).distinct(), ["head_id", "relation", "cid"], "left_anti")
-    sim = F.round(X.jaccard(F.col("tt"), F.col("ct")) + 0.15 * X.jaccard(F.col("ht"), F.col("ct")), 6)
-    w = Window.partitionBy("edge_id").orderBy(F.desc("sim"), "h", "cid")
-    return (
-        pairs.select("edge_id", "cid", sim.alias("sim"), F.md5(F.concat("cid", F.lit(f"|{seed}"))).alias("h"))
-        .withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("edge_id", F.col("cid").alias("neg_tail"), "sim", "rk")
+    ok = positives.join(F.broadcast(allowed_pairs(positives)), ["head_type", "relation", "tail_type"], "left_semi")
+    known = existing.dropDuplicates(["head_id", "relation", "tail_id"])
+    # a positive asks for so many more as edges of its head and relation may be among the best
+    more = known.groupBy("head_id", "relation").agg(F.count("*").alias("more"))
+    left = ok.join(more, ["head_id", "relation"], "left").select(
+        "sample_id", "tail_type", F.col("edge_id").alias("lid"), "tail_id", (F.lit(k) + F.coalesce("more", F.lit(0))).cast("int").alias("need"),
+        X.tokens(F.coalesce("tail_content", F.lit(""))).alias("tt"), X.tokens(F.coalesce("head_content", F.lit(""))).alias("ht"),
     )
+    right = (
+        pool.where("id is not null").select("sample_id", F.col("id").alias("rid"), F.col("type").alias("tail_type"), X.tokens(F.coalesce("content", F.lit(""))).alias("ct"), F.md5(F.concat("id", F.lit(f"|{seed}"))).alias("h"))
+        .dropDuplicates(["sample_id", "rid", "tail_type"])
+    )
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        s = B.half_up(B.jaccard(a["tt"], b["ct"]) + 0.15 * B.jaccard(a["ht"], b["ct"]), 6)
+        return np.where(a["tail_id"].to_numpy(object)[:, None] == b["rid"].to_numpy(object)[None, :], np.nan, s)
+
+    near = B.best(left, right, ["sample_id", "tail_type"], score, tie=["h", "rid"])
+    named = near.join(ok.select(F.col("edge_id").alias("lid"), "head_id", "relation"), "lid")
+    fresh = named.join(known.withColumnRenamed("tail_id", "rid"), ["head_id", "relation", "rid"], "left_anti")
+    w = Window.partitionBy("lid").orderBy("rk")
+    return fresh.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select(F.col("lid").alias("edge_id"), F.col("rid").alias("neg_tail"), F.col("score").alias("sim"), F.col("k").alias("rk"))
 
 
 def balanced_weights(edges: DataFrame) -> DataFrame:
@@ -87,20 +101,20 @@ def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return f1.agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.count("*").alias("n_labels"))
 
 
-def qa_summary(results: DataFrame) -> DataFrame:
-    """Accuracy, refusal, support, retrieval and time over all results without an error; rates of nothing are null."""
+def qa_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Accuracy, refusal, support, retrieval and time over all results without an error, or those of each group; rates of nothing are null."""
     e = "llm_evaluation"
     ok = F.col("error").isNull() | (F.trim("error") == "")
     open_ = F.coalesce(F.col(f"{e}.is_unanswerable"), F.lit(False))
     judged, correct = F.col(f"{e}.is_correct").isNotNull(), F.coalesce(F.col(f"{e}.is_correct"), F.lit(False))
     r = results.select(
-        ok.alias("ok"), (ok & ~open_).alias("ans"), (ok & open_).alias("unans"), (ok & ~open_ & judged).alias("ae"), (ok & judged).alias("je"), correct.alias("correct"),
+        *(by or []), ok.alias("ok"), (ok & ~open_).alias("ans"), (ok & open_).alias("unans"), (ok & ~open_ & judged).alias("ae"), (ok & judged).alias("je"), correct.alias("correct"),
         F.coalesce(F.col(f"{e}.context_supports_answer"), F.lit(False)).alias("ctx"), (ok & open_ & F.col(f"{e}.properly_refused").isNotNull()).alias("ue"), F.coalesce(F.col(f"{e}.properly_refused"), F.lit(False)).alias("refused"),
         F.coalesce(F.col("retrieval_metrics.node_recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("retrieval_metrics.node_f1"), F.lit(0.0)).alias("f1"), F.coalesce("timing", F.lit(0.0)).alias("timing"),
     )
     rate = lambda hit, base: F.round(F.try_divide(F.count_if(F.col(base) & F.col(hit)), F.count_if(F.col(base))), 6)
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("ok"), F.col(c))), F.lit(0.0)), 6)
-    return r.agg(
+    return r.groupBy(*(by or [])).agg(
         F.count("*").alias("total_samples"), F.count_if(~F.col("ok")).alias("error_count"), F.count_if("ans").alias("answerable_count"), F.count_if("unans").alias("unanswerable_count"),
         rate("correct", "ae").alias("answerable_accuracy"), rate("ctx", "ae").alias("context_support_ratio"), rate("refused", "ue").alias("unanswerable_refusal_rate"), rate("correct", "je").alias("overall_accuracy"),
         mean("recall").alias("avg_node_recall"), mean("f1").alias("avg_node_f1"), mean("timing").alias("avg_time"),
@@ -136,3 +150,35 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFr
     x = tf.join(df, "term").join(F.broadcast(n), F.lit(True)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     return x.join(length, id_col).select(id_col, "term", F.round(F.col("x") / F.col("len"), 5).alias("weight"))
+
+
+def supervision(triples: DataFrame, links: DataFrame, negatives: int = 3, medium_weight: float = 0.7) -> DataFrame:
+    """Training rows of a graph's edges: strong and medium ones as positives, for each up to ``negatives`` hard negatives
+    (two at most whose tails are nodes with paper evidence, the rest from all nodes of the session's edges, none twice), and
+    weak edges for analysis only, out of the loss.
+
+    triples: triple_id, sample_id, head_*, relation, tail_*, tier, is_repaired; links: evidence_links. Returns edge_id,
+    sample_id, the edge, source_type, negative_type, sample_weight, edge_target, include_in_loss.
+    """
+    low = F.lower(F.trim(F.coalesce("tier", F.lit(""))))
+    t = triples.withColumn("t", F.when(low.isin("strong", "medium"), low).otherwise("weak")).withColumn("edge_id", F.col("triple_id").cast("string"))
+    edge = ["edge_id", "sample_id", "head_id", "head_type", "head_content", "relation", "tail_id", "tail_type", "tail_content"]
+    repaired = F.coalesce("is_repaired", F.lit(False)) & (F.col("t") != "weak")
+    row = lambda df, st, neg, w, target, loss: df.select(*edge, st.alias("source_type"), neg.alias("negative_type"), w.alias("sample_weight"), target.alias("edge_target"), loss.alias("include_in_loss"))
+    none, strong = F.lit(None).cast("string"), F.col("t") == "strong"
+    pos = t.where("t <> 'weak'")
+    own = row(pos, F.when(repaired, "repaired").otherwise(F.col("t")), none, F.when(strong, 1.0).otherwise(medium_weight), F.when(strong, 1.0).otherwise(0.7), F.lit(True))
+    weak = row(t.where("t = 'weak'"), F.lit("weak"), none, F.lit(0.0), F.lit(0.0), F.lit(False))
+    end = lambda e: F.struct(F.col(f"{e}_id").alias("id"), F.col(f"{e}_type").alias("type"), F.col(f"{e}_content").alias("content"))
+    latest = lambda df: df.where("id is not null and type is not null").groupBy("sample_id", "id", "type").agg(F.max("content").alias("content"))
+    session = latest(t.select("sample_id", F.explode(F.array(end("head"), end("tail"))).alias("n")).select("sample_id", "n.*"))
+    paper = latest(links.where("size(paper_chunks) > 0").select("sample_id", F.col("node_id").alias("id"), F.col("node_type").alias("type"), "content"))
+    known = t.where("head_id is not null and tail_id is not null").select("head_id", "relation", "tail_id")
+    ask = pos.where("head_id is not null and tail_id is not null").select(*edge)
+    first = hard_negatives(ask, paper, known, min(2, negatives)).select("edge_id", "neg_tail", F.lit("paper_hard").alias("kind"), "rk")
+    rest = hard_negatives(ask, session, known, negatives + 2).select("edge_id", "neg_tail", F.lit("session_hard").alias("kind"), (F.col("rk") + 100).alias("rk"))
+    w = Window.partitionBy("edge_id").orderBy("rk")
+    best = first.union(rest).groupBy("edge_id", "neg_tail").agg(F.min(F.struct("rk", "kind")).alias("k")).select("edge_id", "neg_tail", "k.*").withColumn("n", F.row_number().over(w)).where(F.col("n") <= negatives)
+    tails = session.select(F.col("id").alias("neg_tail"), F.col("type").alias("new_type"), F.col("content").alias("new_content")).union(paper.select("id", "type", "content")).groupBy("neg_tail").agg(F.min("new_type").alias("new_type"), F.max("new_content").alias("new_content"))
+    made = best.join(ask, "edge_id").join(tails, "neg_tail").withColumns({"edge_id": F.concat("edge_id", F.lit("-"), F.col("n").cast("string")), "tail_id": F.col("neg_tail"), "tail_type": F.col("new_type"), "tail_content": F.col("new_content")})
+    return own.union(row(made, F.lit("hard_negative"), F.col("kind"), F.lit(1.0), F.lit(0.0), F.lit(True))).union(weak)

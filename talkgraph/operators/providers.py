@@ -1,7 +1,7 @@
 """External models behind pluggable functions, with deterministic offline defaults.
 
 A provider is a function of a list of inputs that returns a list of outputs; it is called once for each Arrow
-batch of distinct inputs, which is the cache, and ``lanes`` tasks at a time bound the concurrency.
+batch of distinct inputs.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgraph.functions.shared import written
+
 Provider = Callable[[list[str]], list]
 #: Characters of a text that are embedded (the services' limit, fixed value).
 EMBED_CHARS = 4000
@@ -37,25 +39,43 @@ def keyword_answer(prompts: list[str]) -> list[str]:
     return [next((x.strip() for x in p.splitlines()[1:] if x.strip()), "No answer.") for p in prompts]
 
 
-def called(df: DataFrame, text_col: str, out_col: str, out_type: str, provider: Provider, lanes: int = 8, interval_s: float = 0.0, retries: int = 3) -> DataFrame:
-    """df with the provider's output for each text. Null texts get null; a batch that fails for good gets nulls."""
-    todo = df.select(F.col(text_col).alias("_t")).where("_t is not null").distinct().coalesce(lanes)
+def called(df: DataFrame, text_col: str, out_col: str, out_type: str, provider: Provider, lanes: int | None = None, interval_s: float = 0.0, retries: int = 3, dead: str | None = None) -> DataFrame:
+    """df with the provider's output for each text; null texts get null.
+
+    Distinct texts are the cache. lanes bounds the tasks that call a remote service at once; without it every task calls.
+    A batch that fails is retried, then its items one by one; what fails for good gets null, and with ``dead`` its
+    text and error are written to that folder, the dead letters.
+    """
+    todo = df.select(F.col(text_col).alias("_t")).where("_t is not null").distinct()
+    todo = todo.repartition(lanes, "_t") if lanes else todo
+
+    def tried(texts: list[str]) -> tuple[list | None, str]:
+        error = ""
+        for attempt in range(retries):
+            try:
+                return provider(texts), ""
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"[:500]
+                time.sleep(min(8.0, 0.8 * 2**attempt) if interval_s else 0)
+        return None, error
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts, got = part["_t"].tolist(), None
-            for attempt in range(retries):
-                try:
-                    got = provider(texts)
-                    break
-                except Exception:  # noqa: BLE001
-                    time.sleep(min(8.0, 0.8 * 2**attempt) if interval_s else 0)
+            texts = part["_t"].tolist()
+            got, error = tried(texts)
+            errors = [error] * len(texts)
+            if got is None:
+                each = [tried([t]) for t in texts]
+                got, errors = [g[0] if g else None for g, _ in each], [e for _, e in each]
             if interval_s:
-                time.sleep(interval_s * lanes)
-            yield pd.DataFrame({"_t": texts, out_col: got if got is not None else [None] * len(texts)})
-
-    made = todo.mapInPandas(run, f"_t string, `{out_col}` {out_type}")
-    return df.join(made, df[text_col] == made["_t"], "left").drop("_t")
+                time.sleep(interval_s * (lanes or 1))
+            yield pd.DataFrame({"_t": texts, out_col: got, "_error": [e or None for e in errors]})
+
+    made = todo.mapInPandas(run, f"_t string, `{out_col}` {out_type}, _error string")
+    if dead:
+        made = written(made, "provided")
+        made.where("_error is not null").select(F.col("_t").alias("text"), F.col("_error").alias("error")).write.mode("append").json(dead)
+    return df.join(made.drop("_error"), df[text_col] == made["_t"], "left").drop("_t")
 
 
 def embedded(df: DataFrame, text_col: str, provider: Provider = hashed_embedding) -> DataFrame:

@@ -1,7 +1,6 @@
 """Vector retrieval, expansion to triples and reranking, for batches of questions.
 
-Questions are the stated query set; they are broadcast only after their size has been checked, and joined by
-shuffled blocks otherwise. Every cut is a window over (question, ...), of which Spark keeps only the first
+Questions are the stated query set; they go to the vectors in blocks whose bytes are checked. Every cut is a window over (question, ...), of which Spark keeps only the first
 rows before the shuffle.
 """
 
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from talkgraph.functions import vectors as V
 
-#: Questions sent to every executor at most; more are searched in blocks of as many.
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors sent to every executor at most; more are searched in blocks of as many.
+BROADCAST_BYTES = 16 << 20
 CHANNEL_WEIGHTS = {"question": 0.3, "baseline_constraint": 0.25, "metric_constraint": 0.25, "experiment_setting": 0.25, "section_constraint": 0.25, "target_unit": 0.15}
 CHANNEL_TOP = {"question": 50, "baseline_constraint": 30, "metric_constraint": 30, "experiment_setting": 30, "section_constraint": 30, "target_unit": 20}
 
@@ -33,14 +32,12 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, same: str |
 
     if same:
         return best(queries)
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        return best(queries)
-    parts = -(-n // BROADCAST_QUERIES)
-    split = [best(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)) for i in range(parts)]
-    out = split[0]
-    for s in split[1:]:
-        out = out.union(s)
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("qv")), F.lit(1))).first()
+    parts = max(1, -(-n * (8 * max(1, width) + 64) // BROADCAST_BYTES))
+    out = None
+    for i in range(parts):
+        one = best(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i))
+        out = one if out is None else out.union(one)
     return out
 
 
@@ -62,10 +59,10 @@ def centroid_boost(hits: DataFrame, vectors: DataFrame, alpha: float = 0.15) ->
     return h.join(mean, "qid").select("qid", "node_id", F.round(F.col("score") * (1 + alpha * V.cosine(F.col("v"), F.col("c"))), 5).alias("score"))
 
 
-def expand(hits: DataFrame, incident: DataFrame, cap: int = 300) -> DataFrame:
-    """Triples at the hit nodes: (qid, head_id, relation, tail_id, sim), sim being the better end's score (no hit: 0), the first cap by node rank and key."""
-    t = hits.join(incident, "node_id").groupBy("qid", "head_id", "relation", "tail_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("sim"), F.min("rk").alias("first"))
-    w = Window.partitionBy("qid").orderBy("first", "head_id", "relation", "tail_id")
+def expand(hits: DataFrame, incident: DataFrame, by: tuple[str, ...] = ("qid",), cap: int = 300) -> DataFrame:
+    """Triples at the hit nodes: (by, head_id, relation, tail_id, sim), sim being the better end's score (no hit: 0), the first cap by node rank and key."""
+    t = hits.join(incident, "node_id").groupBy(*by, "head_id", "relation", "tail_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("sim"), F.min("rk").alias("first"))
+    w = Window.partitionBy(*by).orderBy("first", "head_id", "relation", "tail_id")
     return t.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).drop("pos", "first")
 
 

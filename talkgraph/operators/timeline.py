@@ -125,26 +125,35 @@ def gap_sessions(words: DataFrame, gap: float = 0.8, punct_gap: float = 0.2) ->
     return words.withColumn("grp", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def utterances_of(words: Column, gap: float = 0.8, punct_gap: float = 0.2, long_s: float = 16.0, long_n: int = 12) -> Column:
-    """Utterances of one recording's words (array of s, e, text, in order), also cut when one has grown too long.
+def utterances_of(words: DataFrame, gap: float = 0.8, punct_gap: float = 0.2, long_s: float = 16.0, long_n: int = 12) -> DataFrame:
+    """(sample_id, start_time, end_time, n, text): utterances of recordings' words (sample_id, s, e, text), also cut
+    when one has grown too long.
 
-    The length of the open group decides, so it is a fold over the words: JVM-side, one recording at a time.
+    Gaps and closing punctuation cut wherever they stand, so that only within such a stretch the length of the open
+    utterance decides; that is a fold over the stretch's words, JVM-side.
     """
-    g = "struct<s:double,e:double,n:int,last:string>"
+    g = "struct<s:double,e:double,n:int,text:string>"
     zero = F.struct(F.array().cast(f"array<{g}>").alias("done"), F.lit(None).cast(g).alias("cur"))
 
     def step(acc: Column, w: Column) -> Column:
         c = acc["cur"]
-        between = w["s"] - c["e"]
-        cut = (between > gap) | ((c["e"] - c["s"] > long_s) & (c["n"] >= long_n)) | (c["last"].rlike(r"[.!?;:]$") & (between > punct_gap))
-        fresh = F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lit(1).alias("n"), w["text"].alias("last"))
-        grown = F.struct(c["s"].alias("s"), w["e"].alias("e"), (c["n"] + 1).alias("n"), w["text"].alias("last"))
+        cut = (c["e"] - c["s"] > long_s) & (c["n"] >= long_n)
+        fresh = F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lit(1).alias("n"), w["text"].alias("text"))
+        grown = F.struct(c["s"].alias("s"), w["e"].alias("e"), (c["n"] + 1).alias("n"), F.concat_ws(" ", c["text"], w["text"]).alias("text"))
         return F.struct(
             F.when(c.isNotNull() & cut, F.concat(acc["done"], F.array(c))).otherwise(acc["done"]).alias("done"),
             F.when(c.isNull() | cut, fresh).otherwise(grown).alias("cur"),
         )
 
-    return F.aggregate(words, zero, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    end = lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+    stretches = gap_sessions(words, gap, punct_gap).groupBy("sample_id", "grp").agg(F.array_sort(F.collect_list(F.struct("s", "e", "text"))).alias("ws"))
+    return stretches.select("sample_id", F.explode(F.aggregate("ws", zero, step, end)).alias("u")).select("sample_id", F.col("u.s").alias("start_time"), F.col("u.e").alias("end_time"), "u.n", "u.text")
+
+
+def pause_events(silences: DataFrame) -> DataFrame:
+    """(sample_id, event_id, s, e, kind, intensity) of silences of at least 50 ms; long ones last 0.8 s and more."""
+    d = F.col("e") - F.col("s")
+    return silences.where(d >= 0.05).select("sample_id", "event_id", "s", "e", F.when(d >= 0.8, "PAUSE_LONG").otherwise("PAUSE").alias("kind"), F.round(F.least(F.lit(1.0), d / 2.0), 3).alias("intensity"))
 
 
 def speech_segments(silences: DataFrame, durations: DataFrame, least: float = 0.15) -> DataFrame:

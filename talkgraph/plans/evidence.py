@@ -58,8 +58,8 @@ def j29_paper_repairs(s, d):
     """Edges without paper evidence and the nearest chunk of their session, by the offline embedding."""
     kg = E.paper_targets(table(s, d, "kg_triples"))
     q = providers.embedded(kg.select("triple_id", E.edge_text(F.col("relation"), F.col("head_content"), F.col("tail_content")).alias("t")), "t").select("triple_id", F.col("embedding").alias("qv"))
-    c = providers.embedded(table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", "text").dropDuplicates(["chunk_id"]), "text").select("sample_id", "chunk_id", F.col("embedding").alias("v"))
-    return E.paper_repairs(kg, q, c, 0.5)
+    c = providers.embedded(table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", "text").distinct(), "text").select("sample_id", "chunk_id", F.col("embedding").alias("v"))
+    return E.paper_repairs(kg, q, c)
 
 
 @query(f"""with n as (select sample_id, node_id, node_type type, min("content") c, coalesce(max(confidence),0) f from evidence_links where node_id is not null and node_type in ('Claim','Method','Result','Metric','Limitation') group by 1,2,3),
@@ -97,16 +97,25 @@ def w07_fixed_ranges(s, d):
 
 @query()
 def w08_segment_dedup(s, d):
-    """Segments of each utterance's neighbourhood without repeats of the last one kept (a fold per session minute)."""
-    u = table(s, d, "utterances").where("start_time is not null and end_time is not null").select("sample_id", F.floor(F.col("start_time") / 60).alias("minute"), F.struct(F.col("start_time").alias("s"), F.col("end_time").alias("e"), "text").alias("x"))
-    return u.groupBy("sample_id", "minute").agg(F.collect_list("x").alias("xs")).select("sample_id", "minute", F.size("xs").alias("n"), F.size(A.without_overlaps(F.col("xs"))).alias("n_kept"))
+    """Each recording's segments without repeats of the last one kept."""
+    u = table(s, d, "utterances").where("start_time is not null and end_time is not null").select("sample_id", F.col("start_time").alias("s"), F.col("end_time").alias("e"), "text")
+    return A.without_overlaps(u).select("sample_id", "s", "e", F.length("text").alias("n_chars"))
 
 
-@query()
+_TIMED = "list_filter(word_timestamps, lambda w: w.start is not null and w.end is not null and trim(coalesce(w.text,'')) <> '' and w.end > w.start)"
+
+
+@query(f"""with u as (select utterance_id, min(start_time) a, min(end_time) b from utterances group by 1), r as (select distinct utterance_id, unnest({_TIMED}) w from utterances),
+o as (select utterance_id, w.start st, w.end en, row_number() over (partition by utterance_id order by w.start, w.end, w.text) k from r),
+n as (select utterance_id, st, k, max(en - st) over (partition by utterance_id order by k rows between current row and 3 following) longest, count(*) over (partition by utterance_id order by k rows between current row and 3 following) m,
+ greatest(coalesce(lead(st,1) over z - st, 0), coalesce(lead(st,2) over z - lead(st,1) over z, 0), coalesce(lead(st,3) over z - lead(st,2) over z, 0)) g from o window z as (partition by utterance_id order by k)),
+f as (select utterance_id, min(st) onset from n where m = 4 and longest <= 1.2 and g <= 1.5 group by 1), l as (select utterance_id, min(st) onset from o where en - st <= 1.2 group by 1)
+select utterance_id, coalesce(f.onset, l.onset, case when b - a >= 0.2 then a end) onset from u left join f using (utterance_id) left join l using (utterance_id)""")
 def w09_speech_onset(s, d):
-    u = table(s, d, "utterances").dropDuplicates(["utterance_id"])
-    w = F.transform(F.filter("word_timestamps", lambda w: w["start"].isNotNull() & w["end"].isNotNull()), lambda w: F.struct(w["start"].alias("s"), w["end"].alias("e")))
-    return u.select("utterance_id", A.speech_onset(w).alias("onset"))
+    """Onset of each utterance by its words, or else by its own span."""
+    w = F.transform(F.filter("word_timestamps", lambda w: w["start"].isNotNull() & w["end"].isNotNull()), lambda w: F.struct(w["start"].alias("s"), w["end"].alias("e"), w["text"].alias("text")))
+    u = table(s, d, "utterances").groupBy("utterance_id").agg(F.min("start_time").alias("s"), F.min("end_time").alias("e"), F.array_distinct(F.flatten(F.collect_set(w))).alias("w"))
+    return u.select("utterance_id", A.speech_onset(F.col("w"), F.array(F.struct("s", "e"))).alias("onset"))
 
 
 @query()

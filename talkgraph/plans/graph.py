@@ -194,7 +194,7 @@ def j16_hyperedges(s, d):
 
 
 @query(f"""with {_INC},
-a as (select distinct node_id from evidence_links where node_id is not null and node_type = 'Claim'),
+a as (select distinct node_id from evidence_links where node_id is not null),
 ids as (select node_id, unnest(list_transform(paper_chunks, lambda x: x.chunk_id)) e from evidence_links union select node_id, unnest(list_transform(slides, lambda x: x.slide_id)) from evidence_links
  union select node_id, unnest(list_transform(utterances, lambda x: x.utterance_id)) from evidence_links union select node_id, unnest(list_transform(visual_regions, lambda x: x.region_id)) from evidence_links),
 ev as (select distinct node_id, e from ids semi join a using (node_id) where e is not null and e not in (select node_id from a)),
@@ -202,7 +202,7 @@ h as (select ev.node_id, head_id, relation, tail_id, min(e) evidence_id from ev
 r as (select *, row_number() over (partition by node_id order by evidence_id, head_id, relation, tail_id) rk from h)
 select node_id, head_id, relation, tail_id, evidence_id, rk from r where rk <= 15""")
 def j17_anchor_expansion(s, d):
-    return T.anchor_expansion(links(s, d).where("node_id is not null and node_type = 'Claim'").select("node_id"), kg(s, d), links(s, d))
+    return T.anchor_expansion(links(s, d).where("node_id is not null").select("node_id"), kg(s, d), links(s, d))
 
 
 @query("select substr(h, 1, 400) session_id, count(*) n from (select array_to_string(string_split(head_id, '/')[1:2], '/') h from kg_triples where head_id is not null and len(string_split(head_id,'/')) >= 2) group by 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkgraph.functions import ontology as O
-from talkgraph.functions import text as X
+from talkgraph.operators import evidence as E
 from talkgraph.operators import learning as M
 from talkgraph.operators import triples as T
 
@@ -36,21 +36,13 @@ def _jac(a: str, b: str) -> str:
     return f"len(list_intersect({a},{b}))::double/greatest(1,len(list_distinct(list_concat({a},{b}))))"
 
 
-@query(f"""with pos as (select sample_key edge_id, sample_id, head_id, head_type, relation, tail_id, tail_type, {_TOK.format('tail_content')} tt, {_TOK.format('head_content')} ht from supervision where coalesce(negative_type,'') = '' and split = 'dev'),
+@query(f"""with pos as (select sample_key edge_id, sample_id, head_id, head_type, relation, tail_id, tail_type, {_TOK.format('tail_content')} tt, {_TOK.format('head_content')} ht from supervision where coalesce(negative_type,'') = ''),
 pool as (select distinct sample_id, node_id cid, node_type, min(content) c from evidence_links where node_id is not null group by 1,2,3),
 pl as (select sample_id, cid, node_type, {_TOK.format('c')} ct from pool),
 pr as (select edge_id, cid, round({_jac('tt','ct')} + 0.15*{_jac('ht','ct')},6) sim, md5(cid || '|42') h from pos join pl on pl.sample_id=pos.sample_id and pl.node_type=pos.tail_type and cid <> tail_id
   semi join {_ALLOWED} on h = head_type and r = relation and t = tail_type where not exists (select 1 from kg_triples k where k.head_id=pos.head_id and k.relation=pos.relation and k.tail_id=pl.cid))
 select edge_id, cid neg_tail, sim, rk from (select *, row_number() over (partition by edge_id order by sim desc, h, cid) rk from pr) where rk <= 2""")
 def j22_hard_negatives(s, d):
-    pos = table(s, d, "supervision").where("coalesce(negative_type, '') = '' and split = 'dev'").withColumnRenamed("sample_key", "edge_id").select("edge_id", "sample_id", "head_id", "head_type", "head_content", "relation", "tail_id", "tail_type", "tail_content")
-    pool = table(s, d, "evidence_links").where("node_id is not null").groupBy("sample_id", F.col("node_id").alias("id"), F.col("node_type").alias("type")).agg(F.min("content").alias("content"))
-    return M.hard_negatives(pos, pool, table(s, d, "kg_triples").select("head_id", "relation", "tail_id").where("head_id is not null and tail_id is not null"))
-
-
-@query()
-def j22_hard_negatives_all(s, d):
-    """Positives of every split; j22_hard_negatives has those of dev, as its SQL has."""
     pos = table(s, d, "supervision").where("coalesce(negative_type, '') = ''").withColumnRenamed("sample_key", "edge_id").select("edge_id", "sample_id", "head_id", "head_type", "head_content", "relation", "tail_id", "tail_type", "tail_content")
     pool = table(s, d, "evidence_links").where("node_id is not null").groupBy("sample_id", F.col("node_id").alias("id"), F.col("node_type").alias("type")).agg(F.min("content").alias("content"))
     return M.hard_negatives(pos, pool, table(s, d, "kg_triples").select("head_id", "relation", "tail_id").where("head_id is not null and tail_id is not null"))
@@ -67,22 +59,6 @@ def a25_supervision_stats(s, d):
     return table(s, d, "supervision").groupBy("split", "source_type").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("n_sessions"))
 
 
-@query("""select sample_key, case when lower(trim(source_type))='repaired' and lower(trim(coalesce(base_tier,''))) <> '' then (lower(trim(base_tier)) in ('strong','medium'))::int
- when lower(trim(source_type)) in ('strong','medium','repaired') then 1 else 0 end label from supervision""")
-def f14_edge_label(s, d):
-    return table(s, d, "supervision").select("sample_key", M.binary_label(F.col("source_type"), F.col("base_tier")).alias("label"))
-
-
-@query("select sample_key, coalesce(audio_repr.count,0)::double a, coalesce(audio_repr.quality_max,0) b, coalesce(visual_repr.count,0)::double c, coalesce(visual_repr.quality_max,0) d, coalesce(paper_repr.count,0)::double e, coalesce(paper_repr.similarity_max,0) f, coalesce(modality_mask.audio,0)+coalesce(modality_mask.visual,0)+coalesce(modality_mask.paper,0) g, coalesce(is_repaired,false)::int h from supervision")
-def m01_numeric_features(s, d):
-    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    i = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return table(s, d, "supervision").select(
-        "sample_key", n("audio_repr.count").alias("a"), n("audio_repr.quality_max").alias("b"), n("visual_repr.count").alias("c"), n("visual_repr.quality_max").alias("d"), n("paper_repr.count").alias("e"), n("paper_repr.similarity_max").alias("f"),
-        (i("modality_mask.audio") + i("modality_mask.visual") + i("modality_mask.paper")).alias("g"), F.coalesce("is_repaired", F.lit(False)).cast("int").alias("h"),
-    )
-
-
 _LAB = "lb as (select round(heuristic_score,6) s, (tier_label >= 1)::int y, tier_label t, case lower(trim(heuristic_tier)) when 'strong' then 2 when 'medium' then 1 else 0 end g from supervision where heuristic_score is not null and tier_label is not null)"
 
 
@@ -102,17 +78,6 @@ def a20_macro_f1(s, d):
     return M.macro_f1(labels(s, d), "t", "g")
 
 
-@query("select split, count(*) n, round(avg(heuristic_score),6) mean, round(stddev_pop(heuristic_score),6) sd from supervision group by 1")
-def a21_seed_summary(s, d):
-    return table(s, d, "supervision").groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("heuristic_score"), 6).alias("mean"), F.round(F.stddev_pop("heuristic_score"), 6).alias("sd"))
-
-
-@query("""with m as (select avg(provenance_score) filter (where split='dev') a, avg(heuristic_score) filter (where split='dev') b from supervision) select round(a-b,6) margin, a-b >= -0.005-1e-12 passed from m""")
-def a22_noninferiority(s, d):
-    dev = table(s, d, "supervision").where("split = 'dev'").agg((F.avg("provenance_score") - F.avg("heuristic_score")).alias("m"))
-    return dev.select(F.round("m", 6).alias("margin"), (F.col("m") >= -0.005 - 1e-12).alias("passed"))
-
-
 @query("""with r as (select error is null or trim(error)='' ok, coalesce(llm_evaluation.is_unanswerable,false) u, llm_evaluation.is_correct c, coalesce(llm_evaluation.context_supports_answer,false) x, llm_evaluation.properly_refused f, coalesce(retrieval_metrics.node_recall,0) nr, coalesce(retrieval_metrics.node_f1,0) nf, coalesce(timing,0) tm from results)
 select count(*) total_samples, count(*) filter (where not ok) error_count, count(*) filter (where ok and not u) answerable_count, count(*) filter (where ok and u) unanswerable_count,
  round(count(*) filter (where ok and not u and c)::double/nullif(count(*) filter (where ok and not u and c is not null),0),6) answerable_accuracy,
@@ -140,48 +105,12 @@ def u07_split_ids(s, d):
     return M.split_ids(table(s, d, "kg_triples"), "sample_id")
 
 
-@query("select o_orderkey from orders where o_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')")
-def j23_resume_anti(s, d):
-    o = table(s, d, "orders")
-    return M.resume(o.select("o_orderkey"), o.select("o_orderkey", F.col("o_orderstatus").alias("status")), "o_orderkey", ("P",))
-
-
-@query("""with w as (select o_orderkey k, 'file' origin, o_orderstatus st from orders where o_orderkey % 3 = 0), r as (select o_orderkey k, 'recovered' origin, o_orderstatus st from orders where o_orderkey % 2 = 0)
-select origin, count(*) n from (select * from w union all select * from r where k not in (select k from w)) group by 1""")
-def j24_manifest_merge(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    return M.merge_manifests(o.where("k % 3 = 0").withColumn("origin", F.lit("file")), o.where("k % 2 = 0").withColumn("origin", F.lit("recovered")), "k").groupBy("origin").agg(F.count("*").alias("n"))
-
-
-@query("select o_orderkey, error is null keep from (select o_orderkey, case when o_orderstatus='P' then 'failed' end error from orders) where error is null")
-def pred16_resume_filter(s, d):
-    return table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "failed").alias("error")).where("error is null").select("o_orderkey", F.col("error").isNull().alias("keep"))
-
-
-@query("select shard, count(*) n from (select (row_number() over (order by qa_id) - 1) % 4 shard from gold_test) group by 1")
-def pred17_shards(s, d):
-    ids = table(s, d, "gold_test").select("qa_id")
-    return ids.withColumn("shard", ((F.row_number().over(Window.orderBy("qa_id")) - 1) % 4).cast("bigint")).groupBy("shard").agg(F.count("*").alias("n"))
-
-
 @query("select sample_id from (select distinct sample_id from slides) order by md5(sample_id||'|7'), sample_id limit 10")
 def pred18_sample_sessions(s, d):
     """A seeded sample of ten sessions: the limit is the operator."""
     return table(s, d, "slides").select("sample_id").distinct().orderBy(F.md5(F.concat("sample_id", F.lit("|7"))), "sample_id").limit(10)
 
 
-@query("""select coalesce(answer_type,'?') answer_type, count(*) n, round(avg((target_semantic_unit is not null and target_relation is not null)::int),6) filled from decomposer_train group by 1""")
-def a24_slot_fill(s, d):
-    return table(s, d, "decomposer_train").groupBy(F.coalesce("answer_type", F.lit("?")).alias("answer_type")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("target_semantic_unit").isNotNull() & F.col("target_relation").isNotNull()).cast("int")), 6).alias("filled"))
-
-
-@query("""with t as (select sample_key id, regexp_extract_all(lower(coalesce(head_content,'')),'[a-z0-9_]{2,}') w from supervision), g as (select id, unnest(w) term from t union all select id, unnest(list_transform(range(1,greatest(1,len(w))), lambda i: w[i]||' '||w[i+1])) from t),
-tf as (select id, term, count(*) tf from g group by all), df as (select term, count(*) df from tf group by 1 having count(*) >= 2), n as (select count(*) n from supervision), x as (select id, term, tf*(ln((1+n)::double/(1+df))+1) x from tf join df using (term), n)
-select id sample_key, term, round(x/sqrt(sum(x*x) over (partition by id)),5) weight from x""")
-def m02_tfidf(s, d):
-    return M.tfidf(table(s, d, "supervision"), "sample_key", "head_content")
-
-
 @query()
 def m05_edge_scores(s, d):
     """A logistic edge scorer trained on the train split's numeric features: score of every edge."""
@@ -198,62 +127,29 @@ def m05_edge_scores(s, d):
     return model.transform(x).select("sample_key", F.round(F.when(F.size(p) >= 3, p[1] + p[2]).otherwise(1 - p[0]), 4).alias("score"), F.col("prediction").cast("int").alias("tier"))
 
 
-@query(f"""with a as (select distinct chunk_id, sample_id, {_TOK.format('text')} t from paper_chunks where text is not null), q as (select distinct node_id, sample_id, {_TOK.format('content')} t from evidence_links where node_type = 'Result' and node_id is not null),
+_NODES = f"q as (select distinct node_id, sample_id, {_TOK.format('content')} t from evidence_links where node_id is not null)"
+
+
+@query(f"""with a as (select distinct chunk_id, sample_id, {_TOK.format('text')} t from paper_chunks where text is not null), {_NODES},
 j as (select node_id, chunk_id, round({_jac('q.t','a.t')},6) score from q join a using (sample_id) where len(list_intersect(q.t,a.t)) > 0), g as (select node_id, chunk_id, max(score) score from j group by all)
 select node_id, chunk_id, score, rk from (select *, row_number() over (partition by node_id order by score desc, chunk_id) rk from g) where rk <= 3""")
 def j08_jaccard_topk(s, d):
-    chunks = table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", X.tokens(F.col("text")).alias("ct")).distinct()
-    nodes = table(s, d, "evidence_links").where("node_type = 'Result' and node_id is not null").select("sample_id", "node_id", X.tokens(F.coalesce("content", F.lit(""))).alias("qt")).distinct()
-    return top_by_words(nodes, chunks, X.jaccard(F.col("qt"), F.col("ct")), "chunk_id", 3)
+    """The three chunks of its session that share most words with a node, for nodes of every type."""
+    chunks = table(s, d, "paper_chunks").where("text is not null").select("sample_id", F.col("chunk_id").alias("id"), "text")
+    return E.top_by_words(all_nodes(s, d), chunks, "jaccard", 3).select("node_id", F.col("id").alias("chunk_id"), "score", "rk")
 
 
-@query(f"""with a as (select distinct utterance_id, sample_id, {_TOK.format('text')} t from utterances where text is not null), q as (select distinct node_id, sample_id, {_TOK.format('content')} t from evidence_links where node_type = 'Method' and node_id is not null),
+@query(f"""with a as (select distinct utterance_id, sample_id, {_TOK.format('text')} t from utterances where text is not null), {_NODES},
 j as (select node_id, utterance_id, round(len(list_intersect(q.t,a.t))::double/least(len(q.t),len(a.t)),6) score from q join a using (sample_id) where len(list_intersect(q.t,a.t)) > 0), g as (select node_id, utterance_id, max(score) score from j group by all)
 select node_id, utterance_id, score, rk from (select *, row_number() over (partition by node_id order by score desc, utterance_id) rk from g) where rk <= 3""")
 def j09_overlap_topn(s, d):
-    utt = table(s, d, "utterances").where("text is not null").select("sample_id", "utterance_id", X.tokens(F.col("text")).alias("ct")).distinct()
-    nodes = table(s, d, "evidence_links").where("node_type = 'Method' and node_id is not null").select("sample_id", "node_id", X.tokens(F.coalesce("content", F.lit(""))).alias("qt")).distinct()
-    return top_by_words(nodes, utt, X.overlap(F.col("qt"), F.col("ct")), "utterance_id", 3)
-
-
-@query()
-def j08_jaccard_topk_all(s, d):
-    """Nodes of every type; j08_jaccard_topk has results only, as its SQL has."""
-    chunks = table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", X.tokens(F.col("text")).alias("ct")).distinct()
-    return top_by_words(all_nodes(s, d), chunks, X.jaccard(F.col("qt"), F.col("ct")), "chunk_id", 3)
-
-
-@query()
-def j09_overlap_topn_all(s, d):
-    """Nodes of every type; j09_overlap_topn has methods only, as its SQL has."""
-    utt = table(s, d, "utterances").where("text is not null").select("sample_id", "utterance_id", X.tokens(F.col("text")).alias("ct")).distinct()
-    return top_by_words(all_nodes(s, d), utt, X.overlap(F.col("qt"), F.col("ct")), "utterance_id", 3)
+    """The three utterances of its session that overlap most with a node, for nodes of every type."""
+    utt = table(s, d, "utterances").where("text is not null").select("sample_id", F.col("utterance_id").alias("id"), "text")
+    return E.top_by_words(all_nodes(s, d), utt, "overlap", 3).select("node_id", F.col("id").alias("utterance_id"), "score", "rk")
 
 
 def all_nodes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "evidence_links").where("node_id is not null").select("sample_id", "node_id", X.tokens(F.coalesce("content", F.lit(""))).alias("qt")).distinct()
-
-
-def top_by_words(nodes: DataFrame, texts: DataFrame, score, out: str, k: int) -> DataFrame:
-    """Top k texts of the session by a score of the word sets (qt, ct): texts are met on (session, word), so that none without a common word is scored."""
-    t = texts.select("sample_id", out, "ct")
-    met = nodes.select("sample_id", "node_id", F.explode("qt").alias("w"), "qt").join(t.select("sample_id", out, F.explode("ct").alias("w")), ["sample_id", "w"]).select("sample_id", "node_id", "qt", out).distinct()
-    got = met.join(t, ["sample_id", out]).groupBy("node_id", out).agg(F.max(F.round(score, 6)).alias("score"))
-    w = Window.partitionBy("node_id").orderBy(F.desc("score"), out)
-    return got.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-
-
-@query("select kind, count(*) n from (select 'missing utterance' kind from (select unnest(prosody_events) p, utterances u from evidence_links) where len(u) = 0 union all select 'no provenance' from kg_triples where coalesce(len(provenance),0) = 0 union all select 'bad span' from utterances where end_time <= start_time) group by 1")
-def c13_validation(s, d):
-    a = table(s, d, "evidence_links").select(F.explode("prosody_events"), "utterances").where("size(utterances) = 0").select(F.lit("missing utterance").alias("kind"))
-    b = table(s, d, "kg_triples").where(F.coalesce(F.size("provenance"), F.lit(0)) <= 0).select(F.lit("no provenance"))
-    c = table(s, d, "utterances").where("end_time <= start_time").select(F.lit("bad span"))
-    return a.union(b).union(c).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("select region_type, chart_type, count(*) n, count(*) filter (where trim(coalesce(ocr_text,'')) <> '') with_text from visual_regions group by all")
-def a27_visual_report(s, d):
-    return table(s, d, "visual_regions").groupBy("region_type", "chart_type").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("ocr_text", F.lit(""))) != "").alias("with_text"))
+    return table(s, d, "evidence_links").where("node_id is not null").select("sample_id", "node_id", "content")
 
 
 @query("select slide_id, region_id, rk from (select slide_id, region_id, row_number() over (partition by slide_id order by case when region_type='full' then 0 else 1 end, region_id) rk from (select distinct slide_id, region_id, region_type from visual_regions where slide_id is not null)) where rk <= 2")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgraph.functions import vectors as V
+from talkgraph.operators import answers as Q
+from talkgraph.operators import blocks as B
 from talkgraph.operators import retrieval as R
 
 QUERIES: dict = {}
@@ -38,11 +40,13 @@ def questions(s, d) -> DataFrame:
     return vectors(s, d).where("node_id % 100 = 0").select(F.col("node_id").alias("qid"), "session", F.col("v").alias("qv"))
 
 
+def pick(xs, c):
+    return F.element_at(F.array(*(F.lit(x) for x in xs)), (c % len(xs) + 1).cast("int"))
+
+
 def edges(s, d) -> DataFrame:
     n = F.lit(s.read.parquet(f"{d}/embeddings.parquet").count())
-    pick = lambda xs, c: F.element_at(F.array(*(F.lit(x) for x in xs)), (c % len(xs) + 1).cast("int"))
-    e = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % n).alias("head_id"), pick(RELATIONS, F.col("l_orderkey")).alias("relation"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % n).alias("tail_id")).distinct()
-    return e.withColumn("head_type", pick(TYPES, F.col("head_id"))).withColumn("tail_type", pick(TYPES, F.col("tail_id")))
+    return s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % n).alias("head_id"), pick(RELATIONS, F.col("l_orderkey")).alias("relation"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % n).alias("tail_id")).distinct()
 
 
 def incident(s, d) -> DataFrame:
@@ -59,6 +63,9 @@ def _pick(xs, c) -> str:
 
 _E = f"""nn as (select count(*) n from embeddings), e as (select distinct l_partkey % n head_id, {_pick(RELATIONS, 'l_orderkey')} relation, (l_suppkey*7+l_linenumber) % n tail_id from lineitem, nn),
 inc as (select head_id node_id, * from e union all select tail_id, * from e where tail_id <> head_id)"""
+_CHANNELS = tuple((j, c, R.CHANNEL_WEIGHTS[c], R.CHANNEL_TOP[c]) for j, c in enumerate(R.CHANNEL_WEIGHTS))
+_QC = "ch(j, channel, w, k) as (values " + ", ".join(f"({j}, '{c}', {w}::double, {k})" for j, c, w, k in _CHANNELS) + "), qc as (select e.vec_id qid, e.label session, channel, w, k, v.embedding from embeddings e, ch, (select count(*) n from embeddings) n join embeddings v on v.vec_id = (e.vec_id + j) % n.n where e.vec_id % 100 = 0)"
+_HC = f"hc as (select * from (select qid, channel, w, k, v.vec_id node_id, {_DOT.replace('q.embedding', 'qc.embedding')} score, row_number() over (partition by qid, channel order by {_DOT.replace('q.embedding', 'qc.embedding')} desc, v.vec_id) rk from embeddings v join qc on qc.session = v.label) where rk <= k)"
 _HIT = f"hits as (select * from (select qid, v.vec_id node_id, {_DOT} score, row_number() over (partition by qid order by {_DOT} desc, v.vec_id) rk from embeddings v join q on q.session = v.label) where rk <= 10)"
 
 
@@ -85,30 +92,52 @@ def a14_centroid_boost(s, d):
     return R.centroid_boost(R.nearest_vectors(questions(s, d), vectors(s, d), 10, same="session"), vectors(s, d))
 
 
-_EXP = f"""{_Q}, {_E}, {_HIT}, x as (select * from (select *, row_number() over (partition by qid order by f, head_id, relation, tail_id) pos from (select qid, head_id, relation, tail_id, greatest(0, max(score)) sim, min(rk) f from hits join inc using (node_id) group by 1,2,3,4)) where pos <= 300),
+_EXP = f"""{_QC}, {_E}, {_HC}, x as (select * from (select *, row_number() over (partition by qid, channel order by f, head_id, relation, tail_id) pos from (select qid, channel, any_value(w) w, head_id, relation, tail_id, greatest(0, max(score)) sim, min(rk) f from hc join inc using (node_id) group by qid, channel, head_id, relation, tail_id)) where pos <= 300),
 x2 as (select x.*, {_pick(TYPES, 'head_id')} head_type, {_pick(TYPES, 'tail_id')} tail_type from x),
-ms as (select qid, head_id, relation, tail_id, head_type, tail_type, 0.3*sim*case when head_type='Claim' then 1.2 else 1 end score from x2),
+ms as (select qid, head_id, relation, tail_id, any_value(head_type) head_type, any_value(tail_type) tail_type, sum(w*sim)*case when any_value(head_type)='Claim' then 1.2 else 1 end score from x2 group by qid, head_id, relation, tail_id),
 hy as (select a.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),6) score from ms a join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from ms group by all) b using (qid, head_id))"""
 
 
+def channel_hits(s, d) -> DataFrame:
+    """(qid, channel, node_id, score, rk): the best nodes of a question's session in each of its six channels. The vector of
+    channel j stands j nodes after the question's."""
+    v = vectors(s, d)
+    n = v.count()
+    ch = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(c).alias("channel"), F.lit(k).alias("need")) for j, c, _, k in _CHANNELS))).alias("c")
+    q = questions(s, d).select("qid", "session", ch).select("qid", "session", "c.*", ((F.col("qid") + F.col("c.j")) % n).alias("node_id")).join(v.select("node_id", F.col("v").alias("qv")), "node_id")
+    left = q.select("session", F.concat_ws("|", F.col("qid").cast("string"), "channel").alias("lid"), "qv", "need")
+    got = B.best(left, v.withColumnRenamed("node_id", "rid"), ["session"], lambda a, b: B.half_up(B.products(a["qv"], b["v"]), 6))
+    return got.select(F.substring_index("lid", "|", 1).cast(dict(v.dtypes)["node_id"]).alias("qid"), F.substring_index("lid", "|", -1).alias("channel"), F.col("rid").alias("node_id"), "score", "rk")
+
+
+def typed(df: DataFrame) -> DataFrame:
+    return df.withColumn("head_type", pick(TYPES, F.col("head_id"))).withColumn("tail_type", pick(TYPES, F.col("tail_id")))
+
+
 def expanded(s, d) -> DataFrame:
-    return R.expand(R.nearest_vectors(questions(s, d), vectors(s, d), 10, same="session"), incident(s, d))
+    return R.expand(channel_hits(s, d), incident(s, d), ("qid", "channel"))
 
 
 def merged(s, d) -> DataFrame:
-    types = edges(s, d)
-    hits = expanded(s, d).join(types, ["head_id", "relation", "tail_id"]).withColumn("channel", F.lit("question"))
-    return R.merge_channels(hits, questions(s, d).select("qid", F.lit("Claim").alias("target_type")))
+    return R.merge_channels(typed(expanded(s, d)), questions(s, d).select("qid", F.lit("Claim").alias("target_type")))
+
+
+@query(f"with {_EXP} select channel, count(*) n, count(distinct qid) n_questions from x group by 1")
+def u01_channel_union(s, d):
+    """Distinct (question, channel, triple) of all channels."""
+    return expanded(s, d).groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("qid").alias("n_questions"))
 
 
-@query(f"with {_EXP} select qid, head_id, relation, tail_id, sim from x")
+@query(f"with {_EXP} select qid, channel, head_id, relation, tail_id, sim from x")
 def j14_expand_triples(s, d):
+    """The first 300 triples at the nodes that each channel of a question has found."""
     return expanded(s, d)
 
 
-@query(f"with {_EXP} select qid, head_id, relation, tail_id, round(score,6) score from ms")
+@query(f"with {_EXP} select qid, head_id, relation, tail_id, round(score,4) score from ms")
 def a12_channel_merge(s, d):
-    return merged(s, d).select("qid", "head_id", "relation", "tail_id", F.round("score", 6).alias("score"))
+    """The weighted sum over six channels for every triple."""
+    return merged(s, d).select("qid", "head_id", "relation", "tail_id", F.round("score", 4).alias("score"))
 
 
 @query(f"with {_EXP} select * from (select qid, head_id, relation, tail_id, round(score,5) score, row_number() over (partition by qid order by round(score,5) desc, head_id, relation, tail_id) rk from hy) where rk <= 10")
@@ -141,9 +170,13 @@ def m10_filter_fallback(s, d):
     return R.fused(x, "filter").select("qid", "head_id", "relation", "tail_id", F.round("score", 5).alias("score"))
 
 
-@query("""select qa_id qid, channel, w weight, k top_k from (select qa_id, unnest([{'channel':'question','w':0.3::double,'k':50,'q':question},{'channel':'target_unit','w':0.15::double,'k':20,'q':target_semantic_unit}], recursive := true) from decomposer_train) where trim(coalesce(q,'')) <> ''""")
+_PARTS = {"question": "question", "baseline_constraint": "case when source_type = 'paper' then target_relation end", "metric_constraint": "answer_type", "experiment_setting": "source_type", "section_constraint": "case when answer_type = 'short' then 'Results' end", "target_unit": "target_semantic_unit"}
+
+
+@query("select qid, channel, w weight, k top_k from (" + " union all ".join(f"select qa_id qid, '{c}' channel, {R.CHANNEL_WEIGHTS[c]}::double w, {R.CHANNEL_TOP[c]} k, {x} q from decomposer_train" for c, x in _PARTS.items()) + ") where trim(coalesce(q,'')) <> ''")
 def pred20_channels(s, d):
-    t = s.read.parquet(f"{d}/decomposer_train.parquet").select(F.col("qa_id").alias("qid"), "question", F.col("target_semantic_unit").alias("target_unit"))
+    """Six channels a question, those without anything to ask left out."""
+    t = s.read.parquet(f"{d}/decomposer_train.parquet").selectExpr("qa_id qid", *(f"{x} `{c}`" for c, x in _PARTS.items()))
     return R.channels(t).select("qid", "channel", "weight", "top_k")
 
 
@@ -176,3 +209,23 @@ def f28_linearized(s, d):
 @query("select vec_id node_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])),5) norm from embeddings")
 def f27_norms(s, d):
     return vectors(s, d).select("node_id", F.round(V.norm(F.col("v")), 5).alias("norm"))
+
+
+_SUB = f"{_NODES}, mo as (select vec_id node_id, vec_id % 4 mc from embeddings), sc as (select qid, round(sum(round(score,5))/greatest(1,count(*)),6) score, count(*) n_edges from (select tp.*, hy.score from tp join hy using (qid, head_id, relation, tail_id)) group by 1), ce as (select qid, count(distinct head_id) n_centers from tp join mo on mo.node_id = tp.head_id where mc >= 2 group by 1), nn2 as (select qid, count(*) n_nodes from nd group by 1)"
+
+
+@query(f"with {_SUB} select qid, n_nodes, n_edges, score, coalesce(n_centers,0) n_centers from sc join nn2 using (qid) left join ce using (qid)")
+def a29_subgraphs(s, d):
+    """Each question's ten best triples as a graph: nodes, edges, score and centers with several modalities."""
+    modalities = vectors(s, d).select("node_id", (F.col("node_id") % 4).alias("modality_count"))
+    g = Q.subgraphs(reranked(s, d), contents(s, d), modalities)
+    return g.select("qid", F.size("nodes").cast("bigint").alias("n_nodes"), F.size("edges").cast("bigint").alias("n_edges"), "score", F.coalesce(F.size("centers"), F.lit(0)).cast("bigint").alias("n_centers"))
+
+
+@query(f"""with {_EXP}, m as (select ms.*, {_MLP} mlp from ms), b as (select qid, head_id, relation, tail_id, head_type, tail_type, 0.6*mlp+0.4*score score from m),
+h as (select b.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),5) score from b join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from b group by all) z using (qid, head_id))
+select * from (select qid, head_id, relation, tail_id, score, row_number() over (partition by qid order by score desc, head_id, relation, tail_id) rk from h) where rk <= 10""")
+def c16_rerank(s, d):
+    """The whole rerank: channels merged, blended with a learned score, hyperedge bonus, ten best."""
+    x = R.hyperedge_scores(R.fused(with_mlp(s, d), "blend"))
+    return R.top_k(x.select("qid", "head_id", "relation", "tail_id", F.round("score", 5).alias("score")))

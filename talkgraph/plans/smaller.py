@@ -66,14 +66,6 @@ def j25_event_bounds(s, d):
     return prosody(s, d).join(m, "sample_id", "left").select("event_id", F.when(F.col("a").isNull(), "no utterance").when((F.col("s") < F.col("a")) | (F.col("e") > F.col("b")), "out of bounds").otherwise("fine").alias("state"))
 
 
-@query("""with r as (select region_id, max(visual_summary) vs, max(chart_type) ct from visual_regions where region_id is not null group by 1), e as (select distinct node_id, x.region_id region_id from (select node_id, unnest(visual_regions) x from evidence_links) where x.region_id is not null)
-select node_id, region_id, coalesce(vs,'') visual_summary, coalesce(ct,'none') chart_type from e left join r using (region_id)""")
-def j26_semantics_write_back(s, d):
-    r = table(s, d, "visual_regions").where("region_id is not null").groupBy("region_id").agg(F.max("visual_summary").alias("vs"), F.max("chart_type").alias("ct"))
-    e = table(s, d, "evidence_links").select("node_id", F.explode("visual_regions.region_id").alias("region_id")).where("region_id is not null").distinct()
-    return e.join(r, "region_id", "left").select("node_id", "region_id", F.coalesce("vs", F.lit("")).alias("visual_summary"), F.coalesce("ct", F.lit("none")).alias("chart_type"))
-
-
 @query("""with deg as (select n, count(*) c from (select head_id n from kg_triples union all select tail_id from kg_triples) where n is not null group by 1), top as (select n from deg order by c desc, n limit 20),
 l as (select distinct head_content || ' --[' || relation || ']--> ' || tail_content line from kg_triples where (head_id in (select n from top) or tail_id in (select n from top)) and head_content is not null and tail_content is not null)
 select line from l order by line limit 50""")
@@ -103,12 +95,6 @@ def a15_run_summary(s, d):
     return c.agg(F.count("*").alias("sessions"), F.count_if("passed").alias("succeeded"), F.sum("n").alias("triples"), F.round(rate, 4).alias("success_rate"), (rate >= 0.9).alias("accepted"))
 
 
-@query("select session_id, count(*) n, round(avg(llm_evaluation.is_correct::int),6) accuracy from results where llm_evaluation.is_correct is not null group by 1")
-def a17_reevaluation(s, d):
-    c = F.col("llm_evaluation.is_correct")
-    return table(s, d, "results").where(c.isNotNull()).groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.avg(c.cast("int")), 6).alias("accuracy"))
-
-
 _KEY = "regexp_replace(lower({0}),'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g')"
 
 
@@ -141,37 +127,12 @@ def o06_reversed_ties(s, d):
     return e.select("vec_id", F.row_number().over(Window.orderBy(F.desc("x"), F.desc("vec_id"))).alias("rk"))
 
 
-@query("select channel, count(*) n from (select distinct triple_id, channel from (select triple_id, 'weight' channel from kg_triples where weight > 0.5 union all select triple_id, 'tier' from kg_triples where lower(trim(tier))='strong' union all select triple_id, 'weight' from kg_triples where weight > 0.7)) group by 1")
-def u01_channel_union(s, d):
-    k = table(s, d, "kg_triples")
-    hit = lambda c, name: k.where(c).select("triple_id", F.lit(name).alias("channel"))
-    return hit("weight > 0.5", "weight").unionByName(hit("lower(trim(tier)) = 'strong'", "tier")).unionByName(hit("weight > 0.7", "weight")).distinct().groupBy("channel").agg(F.count("*").alias("n"))
-
-
 @query("select sample_key, sample_id || '/' || left(sha1(concat_ws('|', split, sample_id, coalesce(head_id,''), relation, coalesce(tail_id,''), source_type, coalesce(nullif(negative_type,''),'none'))),16) k from supervision")
 def f07_sample_key(s, d):
     e = lambda c: F.coalesce(c, F.lit(""))
     return table(s, d, "supervision").select("sample_key", F.concat("sample_id", F.lit("/"), F.substring(F.sha1(F.concat_ws("|", "split", "sample_id", e("head_id"), "relation", e("tail_id"), "source_type", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("none")))), 1, 16)).alias("k"))
 
 
-@query("select event_id, coalesce(try_cast(regexp_extract(props, '([0-9]+)', 1) as double), -1) v from events")
-def f15_safe_number(s, d):
-    return table(s, d, "events").select("event_id", F.coalesce(F.regexp_extract("props", "([0-9]+)", 1).try_cast("double"), F.lit(-1.0)).alias("v"))
-
-
-@query("select triple_id, greatest(1, length(coalesce(head_content,'') || coalesce(tail_content,'')) // 4)::int n_tokens from kg_triples")
-def f16_token_estimate(s, d):
-    e = lambda c: F.coalesce(c, F.lit(""))
-    return table(s, d, "kg_triples").select("triple_id", F.greatest(F.lit(1), F.floor(F.length(F.concat(e("head_content"), e("tail_content"))) / 4).cast("int")).alias("n_tokens"))
-
-
-@query("select event_id, coalesce(json_extract_string(props,'$.k'), json_extract_string(props,'$.n'), 'none') v from events")
-def f17_json_fields(s, d):
-    """Fields of a model's JSON reply, a code fence around it allowed."""
-    bare = F.regexp_replace("props", r"^\s*```(?:json)?|```\s*$", "")
-    return table(s, d, "events").select("event_id", F.coalesce(F.get_json_object(bare, "$.k"), F.get_json_object(bare, "$.n"), F.lit("none")).alias("v"))
-
-
 @query("select result_id, case when len(regexp_extract_all(generated_answer,'[01]'))>0 then regexp_extract_all(generated_answer,'[01]')[-1] end digit from results where generated_answer is not null")
 def f18_last_binary(s, d):
     return table(s, d, "results").where("generated_answer is not null").select("result_id", X.last_binary(X.without_thinking(F.col("generated_answer"))).alias("digit"))
@@ -182,24 +143,6 @@ def f19_squeezed_length(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.length(X.squeeze(F.col("text"))).alias("n"))
 
 
-@query(f"""select utterance_id, array_to_string(list_filter([case when ends_with(trim(x),'?') then 'RISING_TONE' end, case when regexp_matches(lower(x),'{O.DISFLUENCY}') then 'DISFLUENCY' end], lambda v: v is not null),',') tags from (select distinct utterance_id, text x from utterances where text is not null)""")
-def f23_prosody_tags(s, d):
-    x = F.col("text")
-    tags = F.array_compact(F.array(F.when(F.trim(x).endswith("?"), "RISING_TONE"), F.when(F.lower(x).rlike(O.DISFLUENCY), "DISFLUENCY")))
-    return table(s, d, "utterances").where("text is not null").select("utterance_id", "text").distinct().select("utterance_id", F.array_join(tags, ",").alias("tags"))
-
-
-@query("select result_id, length('Answer from the context only; say so if it does not hold the answer.' || chr(10) || coalesce(ground_truth_answer,'') || chr(10) || 'Question: ' || question)::int n from results where question is not null")
-def f29_prompts(s, d):
-    return table(s, d, "results").where("question is not null").select("result_id", F.length(X.prompt(F.col("question"), F.col("ground_truth_answer"))).alias("n"))
-
-
-@query("select utterance_id, count(*) n, round(min(w.start + 10.0::double),3) first_start from (select distinct utterance_id, unnest(word_timestamps) w from utterances) where w.start is not null group by 1")
-def f33_time_shift(s, d):
-    w = table(s, d, "utterances").select("utterance_id", "word_timestamps").distinct().select("utterance_id", F.explode(F.transform("word_timestamps", lambda x: x.withField("start", x["start"] + 10.0))).alias("w")).distinct()
-    return w.where("w.start is not null").groupBy("utterance_id").agg(F.count("*").alias("n"), F.round(F.min("w.start"), 3).alias("first_start"))
-
-
 @query("select split, count(*) n from supervision where coalesce(include_in_loss,false) group by 1")
 def pred14_loss_rows(s, d):
     return table(s, d, "supervision").where(F.coalesce("include_in_loss", F.lit(False))).groupBy("split").agg(F.count("*").alias("n"))
@@ -210,32 +153,12 @@ def pred15_keep_decision(s, d):
     return table(s, d, "supervision").select("sample_key", (F.coalesce("heuristic_score", F.lit(0.0)) >= 0.5).alias("keep"))
 
 
-@query("""select sample_id, count(*) filter (where coalesce(is_repaired,false)) repaired, count(*) filter (where len(coalesce(repair_trace,[]))>0) traced, count(*) n from kg_triples group by 1""")
-def a31_repair_stats(s, d):
-    return table(s, d, "kg_triples").groupBy("sample_id").agg(F.count_if(F.coalesce("is_repaired", F.lit(False))).alias("repaired"), F.count_if(F.coalesce(F.size("repair_trace"), F.lit(0)) > 0).alias("traced"), F.count("*").alias("n"))
-
-
-@query("""with k as (select triple_id, sample_id, head_type, relation, tail_type, case when lower(trim(tier)) in ('strong','medium') then lower(trim(tier)) else 'weak' end t, coalesce(is_repaired,false) r from kg_triples)
-select case when r then 'repaired' else t end source_type, case when r then t end base_tier, case when t='weak' and not r then false else true end include_in_loss, count(*) n from k group by all""")
-def m09_supervision_rows(s, d):
-    """Training rows of the graph's edges by source type; weak ones are kept for analysis only."""
-    st, base = T.source_type(F.col("tier"), F.col("is_repaired"), F.lit(False))
-    k = table(s, d, "kg_triples").select(st.alias("source_type"), base.alias("base_tier"))
-    return k.groupBy("source_type", "base_tier", (F.col("source_type") != "weak").alias("include_in_loss")).agg(F.count("*").alias("n"))
-
-
 @query("select image_file, 'document page image ' || replace(regexp_replace(image_file,'[.](png|jpg)$',''),'_',' ') caption from (select distinct image_file from slides where image_file is not null)")
 def b07_pseudo_captions(s, d):
     i = table(s, d, "slides").where("image_file is not null").select("image_file").distinct()
     return i.select("image_file", F.concat(F.lit("document page image "), F.replace(F.regexp_replace("image_file", r"[.](png|jpg)$", ""), F.lit("_"), F.lit(" "))).alias("caption"))
 
 
-@query("select utterance_id, count(*) n_turns from (select distinct sample_id, utterance_id, text from utterances where length(coalesce(text,'')) > 0) group by 1")
-def s24_raw_text(s, d):
-    """The raw text there is of each utterance."""
-    return table(s, d, "utterances").where("length(coalesce(text, '')) > 0").select("sample_id", "utterance_id", "text").distinct().groupBy("utterance_id").agg(F.count("*").alias("n_turns"))
-
-
 @query("select session_id from (select distinct session_id from gold_test where session_id is not null) where session_id not in (select session_id from results where session_id is not null)")
 def b11_sessions_to_index(s, d):
     """Sessions of the question file that have no results yet."""

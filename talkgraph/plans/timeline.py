@@ -123,10 +123,8 @@ def w04_gap_sessions(s, d):
 
 @query()
 def w04_utterances_of_words(s, d):
-    """The whole rule, with the cut of utterances grown too long: one fold over each utterance row's words."""
-    rows = table(s, d, "utterances").dropDuplicates(["utterance_id"])
-    words = F.transform(F.filter("word_timestamps", lambda w: w["start"].isNotNull() & w["end"].isNotNull()), lambda w: F.struct(w["start"].alias("s"), w["end"].alias("e"), w["text"].alias("text")))
-    return rows.select("utterance_id", F.posexplode(L.utterances_of(F.array_sort(words))).alias("i", "g")).select("utterance_id", "i", F.round("g.s", 3).alias("start_time"), F.round("g.e", 3).alias("end_time"), "g.n")
+    """The whole rule over each recording, with the cut of utterances grown too long."""
+    return L.utterances_of(spoken(s, d)).select("sample_id", F.round("start_time", 3).alias("start_time"), F.round("end_time", 3).alias("end_time"), "n", "text")
 
 
 @query(f"""with {_P}, dur as (select sample_id, max(end_time) duration from utterances where end_time is not null group by 1 having max(end_time) > 0),
@@ -149,16 +147,22 @@ def w12_packed_sentences(s, d):
     return table(s, d, "paper_chunks").where("text is not null").dropDuplicates(["chunk_id"]).select("chunk_id", F.posexplode(X.packed(X.sentences(F.col("text")))).alias("i", "chunk")).select("chunk_id", "i", F.length("chunk").alias("n_chars"))
 
 
-@query("select node_id, i::int shard, (floor(n*(i+1)/4.0) - floor(n*i/4.0))::int n_items from (select distinct node_id, coalesce(len(utterances),0) n from evidence_links where node_id is not null), range(4) t(i)")
+_ARRAYS = ("paper_chunks", "utterances", "slides", "visual_regions", "prosody_events", "pragmatic_signals")
+
+
+@query("with a as (" + " union all ".join(f"select node_id, '{c}' part, max(coalesce(len({c}),0)) n from evidence_links where node_id is not null group by 1" for c in _ARRAYS) + """)
+select node_id, part, i::int shard, (floor(n*(i+1)/4.0) - floor(n*i/4.0))::int n_items from a, range(4) t(i)""")
 def w15_even_shards(s, d):
-    rows = table(s, d, "evidence_links").where("node_id is not null").select("node_id", F.coalesce("utterances", F.array().cast("array<struct<utterance_id:string,start_time:double,end_time:double,text:string>>")).alias("u"))
-    rows = rows.withColumn("n", F.size("u")).dropDuplicates(["node_id", "n"])
-    return rows.select("node_id", F.posexplode(L.even_shards(F.col("u"), 4)).alias("shard", "part")).select("node_id", "shard", F.size("part").alias("n_items"))
+    """All six arrays of a node's evidence in four slices each; of a node stored twice the longest arrays."""
+    rows = table(s, d, "evidence_links").where("node_id is not null").groupBy("node_id").agg(*(F.max_by(c, F.coalesce(F.size(c), F.lit(-1))).alias(c) for c in _ARRAYS))
+    kind = lambda c: F.transform(F.coalesce(F.transform(c, lambda x: F.to_json(x)), F.array().cast("array<string>")), lambda x: x)
+    each = rows.select("node_id", F.explode(F.array(*(F.struct(F.lit(c).alias("part"), L.even_shards(kind(c), 4).alias("s")) for c in _ARRAYS))).alias("p"))
+    return each.select("node_id", "p.part", F.posexplode("p.s").alias("shard", "items")).select("node_id", "part", "shard", F.size("items").alias("n_items"))
 
 
-@query(f"with {_P} select event_id, case when e - s >= 0.8 then 'PAUSE_LONG' when e - s >= 0.2 then 'PAUSE' else 'short' end kind from p where e - s >= 0.05")
+@query(f"with {_P} select event_id, case when e - s >= 0.8 then 'PAUSE_LONG' else 'PAUSE' end kind, round(least(1.0, (e - s) / 2.0), 3) intensity from p where e - s >= 0.05")
 def pred11_pause_buckets(s, d):
-    return prosody(s, d).where("e - s >= 0.05").select("event_id", F.when(F.col("e") - F.col("s") >= 0.8, "PAUSE_LONG").when(F.col("e") - F.col("s") >= 0.2, "PAUSE").otherwise("short").alias("kind"))
+    return L.pause_events(prosody(s, d)).select("event_id", "kind", "intensity")
 
 
 @query(f"with {_WD} select sample_id, count(*) n from (select distinct sample_id, round(s,2) a, round(e,2) b, regexp_replace(lower(t),'[^a-z0-9]','','g') k from wd) where k <> '' group by 1")
@@ -233,16 +237,10 @@ def c07_semantic_nodes(s, d):
     return g.withColumn("rk", rk).where(F.col("rk") <= most).select("sample_id", "type", "content_key", "confidence", X.node_id(F.col("sample_id"), F.col("type"), F.col("content_key")).alias("node_id"))
 
 
-@query("select chunk_id, coalesce(trim(regexp_replace(text,'[ \t\n\r\f\v]+',' ','g')),'') = '' noisy from (select distinct chunk_id, text from paper_chunks where length(coalesce(text,'')) < 100)")
-def pred06_embedding_noise(s, d):
-    return table(s, d, "paper_chunks").where(F.length(F.coalesce("text", F.lit(""))) < 100).select("chunk_id", "text").distinct().select("chunk_id", X.too_noisy(F.col("text")).alias("noisy"))
-
-
 @query(r"""with t as (select chunk_id, trim(regexp_replace(coalesce(text,''),'[ \t\n\r\f\v]+',' ','g')) t from (select distinct chunk_id, text from paper_chunks)),
 c as (select *, length(t) n, length(regexp_replace(t,'[^\p{L}\p{N}]','','g')) a, length(regexp_replace(t,'[\p{L}\p{N} ]','','g')) p from t)
 select chunk_id, n = 0 or (n >= 120 and a/n < 0.30 and p/n > 0.35) or (n >= 120 and contains(t,'…') and p/n > 0.42) noisy from c""")
-def pred06_embedding_noise_all(s, d):
-    """Chunks of every length; pred06_embedding_noise has those under 100 characters, as its SQL has."""
+def pred06_embedding_noise(s, d):
     return table(s, d, "paper_chunks").select("chunk_id", "text").distinct().select("chunk_id", X.too_noisy(F.col("text")).alias("noisy"))
 
 

@@ -136,3 +136,95 @@ def inputs(tables: dict[str, DataFrame], needed: list[str], key: str = "sample_i
         out = out.join(d, key, "full")
     lack = F.array_compact(F.array(*(F.when(F.col(f"has_{n}").isNull(), F.lit(n)) for n in needed)))
     return out.select(F.when(F.size(lack) > 0, F.raise_error(F.concat(F.col(key), F.lit(" lacks "), F.array_join(lack, ", ")))).otherwise(F.col(key)).alias(key))
+
+
+def evidence_links(spark: SparkSession, root: str, item: str) -> DataFrame:
+    """(sample_id, node_id, ...) of all sessions' evidence_links.json: one object a session whose ``node_evidence`` maps are
+    exploded; of a node that several files or places name the last one wins. item: schema of one node's evidence."""
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "evidence_links.json").option("recursiveFileLookup", True).text(root)
+    made = raw.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"sample_id string, node_evidence array<struct<node_id:string,{item}>>").alias("r"))
+    rows = made.select("file", "r.sample_id", F.posexplode("r.node_evidence").alias("pos", "n")).select("file", "pos", "sample_id", "n.*").where("trim(coalesce(node_id, '')) <> ''")
+    return last_per_key(rows, "node_id", ["file", "pos"]).drop("file", "pos")
+
+
+def raw_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """(session_id, path) of download folders named by a number, an underscore and anything; of folders of one number the last by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    folder = F.regexp_extract("path", r"^(.*/([0-9]+)_[^/]*)/[^/]+$", 1)
+    return files.select(folder.alias("path"), F.regexp_extract("path", r"/([0-9]+)_[^/]*/[^/]+$", 1).alias("session_id")).where("session_id <> ''").groupBy("session_id").agg(F.max("path").alias("path"))
+
+
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """(session_path, n, path) of the page and slide images below a folder, numbered in order of name."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").option("recursiveFileLookup", True).load(root).select("path")
+    from pyspark.sql import Window
+
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return f.withColumn("session_path", folder).withColumn("n", F.row_number().over(Window.partitionBy("session_path").orderBy("path")) - 1).select("session_path", "n", "path")
+
+
+def graph_index(spark: SparkSession, root: str, names: tuple[str, ...] = ("entities", "relationships", "communities", "community_reports", "text_units"), optional: tuple[str, ...] = ("covariates",)) -> dict[str, DataFrame]:
+    """The tables of a third-party graph index, Parquet files by name; a missing one fails and is named, optional ones may be absent."""
+    lack = [n for n in names if not exists(spark, f"{root}/{n}.parquet")]
+    if lack:
+        raise FileNotFoundError(f"{root} lacks {', '.join(lack)}")
+    return {n: spark.read.parquet(f"{root}/{n}.parquet") for n in (*names, *(o for o in optional if exists(spark, f"{root}/{o}.parquet")))}
+
+
+def indexed_sessions(spark: SparkSession, cache: str) -> DataFrame:
+    """(session_id) whose index is in a cache written by writers.index_cache()."""
+    if not exists(spark, f"{cache}/session_id=*"):
+        return spark.createDataFrame([], "session_id string")
+    return spark.read.parquet(cache).select(F.col("session_id").cast("string").alias("session_id")).distinct()
+
+
+def questions(spark: SparkSession, path: str, schema: str, most: int = 0) -> DataFrame:
+    """Questions of a file of JSON lines, the first ``most`` in order of file and place (0: all)."""
+    rows = json_lines(spark, path, schema)
+    return rows.limit(most) if most else rows
+
+
+def vector_table(spark: SparkSession, path: str, ids: str | None = None) -> DataFrame:
+    """(node_id, v): vectors of a Parquet table (node_id, v), or of .npy files whose row numbers a JSON map from number to id names."""
+    if not path.endswith(".npy"):
+        return spark.read.parquet(path).select("node_id", "v")
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def rows(parts):
+        for part in parts:
+            for content in part["content"]:
+                a = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                yield pd.DataFrame({"i": np.arange(len(a)), "v": list(a.astype("float32"))})
+
+    v = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "i bigint, v array<float>")
+    names = spark.read.option("wholetext", True).text(ids).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "node_id"))
+    return v.join(names.withColumn("i", F.col("k").cast("bigint")), "i").select("node_id", "v")
+
+
+def rendered_pages(files: DataFrame, key: str, content: str, out: str, renderer) -> DataFrame:
+    """(key, page, path) of PDFs drawn as images by a provider, bytes -> list of PNG bytes, into a folder of its own, never
+    the source's; files it fails at have none. A task that is run again writes the same names."""
+    import os
+
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for k, c in zip(part[key], part[content]):
+                try:
+                    drawn = renderer(bytes(c))
+                except Exception:  # noqa: BLE001
+                    continue
+                for n, png in enumerate(drawn, 1):
+                    path = f"{out}/{k}/page_{n:03d}.png"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, "wb") as f:
+                        f.write(png)
+                    rows.append((k, n, path))
+            yield pd.DataFrame(rows, columns=[key, "page", "path"])
+
+    return files.select(key, content).mapInPandas(run, f"`{key}` string, page int, path string")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _clean(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.make_valid_utf8(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _clean(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
 
 
 def clean_strings(df: DataFrame) -> DataFrame:
-    """Every string column as valid UTF-8."""
-    return df.withColumns({c: F.make_valid_utf8(c) for c, t in df.dtypes if t == "string"})
+    """Every string as valid UTF-8, also inside arrays and structs."""
+    return df.select(*(_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
@@ -40,5 +51,40 @@ def scores(df: DataFrame, path: str) -> None:
 def manifest(done: DataFrame, failures: DataFrame, root: str) -> None:
     """Manifest and failures in order of session; an empty list of failures leaves no file."""
     done.orderBy("sample_id").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
-    if not failures.isEmpty():
+    if failures.isEmpty():
+        jvm, path = done.sparkSession.sparkContext._jvm, f"{root}/failures"
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(done.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    else:
         failures.orderBy("sample_id").coalesce(1).write.mode("overwrite").json(f"{root}/failures")
+
+
+def supervision(rows: DataFrame, path: str) -> None:
+    """Training rows by split, in order of session and key within each file."""
+    rows.repartitionByRange("split", "sample_id", "sample_key").sortWithinPartitions("split", "sample_id", "sample_key").write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def predictions(rows: DataFrame, path: str) -> None:
+    """Predictions by seed and split."""
+    rows.write.mode("overwrite").partitionBy("seed", "split").json(path)
+
+
+def reranked(triples: DataFrame, report: DataFrame, path: str) -> None:
+    """Reranked triples by split and session, and the report beside them."""
+    triples.write.mode("overwrite").partitionBy("split").parquet(f"{path}/triples")
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+
+
+def index_cache(vectors: DataFrame, path: str) -> None:
+    """Vectors of sessions (session_id, ...), a folder a session; sessions written anew replace their own folders only."""
+    vectors.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+
+
+def dead_letters(rows: DataFrame, path: str) -> None:
+    """What could not be handled, with the reason, appended."""
+    clean_strings(rows).write.mode("append").json(path)
+
+
+def model(fitted, path: str) -> None:
+    """A fitted model or pipeline."""
+    fitted.write().overwrite().save(path)

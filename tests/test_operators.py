@@ -82,8 +82,6 @@ def test_folds(spark):
     assert first(X.last_binary(F.lit("Score: 0 ... final 1"))) == "1" and first(X.last_binary(F.lit("n/a"))) is None
     assert first(X.packed(F.array(F.lit("aa"), F.lit("bb"), F.lit("c" * 10)), 5)) == ["aa bb", "c" * 10]
     assert first(X.semantic_windows(F.lit("One two. Three four. Five six."), 12, 3)) == ["One two.", "wo. Three four.", "ur. Five six."]
-    seg = lambda *x: F.array(*(F.struct(F.lit(float(a)).alias("s"), F.lit(float(b)).alias("e"), F.lit(t).alias("text")) for a, b, t in x))
-    assert [r["text"] for r in first(A.without_overlaps(seg((0, 5, "hello"), (4, 9, "hello there"), (9, 12, "bye"))))] == ["hello there", "bye"]
     assert [tuple(r) for r in first(A.chunk_ranges(F.lit(60.0), F.array(F.struct(F.lit(28.0).alias("s"), F.lit(29.0).alias("e")))))] == [(0.0, 28.0), (26.5, 60.0)]
     assert [tuple(r) for r in first(A.fixed_ranges(F.lit(0.0), F.lit(5.0), 2.0))] == [(0.0, 2.0), (2.0, 4.0), (4.0, 5.0)]
     assert first(A.pitch_slope(F.array(*(F.lit(float(i)) for i in range(6))))) == 4.0

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 from oracle import canon
-from talkgraph.plans import evidence, general, graph, learning, retrieval, smaller, timeline
+from talkgraph.plans import evidence, general, graph, learning, retrieval, scoring, smaller, speech, timeline, whole
 
 D = "/root/testdata/sf0.001"
-MODULES = [general, graph, timeline, evidence, retrieval, learning, smaller]
+MODULES = [general, graph, timeline, speech, evidence, retrieval, learning, scoring, smaller, whole]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")

@@ -26,7 +26,7 @@ def test_noise_of_long_chunks(spark, tmp_path):
     texts = ["±§" * 70, "±§" * 40, "ab…" + ".." * 30 + " cde" * 20, "ab…" + "...." * 30 + " cde" * 20, "word " * 40, "ab " + "...." * 30 + " cde" * 20, "a" * 36 + "±" * 84, "a" * 35 + "±" * 85, "a" * 35 + "±" * 84, "  ", None, "é" * 200]
     d = stored(spark, tmp_path, paper_chunks=([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string"))
     want = {f"c{i}": noisy(t) for i, t in enumerate(texts)}
-    assert {r["chunk_id"]: r["noisy"] for r in timeline.QUERIES["pred06_embedding_noise_all"](spark, d).collect()} == want
+    assert {r["chunk_id"]: r["noisy"] for r in timeline.QUERIES["pred06_embedding_noise"](spark, d).collect()} == want
     assert sum(want.values()) > 3
 
 
@@ -70,7 +70,7 @@ def test_evidence_of_nodes_of_every_type(spark, tmp_path):
     rows = {r["node_id"]: r for r in evidence.j10_evidence_links(spark, d).collect()}
     assert {n: r["chunks"] for n, r in rows.items()} == {n: "|".join(f"c{i}" for i in v) for n, v in jac.items()}
     assert {n: r["utterances"] for n, r in rows.items()} == {n: "|".join(f"u{i}" for i in v) for n, v in over.items()}
-    for name, col, pre, want in (("j08_jaccard_topk_all", "chunk_id", "c", jac), ("j09_overlap_topn_all", "utterance_id", "u", over)):
+    for name, col, pre, want in (("j08_jaccard_topk", "chunk_id", "c", jac), ("j09_overlap_topn", "utterance_id", "u", over)):
         got = {(r["node_id"], r["rk"], r[col]) for r in learning.QUERIES[name](spark, d).collect()}
         assert got == {(n, k, f"{pre}{i}") for n, v in want.items() for k, i in enumerate(v, 1)}
 
@@ -89,4 +89,4 @@ def test_hard_negatives_of_every_split(spark, tmp_path):
     sim = lambda c: round(jac(toks("recall of nine"), toks(c)) + 0.15 * jac(toks("dense encoder"), toks(c)), 6)
     order = sorted((-sim(c), hashlib.md5(f"{n}|42".encode()).hexdigest(), n) for s, n, _, c in pool if s == "s" and n not in ("t0", "t3"))
     want = {(f"e{i}", n, k) for i in range(3) for k, (_, _, n) in enumerate(order[:2], 1)}
-    assert {(x["edge_id"], x["neg_tail"], x["rk"]) for x in learning.QUERIES["j22_hard_negatives_all"](spark, d).collect()} == want
+    assert {(x["edge_id"], x["neg_tail"], x["rk"]) for x in learning.QUERIES["j22_hard_negatives"](spark, d).collect()} == want
