@@ -11,6 +11,7 @@ from talkgraph.functions import ontology as O
 from talkgraph.functions import provenance as P
 from talkgraph.functions import text as X
 from talkgraph.operators import blocks as B
+from talkgraph.operators import providers
 from talkgraph.operators.timeline import slide_at
 
 #: kind of related node -> how many a claim takes (fixed values)
@@ -149,6 +150,14 @@ def paper_repairs(triples: DataFrame, edge_vectors: DataFrame, chunk_vectors: Da
     return got.where(F.col("score") >= threshold).select(F.col("lid").alias("triple_id"), F.col("rid").alias("chunk_id"), F.col("score").alias("similarity"))
 
 
+def near_chunks(triples: DataFrame, chunks: DataFrame, provider: providers.Provider = providers.hashed_embedding) -> DataFrame:
+    """paper_repairs() of triples and chunks (sample_id, chunk_id, text) whose vectors a provider makes, offline by default."""
+    kg = paper_targets(triples)
+    q = providers.embedded(kg.select("triple_id", edge_text(F.col("relation"), F.col("head_content"), F.col("tail_content")).alias("t")), "t", provider).select("triple_id", F.col("embedding").alias("qv"))
+    c = providers.embedded(chunks.where("text is not null").select("sample_id", "chunk_id", "text").distinct(), "text", provider).select("sample_id", "chunk_id", F.col("embedding").alias("v"))
+    return paper_repairs(kg, q, c)
+
+
 def distinct_summaries(regions: DataFrame, most: float = 0.9) -> DataFrame:
     """Regions with templated summaries dropped, and repeated summaries of an image blanked (the first stays).
 

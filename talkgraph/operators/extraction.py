@@ -14,11 +14,13 @@ from talkgraph.operators import providers
 from talkgraph.operators import triples as T
 from talkgraph.operators.learning import resume
 from talkgraph.operators.scoring import json_in
+from talkgraph.sources.readers import PROVENANCE
 
 #: The widening rounds: claims' related nodes and chunks that a window holds.
 ROUNDS = ({"chunks": 4, "nodes": 4}, {"chunks": 8, "nodes": 8}, {"chunks": 12, "nodes": 12})
-_ITEM = "struct<source_type:string,chunk_id:string>"
-_TRIPLE = f"struct<head:struct<id:string,type:string,content:string>,relation:string,tail:struct<id:string,type:string,content:string>,provenance:array<{_ITEM}>,weight:double,signal_source:string>"
+_TRIPLE = f"struct<head:struct<id:string,type:string,content:string>,relation:string,tail:struct<id:string,type:string,content:string>,provenance:{PROVENANCE},weight:double,signal_source:string>"
+#: Traces of repairs.
+TRACE = "array<struct<modality:string,repair_method:string,repaired_granularity:string,reason:string,utterance_id:string,slide_id:string,region_id:string,chunk_id:string,time:double,similarity_score:double>>"
 
 
 def tokens_of(payload: Column) -> Column:
@@ -95,7 +97,8 @@ def merged(found: DataFrame) -> DataFrame:
     rows = found.withColumn("triple_id", F.xxhash64("sample_id", "head_id", "relation", "tail_id", "weight", F.to_json("provenance"))).withColumn("is_repaired", F.lit(False))
     own = T.merged(rows)
     kept = rows.groupBy("head_id", "relation", "tail_id").agg(*(F.min(c).alias(c) for c in ("sample_id", "head_type", "head_content", "tail_type", "tail_content")))
-    return own.join(kept, ["head_id", "relation", "tail_id"])
+    out = own.join(kept, ["head_id", "relation", "tail_id"])
+    return out.withColumns({"triple_id": F.xxhash64("head_id", "relation", "tail_id"), "repair_trace": F.lit(None).cast(TRACE)})
 
 
 def graph(claims: DataFrame, related: DataFrame, evidence: DataFrame, provider: providers.Provider = offline_extraction, rounds: tuple = ROUNDS, budget: int = 7000, enough: Callable[[DataFrame], DataFrame] = T.coverage) -> tuple[DataFrame, DataFrame]:

@@ -145,3 +145,13 @@ def native_context(parts: dict[str, Column], most: int) -> Column:
     titled = [F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"=== {t} ===\n"), c)) for t, c in parts.items()]
     whole = F.concat_ws("\n\n", *titled)
     return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("\n\n[...truncated...]"))).otherwise(whole)
+
+
+def multimodal_messages(parts: dict[str, Column], images: Column, question: Column, most_chars: int, most_images: int = 3) -> Column:
+    """One user message as JSON: the titled texts (cut at ``most_chars``), the first images (array of PNG bytes) as data URLs,
+    then the question. Null and empty parts are left out; the number of images is what a model takes."""
+    text = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url"))
+    picture = lambda b: F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(F.concat(F.lit("data:image/png;base64,"), F.base64(b)).alias("url")).alias("image_url"))
+    drawn = F.transform(F.slice(F.filter(F.coalesce(images, F.array().cast("array<binary>")), lambda b: b.isNotNull()), 1, most_images), picture)
+    content = F.concat(F.array(text(native_context(parts, most_chars))), drawn, F.array(text(F.concat(F.lit("Question: "), question, F.lit("\nAnswer:")))))
+    return F.to_json(F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))))

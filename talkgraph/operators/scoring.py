@@ -146,6 +146,17 @@ def training_messages(lines: DataFrame, system: str) -> tuple[DataFrame, DataFra
     return good, rows.where("error is not null").select("n", "error")
 
 
+def base_columns(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """What a scorer is trained on and gives scores to: labels, words of head and tail, numbers and relation."""
+    text = lambda e: X.tokens(F.concat_ws(" ", f"{e}_type", f"{e}_content"))
+    relations = F.array(*(F.lit(r) for r in _relations()))
+    return edges.select(
+        *(keep or []), "sample_key", "split", "sample_id", F.coalesce("tier_label", F.lit(0)).cast("double").alias("label"), F.coalesce("include_in_loss", F.lit(False)).alias("loss"), binary_label(F.col("source_type"), F.col("base_tier")).alias("edge"),
+        F.coalesce("heuristic_score", F.lit(0.0)).alias("hs"), heuristic_label(F.col("source_type"), F.col("heuristic_tier"), F.col("base_tier")).alias("ht"), text("head").alias("hw"), text("tail").alias("tw"),
+        *(c.alias(f"f{i}") for i, c in enumerate(numeric())), *((F.coalesce(F.array_position(relations, F.col("relation")), F.lit(0)) == i + 1).cast("double").alias(f"r{i}") for i in range(len(_relations()))),
+    )
+
+
 def trained_scorer(edges: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), hidden: int = 32, rounds: int = 60, terms: int = 200, width: int = 16):
     """(edges with score and tier, metrics of each seed, the best model): a multilayer perceptron over the features, of
     which text terms are reduced to ``width`` by principal components, trained on the train split for each seed; the best by the dev split scores all.
@@ -154,16 +165,10 @@ def trained_scorer(edges: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), hidden:
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import PCA, HashingTF, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import PCA, HashingTF, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    text = lambda e: X.tokens(F.concat_ws(" ", f"{e}_type", f"{e}_content"))
-    relations = F.array(*(F.lit(r) for r in _relations()))
-    base = edges.select(
-        "sample_key", "split", "sample_id", F.coalesce("tier_label", F.lit(0)).cast("double").alias("label"), F.coalesce("include_in_loss", F.lit(False)).alias("loss"), binary_label(F.col("source_type"), F.col("base_tier")).alias("edge"),
-        F.coalesce("heuristic_score", F.lit(0.0)).alias("hs"), heuristic_label(F.col("source_type"), F.col("heuristic_tier"), F.col("base_tier")).alias("ht"), text("head").alias("hw"), text("tail").alias("tw"),
-        *(c.alias(f"f{i}") for i, c in enumerate(numeric())), *((F.coalesce(F.array_position(relations, F.col("relation")), F.lit(0)) == i + 1).cast("double").alias(f"r{i}") for i in range(len(_relations()))),
-    )
+    base = base_columns(edges)
     cols = [f"f{i}" for i in range(14)] + [f"r{i}" for i in range(len(_relations()))]
     stages = [HashingTF(inputCol="hw", outputCol="hv", numFeatures=terms, binary=True), HashingTF(inputCol="tw", outputCol="tv", numFeatures=terms, binary=True), PCA(k=width, inputCol="hv", outputCol="hp"), PCA(k=width, inputCol="tv", outputCol="tp"), VectorAssembler(inputCols=["hp", "tp", *cols], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features")]
     train = base.where("split = 'train' and loss")
@@ -185,6 +190,39 @@ def trained_scorer(edges: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), hidden:
     return scored(models[best], x), runs, (prepared, models[best])
 
 
+def two_heads(edge: Column, hyperedge: Column) -> Column:
+    """The score of a scorer with two heads: the mean of their sigmoids."""
+    sigmoid = lambda x: 1 / (1 + F.exp(-x))
+    return (sigmoid(edge) + sigmoid(hyperedge)) / 2
+
+
+def as_training_rows(triples: DataFrame) -> DataFrame:
+    """Edges of a graph in the layout of supervision rows, so that a trained scorer can score them."""
+    from talkgraph.operators.triples import modality_summary
+
+    keep = ["sample_id", "head_id", "head_type", "head_content", "relation", "tail_id", "tail_type", "tail_content", "is_repaired"]
+    x = modality_summary(triples, keep)
+    part = lambda m, fields: F.struct(*(F.col(f"{m}_{a}").alias(b) for a, b in fields))
+    has = lambda m: (F.col(f"{m}_count") > 0).cast("int")
+    none = F.lit(None).cast("string")
+    return x.select(
+        F.concat_ws("|", F.coalesce("head_id", F.lit("")), "relation", F.coalesce("tail_id", F.lit(""))).alias("sample_key"), F.lit("all").alias("split"), *keep,
+        part("audio", (("count", "count"), ("quality_max", "quality_max"), ("duration_sum", "duration_sum"))).alias("audio_repr"), part("visual", (("count", "count"), ("quality_max", "quality_max"), ("has_chart", "has_chart_hint"))).alias("visual_repr"),
+        part("paper", (("count", "count"), ("quality_max", "quality_max"), ("repaired_count", "repaired_count"), ("similarity_max", "similarity_max"))).alias("paper_repr"), F.struct(has("audio").alias("audio"), has("visual").alias("visual"), has("paper").alias("paper")).alias("modality_mask"),
+        F.lit(None).cast("int").alias("tier_label"), F.lit(False).alias("include_in_loss"), none.alias("source_type"), none.alias("base_tier"), F.lit(None).cast("double").alias("heuristic_score"), none.alias("heuristic_tier"),
+    )
+
+
+def scored_edges(triples: DataFrame, fitted) -> DataFrame:
+    """(head_id, relation, tail_id, score): every distinct edge scored by a fitted (preparation, model), the best of its rows, in six places."""
+    prepared, model = fitted
+    from pyspark.ml.functions import vector_to_array
+
+    p = vector_to_array("probability")
+    x = model.transform(prepared.transform(base_columns(as_training_rows(triples.where("head_id is not null and tail_id is not null")), ["head_id", "relation", "tail_id"])))
+    return x.groupBy("head_id", "relation", "tail_id").agg(F.round(F.max(p[1] + p[2]), 6).alias("score"))
+
+
 def _relations() -> list[str]:
     from talkgraph.functions import ontology as O
 

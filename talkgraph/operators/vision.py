@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,45 @@ def with_semantics(rows: DataFrame, semantics: DataFrame) -> DataFrame:
     s = semantics.where("region_id is not null").groupBy("region_id").agg(F.max(F.struct("visual_summary", "chart_type", "entities")).alias("s"))
     out = rows.drop("visual_summary", "chart_type", "entities").join(s, "region_id", "left")
     return out.select("*", F.coalesce("s.visual_summary", F.lit("")).alias("visual_summary"), F.coalesce("s.chart_type", F.lit("none")).alias("chart_type"), F.coalesce("s.entities", F.array().cast("array<string>")).alias("entities")).drop("s")
+
+
+def described(regions: DataFrame, images: DataFrame, model, most_bytes: int = 4_000_000, cut=None) -> DataFrame:
+    """(region_id, visual_summary, chart_type, entities, status) of regions (region_id, image, bbox) by a model over image bytes
+    (image, content). cut (content, bbox, bytes) crops and shrinks and is a provider, as is model (bytes -> dict); without cut
+    the whole image is sent. What is too large, missing or fails has a status and no summary."""
+
+    def one(content, bbox) -> tuple:
+        if content is None:
+            return "", "none", [], "no image"
+        try:
+            data = bytes(content) if cut is None else cut(bytes(content), list(bbox), most_bytes)
+            if len(data) > most_bytes:
+                return "", "none", [], "too large"
+            got = model(data)
+            return str(got.get("summary", "")), str(got.get("chart_type", "none")), [str(x) for x in got.get("entities", [])], "ok"
+        except Exception as e:  # noqa: BLE001
+            return "", "none", [], f"failed: {type(e).__name__}"
+
+    def run(parts):
+        for part in parts:
+            got = [one(c, b) for c, b in zip(part["content"], part["bbox"])]
+            yield pd.DataFrame({"region_id": part["region_id"], **{c: [g[k] for g in got] for k, c in enumerate(("visual_summary", "chart_type", "entities", "status"))}})
+
+    joined = regions.join(images, "image", "left").select("region_id", "bbox", "content")
+    return joined.mapInPandas(run, "region_id string, visual_summary string, chart_type string, entities array<string>, status string")
+
+
+def embedded(images: DataFrame, key: str, content: str, model) -> DataFrame:
+    """(key, embedding) of images by a vision encoder, bytes -> list of numbers; images it fails at have null."""
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for c in part[content]:
+                try:
+                    out.append([float(x) for x in model(bytes(c))])
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.DataFrame({key: part[key], "embedding": out})
+
+    return images.select(key, content).mapInPandas(run, f"`{key}` {dict(images.select(key).dtypes)[key]}, embedding array<double>")

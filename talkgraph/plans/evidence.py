@@ -56,10 +56,7 @@ def c11_repair_targets(s, d):
 @query()
 def j29_paper_repairs(s, d):
     """Edges without paper evidence and the nearest chunk of their session, by the offline embedding."""
-    kg = E.paper_targets(table(s, d, "kg_triples"))
-    q = providers.embedded(kg.select("triple_id", E.edge_text(F.col("relation"), F.col("head_content"), F.col("tail_content")).alias("t")), "t").select("triple_id", F.col("embedding").alias("qv"))
-    c = providers.embedded(table(s, d, "paper_chunks").where("text is not null").select("sample_id", "chunk_id", "text").distinct(), "text").select("sample_id", "chunk_id", F.col("embedding").alias("v"))
-    return E.paper_repairs(kg, q, c)
+    return E.near_chunks(table(s, d, "kg_triples"), table(s, d, "paper_chunks"))
 
 
 @query(f"""with n as (select sample_id, node_id, node_type type, min("content") c, coalesce(max(confidence),0) f from evidence_links where node_id is not null and node_type in ('Claim','Method','Result','Metric','Limitation') group by 1,2,3),

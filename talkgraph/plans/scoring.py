@@ -10,6 +10,7 @@ from talkgraph.functions import text as X
 from talkgraph.operators import learning as M
 from talkgraph.operators import scoring as S
 from talkgraph.operators import triples as T
+from talkgraph.plans.graph import _SUMMARY
 from talkgraph.plans.timeline import table
 
 QUERIES: dict = {}
@@ -127,6 +128,21 @@ def m07_rerank_report(s, d):
     return S.rerank_report(m03_mlp_scores(s, d))
 
 
+@query()
+def m08_edge_scores(s, d):
+    """The best perceptron's score of every edge of the graph."""
+    _, _, fitted = S.trained_scorer(table(s, d, "supervision"))
+    kg = table(s, d, "kg_triples")
+    return S.scored_edges(kg.withColumn("provenance", F.coalesce("provenance", F.expr("filter(array(provenance[0]), x -> false)"))), fitted)
+
+
+@query("select sample_key, round((1/(1+exp(-coalesce(heuristic_score,0)))+1/(1+exp(-coalesce(provenance_score,0))))/2,6) score from supervision")
+def m04_two_heads(s, d):
+    """The mean of the sigmoids of an edge's and a hyperedge's score."""
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return table(s, d, "supervision").select("sample_key", F.round(S.two_heads(z("heuristic_score"), z("provenance_score")), 6).alias("score"))
+
+
 _KEPT = "coalesce(heuristic_score,0) >= 0.5"
 
 
@@ -193,11 +209,11 @@ def m09_supervision_rows(s, d):
     return M.supervision(kg, links)
 
 
-_MASK = "list_filter(coalesce(provenance,[]), lambda p: lower(coalesce(p.source_type,'')) = '{0}')"
+_OF_EDGES = _SUMMARY.replace("sample_key", "triple_id").replace("supervision", "kg_triples").replace(" where provenance is not null", "")
 
 
-@query()
+@query(f"select a.*, k.relation, k.head_type, k.tail_type from ({_OF_EDGES}) a join kg_triples k using (triple_id)")
 def f32_inference_features(s, d):
     """What a scorer is given of each edge of the graph."""
     kg = table(s, d, "kg_triples")
-    return T.modality_summary(kg.withColumn("provenance", F.coalesce("provenance", F.expr("filter(array(provenance[0]), x -> false)"))), ["triple_id", "head_type", "relation", "tail_type", "is_repaired"])
+    return T.modality_summary(kg.withColumn("provenance", F.coalesce("provenance", F.expr("filter(array(provenance[0]), x -> false)"))), ["triple_id", "head_type", "relation", "tail_type"])

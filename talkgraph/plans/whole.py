@@ -118,6 +118,18 @@ def j26_semantics_write_back(s, d):
     return V.with_semantics(per, sem).select("t", "region_id", "n", "visual_summary", "chart_type")
 
 
+@query("""with k as (select vec_id, i, case when i = vec_id % 8 then 0 else 1 end m from embeddings, range(8) t(i)), w as (select vec_id, i, m * sum(m) over (partition by vec_id order by i rows unbounded preceding) w from k),
+x as (select e.vec_id, d, sum(embedding[i*8+d+1]::double*w)/sum(w) v from embeddings e join w using (vec_id), range(8) u(d) group by all) select vec_id, d::int d, round(v,5) v from x""")
+def w17_pooled_states(s, d):
+    """Vectors seen as eight token states of eight numbers, one masked, pooled with growing weights."""
+    from talkgraph.functions.vectors import pooled
+
+    e = table(s, d, "embeddings")
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == F.col("vec_id") % 8, 0.0).otherwise(1.0))
+    return e.select("vec_id", F.posexplode(pooled(states, mask)).alias("d", "v")).select("vec_id", "d", F.round("v", 5).alias("v"))
+
+
 # --- parsing and estimates
 
 
@@ -309,6 +321,17 @@ def a31_repair_stats(s, d):
     return repaired(s, d)[1]
 
 
+@query()
+def c14_process_sessions(s, d):
+    """All sessions from their records to a scored graph: windows, extraction in rounds, repairs of slides and papers, tiers,
+    and the quality report of what came of it."""
+    kg, _ = G.graph(*claims(s, d))
+    links = table(s, d, "evidence_links")
+    slides = E.slide_repairs(kg, links, alignment(s, d), table(s, d, "visual_regions"))
+    done, _ = G.scored_and_repaired(kg, slides, E.near_chunks(kg, table(s, d, "paper_chunks")))
+    return T.quality_report(done, links)
+
+
 # --- runs
 
 
@@ -362,10 +385,23 @@ def pred17_shards(s, d):
     return R.numbered(table(s, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "i", R.shard_of(F.col("i"), 16).cast("int").alias("shard"))
 
 
+@query("""with u as (select sample_id, utterance_id, min(start_time) s, min(end_time) e, max(selected_tags) tags, max(enriched_text) x from utterances where start_time is not null and end_time is not null group by 1,2),
+a as (select sample_id, count(*) filter (where len(tags) > 2) tag_quota, (not coalesce(bool_or(regexp_matches(x,'<STRESS>|<PAUSE')),false))::int no_tags from u group by 1),
+e0 as (select distinct sample_id, p.event_id, p.start_time s, p.end_time e, u1 uid from (select sample_id, unnest(prosody_events) p, utterances[1].utterance_id u1 from evidence_links) where p.event_id is not null),
+e1 as (select sample_id, event_id, min({'s':s,'e':e,'u':uid}) x from e0 group by 1,2), uu as (select utterance_id, min(s) us, min(e) ue from u group by 1),
+b as (select sample_id, count(*) filter (where us is null) missing_link, count(*) filter (where us > x.s or x.s > x.e or x.e > ue) bounds from e1 left join uu on uu.utterance_id = x.u group by 1)
+select sample_id, coalesce(tag_quota,0) tag_quota, coalesce(no_tags,0)::bigint no_tags, coalesce(missing_link,0) missing_link, coalesce(bounds,0) bounds from a full join b using (sample_id)""")
+def c13_record_errors(s, d):
+    """Errors of utterances and events per session, by kind."""
+    return c13_validation(s, d, True).select("sample_id", "tag_quota", "no_tags", "missing_link", "bounds")
+
+
 @query()
-def c13_validation(s, d):
+def c13_validation(s, d, records_only=False):
     """Which sessions' records are sound, and the errors of the others by kind."""
     u = table(s, d, "utterances").where("start_time is not null and end_time is not null").groupBy("sample_id", "utterance_id").agg(F.min("start_time").alias("s"), F.min("end_time").alias("e"), F.max("selected_tags").alias("tags"), F.max("enriched_text").alias("enriched_text"))
-    ev = table(s, d, "evidence_links").select("sample_id", F.explode("prosody_events").alias("p"), F.try_element_at("utterances", F.lit(1))["utterance_id"].alias("utterance_id")).where("p.event_id is not null").select("sample_id", F.col("p.event_id").alias("event_id"), F.col("p.start_time").alias("s"), F.col("p.end_time").alias("e"), "utterance_id").dropDuplicates(["sample_id", "event_id"])
+    ev = table(s, d, "evidence_links").select("sample_id", F.explode("prosody_events").alias("p"), F.try_element_at("utterances", F.lit(1))["utterance_id"].alias("utterance_id")).where("p.event_id is not null").select("sample_id", F.col("p.event_id").alias("event_id"), F.col("p.start_time").alias("s"), F.col("p.end_time").alias("e"), "utterance_id").groupBy("sample_id", "event_id").agg(F.min(F.struct("s", "e", "utterance_id")).alias("x")).select("sample_id", "event_id", "x.*")
     kg = table(s, d, "kg_triples").where("sample_id is not null")
+    if records_only:
+        kg = kg.where("false")
     return R.validation(u, ev, kg.select("sample_id"), T.valid(kg).select("sample_id"))

@@ -262,3 +262,28 @@ def test_caches_and_indexes(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "a.png").write_bytes(b"x")
     assert [r["session_id"] for r in readers.raw_sessions(spark, f"{tmp_path}/raw").collect()] == ["12"] and readers.images(spark, f"{tmp_path}/raw").first()["n"] == 0
+
+
+def test_messages_with_images(spark):
+    df = spark.createDataFrame([("what?", "a paper", "", [b"x", None, b"y", b"z", b"w"]), ("why?", None, None, None)], "q string, p string, t string, im array<binary>")
+    got = [json.loads(r[0])[0]["content"] for r in df.select(P.multimodal_messages({"Paper": F.col("p"), "Talk": F.col("t")}, F.col("im"), F.col("q"), 100)).collect()]
+    assert [c["type"] for c in got[0]] == ["text", "image_url", "image_url", "image_url", "text"] and got[0][0]["text"] == "=== Paper ===\na paper" and got[0][1]["image_url"]["url"].endswith("base64,eA==")
+    assert [c["text"] for c in got[1]] == ["", "Question: why?\nAnswer:"]
+
+
+def test_regions_described(spark):
+    regions = spark.createDataFrame([("r1", "a.png", [0, 0, 1, 1]), ("r2", "b.png", [0, 0, 1, 1]), ("r3", "none.png", None), ("r4", "c.png", [0, 0, 1, 1])], "region_id string, image string, bbox array<int>")
+    images = spark.createDataFrame([("a.png", b"small"), ("b.png", b"x" * 99), ("c.png", b"bad")], "image string, content binary")
+    model = lambda b: {"summary": "a chart", "chart_type": "bar", "entities": ["x"]} if b != b"bad" else 1 / 0
+    got = {r["region_id"]: (r["visual_summary"], r["status"]) for r in V.described(regions, images, model, 50).collect()}
+    assert got == {"r1": ("a chart", "ok"), "r2": ("", "too large"), "r3": ("", "no image"), "r4": ("", "failed: ZeroDivisionError")}
+    assert {r["image"]: r["embedding"] for r in V.embedded(images, "image", "content", lambda b: [len(b)] if b != b"bad" else 1 / 0).collect()} == {"a.png": [5.0], "b.png": [99.0], "c.png": None}
+
+
+def test_settings(monkeypatch):
+    from talkgraph.functions import settings
+
+    monkeypatch.setenv("TG_N", "70")
+    monkeypatch.setenv("TG_X", "many")
+    monkeypatch.setenv("TG_B", " Yes ")
+    assert (settings.whole("TG_N", 5, 1, 50), settings.whole("TG_X", 5, 9), settings.whole("TG_NONE", 5), settings.flag("TG_B"), settings.flag("TG_X", True), settings.flag("TG_NONE", True)) == (50, 9, 5, True, False, True)
