@@ -29,6 +29,8 @@ from talkgraph.functions.shared import written
 WORDS_PER_SLIP, MIN_K = 5, 3
 #: Edits of a whole string: so many, and one more for every so many characters.
 EDITS, CHARS_PER_EDIT = 3, 15
+#: Evaluation segments go to every executor if they take no more than so many bytes, a row counting for ROW_BYTES; beyond that they are met by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 96
 
 # Words that may come or go.
 SMALL = frozenset(
@@ -212,16 +214,18 @@ def classed(df: DataFrame, key: str, texts: list[str], group: str | None) -> Dat
 def twins(held_out: DataFrame, train: DataFrame, n_texts: int, question: bool = False) -> DataFrame:
     """(eval_cls, train_cls) of classes whose texts each say the same, from classed() rows."""
     names = [f"t{i}" for i in range(n_texts)]
-    kind = "cls binary, " + "".join(f"{n} string, " for n in names) + "hs array<bigint>, is_name array<boolean>, k int, size int"
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once = lru_cache(maxsize=20_000)(lambda *x: substrings(x[0], x[1:], question))  # copies are often near one another
         for part in parts:
-            got = [substrings(grp, ts, question) for grp, *ts in zip(part["grp"], *(part[c] for c in names))]
-            yield part[["cls", *names]].assign(hs=[[h for h, _ in g[0]] for g in got], is_name=[[n for _, n in g[0]] for g in got], k=[g[1] for g in got], size=[g[2] for g in got])
+            got = [once(*x) for x in zip(part["grp"], *(part[c] for c in names))]
+            yield pd.DataFrame({"cls": part["cls"], "segments": [[{"h": h, "name": n} for h, n in g[0]] for g in got], "k": [g[1] for g in got], "size": [g[2] for g in got]})
 
-    # one row per class; segments of copies are cut where they are read, and meet their class before anything is exploded
-    held, own = (written(df.select("cls", "grp", *names).mapInPandas(cut, kind).dropDuplicates(["cls"]), tag) for df, tag in ((held_out, "overlap-held"), (train, "overlap-train")))
-    words = held.select("cls", "k", "size", F.explode(F.arrays_zip("hs", "is_name")).alias("s")).select("cls", "k", "size", F.col("s.hs").alias("h"), F.col("s.is_name").alias("name"))
+    def segments(df: DataFrame) -> DataFrame:
+        made = df.select("cls", "grp", *names).mapInPandas(cut, "cls binary, segments array<struct<h:bigint,name:boolean>>, k int, size int")
+        return made.select("cls", "k", "size", F.explode("segments").alias("s")).select("cls", "k", "size", "s.*")
+
+    words = written(segments(held_out).distinct(), "overlap-words")
     counts = words.groupBy("h").agg(F.count("*").alias("n"))
     # the rarest name, or else the K + 1 rarest words
     rarest = Window.partitionBy("cls").orderBy(F.desc("name"), "n", "h")
@@ -229,11 +233,15 @@ def twins(held_out: DataFrame, train: DataFrame, n_texts: int, question: bool =
         words.join(counts, "h").withColumn("rk", F.row_number().over(rarest)).withColumn("named", F.max("name").over(Window.partitionBy("cls")))
         .where(F.when(F.col("named"), F.col("rk") == 1).otherwise(F.col("rk") <= F.col("k") + 1)).select("h", F.col("cls").alias("eval_cls"), F.col("size").alias("eval_size"))
     )
+    index = written(index, "overlap-index")
+    if index.count() * ROW_BYTES <= BROADCAST_BYTES:
+        index = F.broadcast(index)
     most = EDITS * n_texts + F.greatest("size", "eval_size") / CHARS_PER_EDIT
-    met = own.select(F.explode("hs").alias("h"), F.col("cls").alias("train_cls"), "size").join(index, "h").where(F.abs(F.col("size") - F.col("eval_size")) <= most).select("eval_cls", "train_cls").distinct()
-    side = lambda df, p: df.select(F.col("cls").alias(f"{p}_cls"), F.col("hs").alias(f"{p}_hs"), F.col("k").alias(f"{p}_k"), *(F.col(n).alias(f"{p}_{n}") for n in names))
-    few = lambda a, b: F.size(F.array_except(f"{a}_hs", f"{b}_hs")) <= F.greatest("eval_k", "train_k") + 1
-    both = met.join(side(held, "eval"), "eval_cls").join(side(own, "train"), "train_cls").where(few("eval", "train") & few("train", "eval")).drop("eval_hs", "train_hs", "eval_k", "train_k")
+    met = segments(train).select("h", F.col("cls").alias("train_cls"), "size").join(index, "h").where(F.abs(F.col("size") - F.col("eval_size")) <= most)
+    met = written(met.select("eval_cls", "train_cls").distinct(), "overlap-met")
+    # one text of each class that has met another
+    side = lambda df, p: df.join(met.select(F.col(f"{p}_cls").alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select(F.col("cls").alias(f"{p}_cls"), *(F.col(n).alias(f"{p}_{n}") for n in names))
+    both = met.join(side(held_out, "eval"), "eval_cls").join(side(train, "train"), "train_cls")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

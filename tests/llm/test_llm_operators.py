@@ -173,7 +173,9 @@ def test_overlaps(spark):
     assert twin_keys(held.where("false"), train, "qa_id", ["question"], question=True) == twin_keys(held, train.where("false"), "qa_id", ["question"], question=True) == set()
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(overlaps, "BROADCAST_BYTES", most)
     f = "method: FooNet; metric: recall; value: -1.5; setting: few-shot"
     rows = [("1", "r", f, "Slide 5"), ("2", "r", "value = -1.5|setting=few-shot|METHOD: foonet|metric: recal", "slide 5 "), ("3", "r", f, "Slide 6"), ("4", "q", f, "Slide 5"), ("5", "r", f.replace("-1.5", "1.5"), "Slide 5"), ("6", "r", None, "Slide 5")]
     t = spark.createDataFrame(rows, "k string, relation string, h string, t string")
