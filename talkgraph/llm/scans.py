@@ -147,7 +147,8 @@ def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, st
     for k, i in enumerate(body):
         line = lines[i]
         after = lines[body[k + 1]] if k + 1 < len(body) else ""
-        m = _BREAK.search(line)
+        tail = line.rstrip(" \t")
+        m = _BREAK.search(tail) if tail[-1:] and tail[-1] in MARKS else None
         if m and m[1] and (h := _HEAD.match(after.lstrip())) and h[0][:1].isalpha() | (h[0][:1] in "@015"):
             left, right = m[1].lower(), h[0].lower()
             breaks.append((i, left, right, m[2]))
@@ -164,7 +165,8 @@ def features(text: str, page: int | None) -> tuple[list[str], list[tuple[int, st
         stop, start = (*skip.get(i, (10**9, 0)), 0)[:2]
         part = lines[i][start:stop] if i in skip else lines[i]
         words.update(w for w in (x.lower() for x in _TOKEN.findall(part)) if not w.isdigit())
-        words.update(x.lower() for x in _COMPOUND.findall(part))
+        if "-" in part:
+            words.update(x.lower() for x in _COMPOUND.findall(part))
     return sorted(words), keys, breaks, numbers, alone
 
 
