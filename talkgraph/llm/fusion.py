@@ -15,8 +15,8 @@ from talkgraph.functions.shared import written
 
 #: The constant of reciprocal rank fusion, as published.
 RRF_K = 60
-#: Buckets of a standing's values; a bucket's distinct values meet in one task.
-BUCKETS = 4096
+#: Buckets of values up to 1, and of each doubling beyond; a bucket's distinct values meet in one task.
+BUCKETS, BUCKETS_BEYOND = 4096, 512
 #: Tiers in order (fixed values); anything else stands below.
 TIERS = ("strong", "medium")
 
@@ -46,9 +46,15 @@ def standing(values: DataFrame, scale: str, value: str) -> DataFrame:
     )
 
 
+def bucket(value: Column) -> Column:
+    """A bucket's number, growing with the value on any scale."""
+    size = F.abs(value)
+    return F.floor(F.signum(value) * F.when(size <= 1, size * BUCKETS).otherwise(BUCKETS + F.log2(size) * BUCKETS_BEYOND))
+
+
 def ranks(items: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """(group, value, out): of each distinct value of a group, 1 + the number of the group's items above it."""
-    counted = items.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("b", F.floor(F.least(F.greatest(F.col(value), F.lit(-1.0)), F.lit(1.0)) * BUCKETS))
+    counted = items.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("b", bucket(F.col(value)))
     buckets = counted.groupBy(group, "b").agg(F.sum("n").alias("s"))
     above = buckets.select(group, "b", (F.sum("s").over(Window.partitionBy(group).orderBy(F.desc("b"))) - F.col("s")).alias("above"))
     inner = F.sum("n").over(Window.partitionBy(group, "b").orderBy(F.desc(value))) - F.col("n")
@@ -61,12 +67,12 @@ def ranked(kg: DataFrame) -> DataFrame:
 
     weight stands by its share among the triples of its signal_source (null or NaN: lowest), similarity by
     the highest similarity_score in provenance (none: lowest), tier by its level. Equal values share the
-    best rank of theirs. Rows repeated under one triple_id are one item.
+    best rank of theirs. Repeated rows are one item, a null triple_id is an id like any other.
     """
     sims = F.filter("provenance.similarity_score", lambda x: x.isNotNull() & ~F.isnan(x))
-    base = kg.dropDuplicates(["triple_id"]).select(
+    base = kg.select(
         "sample_id", "triple_id", "signal_source", "weight", F.coalesce(F.array_max(sims), F.lit(-1.0)).alias("sim"), tier_level(F.col("tier")).cast("double").alias("lvl")
-    )
+    ).distinct()
     pcts = standing(base, "signal_source", "weight")
     b, p = base.alias("b"), pcts.alias("p")
     own = written(

@@ -83,6 +83,9 @@ def test_fusion(spark):
         mates = [x[0] for x in rows if x[1] == r[1]]
         assert [got[r[0]][c] for c in ("weight_rank", "similarity_rank", "tier_rank")] == [1 + sum(stand[m][k] > stand[r[0]][k] for m in mates) for k in range(3)]
     assert fusion.top(spark.createDataFrame([], TRIPLES)).count() == 0
+    wide = [-1e9, -700.0, -1.5, -1.0, -0.3, 0.0, 0.2, 1.0, 1.01, 5.0, 900.0, 1e12]
+    b = [r["b"] for r in spark.createDataFrame([(v,) for v in wide], "v double").select("v", fusion.bucket(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert b == sorted(b) and len(set(b)) >= 11
 
 
 def test_token_ids_against_a_library(spark):
