@@ -60,7 +60,7 @@ _SCRIPTS = {"zh": "\u4e00-\u9fff", "ja": "\u3040-\u30ff", "ko": "\uac00-\ud7af",
 _SCRIPT = re.compile("|".join(f"(?P<{c}>[{r}])" for c, r in _SCRIPTS.items()))
 _LETTERS = {"de": "äöüß", "fr": "èêàçùœâîô", "es": "ñ¿¡ó", "pt": "ãõçâê", "ru": "абвгдежзиклмнопрстуфхцчшщыэюя", "it": "òì"}
 # Words of refusals and of what they are about.
-_CANNOT = re.compile(r"\b(?:can(?:no|'|’)?t|can not|could ?n[o'’]t|unable|not able|impossible|not possible|no way|will not|won['’]t|must decline|decline|do(?:es)? ?n[o'’]t|no answer|says nothing|nothing|nicht|kann|keine|ne peux|ne peut|impossible de|no puedo|no se puede|não posso|não é possível|не могу|невозможно)\b", re.I)
+_CANNOT = re.compile(r"\b(?:can(?:no|'|’)?t|can not|could ?n[o'’]t|unable|not able|impossible|not possible|no way|will not|won['’]t|must decline|decline|do(?:es)? ?n[o'’]t|no answer|no information|no evidence|rather not|nowhere|not (?:mentioned|stated|provided|specified|available|given|covered|discussed)|(?:is|are|was|were)n['’]t (?:mentioned|stated|provided|specified|available|given|covered|discussed)|says nothing|nothing|nicht|kann|keine|ne peux|ne peut|impossible de|no puedo|no se puede|não posso|não é possível|не могу|невозможно)\b", re.I)
 _SELF = re.compile(r"\b(?:i|i['’]m|me|my|as an? (?:ai|language|assistant)|model|ich|je|puedo|posso|я)\b", re.I)
 _ABOUT = re.compile(r"\b(?:context|information|evidence|passages?|material|question|answer(?:ed)?|say|said|tell|know|determine|guess|provided|retrieved|given|available|sources?|subgraph|paper|slides?|talk|beantworten|frage|répondre|informations?|responder|información|informação|resposta)\b", re.I)
 _SORRY = re.compile(r"\b(?:sorry|unfortunately|insufficient|not enough|don['’]t know|no idea|leider|désolé|lo siento|desculpe|apolog\w+|decline|language model|lamentablemente)\b", re.I)
@@ -224,6 +224,7 @@ _REFUSALS = (
     "I cannot answer this question.", "I'm unable to tell from the given context.", "Sorry, I don't have enough information to answer that.", "There is not enough information in the context.",
     "The paper does not say this, so I can't answer.", "Unfortunately I don't know the answer.", "As an assistant I am not able to see the slides; please ask the authors.", "No answer is possible with the material provided.",
     "The context says nothing about it.", "I do not know.", "Insufficient context.", "It is impossible to determine this from the retrieved text.", "I must decline, as no evidence was given.",
+    "No information on this is available.", "That is not mentioned in the context.", "I would rather not guess.", "The question isn't covered by the material.",
     "Leider kann ich diese Frage nicht beantworten.", "Désolé, je ne peux pas répondre à cette question.", "Lo siento, no puedo responder a esta pregunta.", "Desculpe, não posso responder a esta pergunta.",
 )
 _CAVEATS = ("I can't give the precise words, but", "Unfortunately the slides say little, but", "I am not sure about the details, yet", "Sorry for the short reply, but", "I could not check the figure, however", "The paper doesn't go into detail here, but")

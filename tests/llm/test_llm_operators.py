@@ -358,3 +358,23 @@ def test_headers_that_lost_letters_and_numbers_in_sequence(spark):
     got = {r["row_key"]: r for r in scans.cleaned(spark.createDataFrame(rows, "source_table string, row_key string, session string, page int, text string, i string")).collect()}
     assert all({"header", "page_number"} <= set(got[f"k{i}"]["noise"]) for i in range(6)) and got["other"]["noise"] == []
     assert all(got[f"k{i}"]["clean_text"] == f"The narrow parser was compared with faithful rankers, and the margin of chapter {words[i]} fell." for i in range(6))
+
+
+def test_pairs_of_other_wordings():
+    crf = pairs.trained(qa(150))
+    judge = lambda q, a: pairs.defect(crf, q, a, 9, 9, [None])
+    refusals = ["I'd rather not say, as the slides leave that out.", "This can't be answered from what we have.", "No information about this is provided.", "The answer isn't given anywhere in the context.", "Es ist nicht möglich, das zu beantworten.", "We cannot determine this."]
+    for i, (q, _) in enumerate(qa(60)):
+        assert judge(q, refusals[i % len(refusals)]) == "refusal" and judge(q, "So you want to know: " + q) == "copies_question"
+        assert judge(q, "演讲者比较了两种方法并给出了结果。") == judge(q, "De methode gebruikt een maat die niet langer is dan de proef.") == "wrong_language"
+
+
+def test_leaks_of_other_texts():
+    rng = random.Random(5)
+    pool = "gentle parser reader ranker summary corpus margin benefit decline venue lecture chapter figure reports explains loses keeps favours question audience narrow faithful noisy".split()
+    say = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(i, say(rng.randrange(30, 80))) for i in range(80)]
+    search = leaks.WuManber(items)
+    part = lambda t: " ".join(t.split()[: max(13, round(0.6 * len(t.split())))])
+    assert all(i in search.leaked(f"{say(50)}. {slipped(rng, part(t))}. {say(50)}") for i, t in items)
+    assert not any(search.leaked(say(300)) for _ in range(40))
