@@ -139,19 +139,6 @@ def merge_manifests(written: DataFrame, recovered: DataFrame, key: str) -> DataF
     return written.unionByName(recovered.join(written.select(key).distinct(), key, "left_anti"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFrame:
-    """(id, term, weight): words and pairs of neighbours in at least ``least`` rows, idf = ln((1 + n) / (1 + df)) + 1, rows of unit length."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("([a-z0-9_]{2,})"), 1)
-    base = docs.select(id_col, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = base.select(id_col, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    n = docs.select(F.count("*").alias("n"))
-    x = tf.join(df, "term").join(F.broadcast(n), F.lit(True)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    return x.join(length, id_col).select(id_col, "term", F.round(F.col("x") / F.col("len"), 5).alias("weight"))
-
-
 def supervision(triples: DataFrame, links: DataFrame, negatives: int = 3, medium_weight: float = 0.7) -> DataFrame:
     """Training rows of a graph's edges: strong and medium ones as positives, for each up to ``negatives`` hard negatives
     (two at most whose tails are nodes with paper evidence, the rest from all nodes of the session's edges, none twice), and

@@ -9,6 +9,7 @@ from talkgraph.functions import text as X
 from talkgraph.operators import audio as A
 from talkgraph.operators import evidence as E
 from talkgraph.operators import providers
+from talkgraph.plans import learning
 from talkgraph.plans.graph import _MOD
 from talkgraph.plans.timeline import prosody, table
 
@@ -38,7 +39,16 @@ def f21_grid_regions(s, d):
     return E.grid_regions(table(s, d, "slides").where("image_width is not null and image_height is not null").select("slide_id", "image_width", "image_height").distinct())
 
 
-@query()
+_ALIGNED = """with u as (select distinct sample_id, utterance_id, start_time us from utterances where start_time is not null), s as (select distinct sample_id, slide_id, start_time s, end_time e from slides where start_time is not null),
+l as (select *, row_number() over (partition by sample_id order by s desc, slide_id desc, coalesce(e,'inf'::double) desc) = 1 is_last from s),
+h as (select u.sample_id, utterance_id, us, slide_id, row_number() over (partition by u.sample_id, utterance_id, us order by s, slide_id) k from u join l on l.sample_id = u.sample_id and s <= us and (e is null or us < e or is_last)),
+ua as (select u.utterance_id, slide_id from u left join (select * from h where k = 1) h on h.sample_id = u.sample_id and h.utterance_id = u.utterance_id and h.us = u.us),
+sc as (select slide_id, region_id, max(case when trim(coalesce(ocr_text,''))<>'' then 2 else 0 end + case when trim(coalesce(visual_summary,''))<>'' then 2 else 0 end + case when trim(coalesce(chart_type,'')) not in ('','none') then 2 else 0 end + case when coalesce(len(entities),0)>0 then 1 else 0 end) score from visual_regions where slide_id is not null group by 1,2),
+r as (select * from (select slide_id, region_id, row_number() over (partition by slide_id order by score desc, region_id) rk from sc) where rk <= 3)
+select utterance_id, slide_id, region_id, rk from ua left join r using (slide_id)"""
+
+
+@query(_ALIGNED)
 def c06_alignment_context(s, d):
     return alignment(s, d)
 
@@ -67,7 +77,9 @@ def j11_related_nodes(s, d):
     return E.related_nodes(n)
 
 
-@query()
+@query(f"""with r as ({SQL['j11_related_nodes']}), o as (select distinct claim_id, claim_id node_id, 0 o from r union all select claim_id, node_id, case type when 'Method' then 1 when 'Result' then 2 when 'Metric' then 3 else 4 end * 100 + rk from r),
+c as (select node_id, unnest(range(len(paper_chunks))) p, unnest(list_transform(paper_chunks, lambda x: x.chunk_id)) chunk_id from evidence_links where node_id is not null), f as (select claim_id, chunk_id, min({{'o':o,'p':p}}) k from o join c using (node_id) where chunk_id is not null group by 1,2)
+select claim_id, chunk_id, pos from (select claim_id, chunk_id, row_number() over (partition by claim_id order by k, chunk_id) pos from f) where pos <= 12""")
 def j12_claim_evidence(s, d):
     return E.claim_evidence(j11_related_nodes(s, d), table(s, d, "evidence_links"))
 
@@ -139,7 +151,13 @@ def e01_embeddings(s, d):
     return providers.embedded(c, "text").select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
 
 
-@query()
+def _listed(c: str) -> str:
+    return f"{c}s as (select node_id, string_agg({c}_id, '|' order by q) {c}s from (select node_id, {c}_id, row_number() over (partition by node_id order by min(o), {c}_id) q from seen where {c}_id is not null group by 1,2) where q <= 3 group by 1)"
+
+
+@query(f"""with n as (select distinct node_id from evidence_links where node_id is not null), u as ({learning.SQL['j09_overlap_topn']}), c as ({learning.SQL['j08_jaccard_topk']}), al as ({_ALIGNED}),
+seen as (select node_id, u.utterance_id, slide_id, region_id, u.rk*100+coalesce(al.rk,0) o from u left join al using (utterance_id)), {_listed('utterance')}, {_listed('slide')}, {_listed('region')}, cs as (select node_id, string_agg(chunk_id, '|' order by rk) chunks from c group by 1)
+select node_id, coalesce(utterances,'') utterances, coalesce(slides,'') slides, coalesce(regions,'') regions, coalesce(chunks,'') chunks from n left join utterances using (node_id) left join slides using (node_id) left join regions using (node_id) left join cs using (node_id)""".replace("utterances as (select node_id, string_agg", "utterancesx as (select node_id, string_agg").replace("slides as (select node_id, string_agg", "slidesx as (select node_id, string_agg").replace("regions as (select node_id, string_agg", "regionsx as (select node_id, string_agg").replace("left join utterances using (node_id) left join slides using (node_id) left join regions using", "left join utterancesx using (node_id) left join slidesx using (node_id) left join regionsx using"))
 def j10_evidence_links(s, d):
     """Evidence of every node, assembled anew from utterances, slides, regions and paper chunks."""
     n = table(s, d, "evidence_links").where("node_id is not null").select("sample_id", "node_id", "content")
