@@ -53,7 +53,16 @@ def c06_alignment_context(s, d):
     return alignment(s, d)
 
 
-@query()
+@query(f"""with al0 as ({_ALIGNED}), al as (select distinct utterance_id u, slide_id, region_id from al0 where slide_id is not null and (rk = 1 or rk is null)), dr as (select slide_id, min(region_id) d from visual_regions where slide_id is not null group by 1),
+t as (select * from kg_triples where triple_id is not null and (relation='aligned_to_slide' or (relation='referenced_by' and head_type='VisualRegion')) and len(list_filter(coalesce(provenance,[]), lambda p: ({_MOD}) = 'slide')) = 0),
+vr as (select region_id, min(slide_id) slide_id from visual_regions where region_id is not null group by 1), e as (select triple_id, 0 e, head_id id, head_type ty from t where head_id is not null union all select triple_id, 1, tail_id, tail_type from t where tail_id is not null),
+sd as (select id, min(u) u from (select unnest(list_transform(prosody_events, lambda x: x.event_id)) id, utterances[1].utterance_id u from evidence_links where len(utterances) > 0) where id is not null group by 1),
+ev as (select node_id id, unnest(range(len(utterances))) p, unnest(list_transform(utterances, lambda x: x.utterance_id)) u from evidence_links where node_id is not null),
+c as (select triple_id, id u, 0 a, e b, 0 c from e where ty='Utterance' union all select triple_id, u, 1, e, 0 from e join sd using (id) where ty='ProsodyEvent' union all select triple_id, u, 2, e, p from e join ev using (id)),
+f as (select *, row_number() over (partition by triple_id, u order by a, b, c) q from c where trim(coalesce(u,'')) <> ''), k as (select *, row_number() over (partition by triple_id order by a, b, c, u) pos from f where q = 1),
+o as (select triple_id, 0 stage, 0 pos, 0 how, vr.slide_id, vr.region_id, 'head_visual_region_anchor' reason from t join vr on vr.region_id = t.head_id where relation='referenced_by'
+ union all select triple_id, 1, pos, case when region_id is not null then 0 when d is not null then 1 else 2 end, al.slide_id, coalesce(region_id, d), case when region_id is not null then 'utterance_alignment' when d is not null then 'slide_default_region' else 'slide_page' end from k join al using (u) left join dr on dr.slide_id = al.slide_id where pos <= 12)
+select triple_id, slide_id, region_id, reason from (select *, row_number() over (partition by triple_id order by stage, pos, how, slide_id nulls first, region_id nulls first) r from o) where r = 1""")
 def c11_slide_repairs(s, d):
     return E.slide_repairs(table(s, d, "kg_triples"), table(s, d, "evidence_links"), alignment(s, d), table(s, d, "visual_regions"))
 
