@@ -27,6 +27,8 @@ MIN_RUN = 9
 SHARE, STRETCH = 0.4, 2.0
 #: A window of STOCK_WORDS words in at least STOCK_ITEMS items of different wording is a stock sentence's; items that are leaks of one another are one wording.
 STOCK_WORDS, STOCK_ITEMS = 8, 3
+#: Diagonals of an item: more than a text has words.
+SPAN = 1 << 40
 #: Bytes of item text searched for at once; larger item sets are searched in blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -102,16 +104,16 @@ class WuManber:
                 self.ids.setdefault(w, len(self.ids) + 1)
         self.base = len(self.ids) + 1
         #: Whole items of fewer than SEED words, which the blocks can't hold.
-        self.short: dict[tuple[int, ...], int] = {}
-        where: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[tuple[int, ...], tuple[int, int, int]] = {}
+        where: dict[tuple[int, ...], list[tuple[int, int, int]]] = defaultdict(list)
         held: dict[tuple[int, ...], set[int]] = defaultdict(set)
         grams = {}
-        for i, ws in self.words.items():
+        for k, (i, ws) in enumerate(self.words.items()):
             own = [self.ids[w] for w in ws]
             for p in range(len(own) - SEED + 1):
-                where[tuple(own[p : p + SEED])].append((i, p))
+                where[tuple(own[p : p + SEED])].append((i, p, k * SPAN - p))
             if len(own) < SEED:
-                self.short[tuple(own)] = i
+                self.short[tuple(own)] = (i, 0, k * SPAN)
             grams[i] = [tuple(own[p : p + STOCK_WORDS]) for p in range(len(own) - STOCK_WORDS + 1)]
         first = wordings(grams, {i: len(ws) for i, ws in self.words.items()})
         for i, gs in grams.items():
@@ -120,50 +122,60 @@ class WuManber:
         self.lengths = sorted({len(k) for k in self.short})
         self.stock = {i: {q for p, g in enumerate(gs) if len(held[g]) >= STOCK_ITEMS for q in range(p, p + STOCK_WORDS)} for i, gs in grams.items()}
         self.shift: dict[int, int] = {}
-        self.bucket: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(dict)
+        self.bucket: dict[int, dict[tuple[int, ...], list[tuple[int, int, int]]]] = defaultdict(dict)
         for pattern, places in where.items():
             for k in range(1, SEED):
                 block = pattern[k - 1] * self.base + pattern[k]
                 self.shift[block] = min(self.shift.get(block, SEED - 1), SEED - 1 - k)
             self.bucket[pattern[-2] * self.base + pattern[-1]][pattern[:-2]] = places
 
-    def hits(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(item, place in it, place in the document) of every pattern that occurs."""
-        at, n, base, shift, bucket = SEED - 1, len(ids), self.base, self.shift, self.bucket
+    def hits(self, ids: list[int]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """(place in the document, (item, place in it, its diagonal at place 0) of all items) of every pattern that occurs."""
+        at, n, base, bucket, last = SEED - 1, len(ids), self.base, self.bucket, SEED - 1
+        shift = self.shift.get
         while at < n:
             block = ids[at - 1] * base + ids[at]
-            jump = shift.get(block, SEED - 1)
+            jump = shift(block, last)
             if jump:
                 at += jump
                 continue
-            for item, p in bucket[block].get(tuple(ids[at - SEED + 1 : at - 1]), ()):
-                yield item, p, at - SEED + 1
+            places = bucket[block].get(tuple(ids[at - last : at - 1]))
+            if places:
+                yield at - last, places
             at += 1
         for m in self.lengths:
             for at in range(n - m + 1):
-                item = self.short.get(tuple(ids[at : at + m]))
-                if item is not None:
-                    yield item, 0, at
+                place = self.short.get(tuple(ids[at : at + m]))
+                if place is not None:
+                    yield at, [place]
 
     def runs(self, text: str) -> dict[int, list[tuple[int, int, int]]]:
         """item -> (place in the document, place in the item, words) of its runs."""
         own = words(text)
-        ids = [self.ids.get(w, 0) for w in own]
+        known = self.ids.get
         out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        done: dict[tuple[int, int], int] = {}  # item and diagonal -> where its last run ends
-        for item, p, at in self.hits(ids):
-            if at < done.get((item, at - p), -1):
-                continue
-            ws = self.words[item]
-            a, q, seed = at, p, min(SEED, len(ws))
-            while a and q and (own[a - 1] == ws[q - 1] or near(own[a - 1], ws[q - 1])):
-                a, q = a - 1, q - 1
-            b, r = at + seed, p + seed
-            while b < len(own) and r < len(ws) and (own[b] == ws[r] or near(own[b], ws[r])):
-                b, r = b + 1, r + 1
-            done[item, at - p] = b
-            if b - a >= min(MIN_RUN, len(ws)):
-                out[item].append((a, q, b - a))
+        done: dict[int, int] = {}  # item and diagonal -> where its last run ends
+        end, items = len(own), self.words
+        for at, places in self.hits([known(w, 0) for w in own]):
+            for item, p, first in places:
+                diagonal = first + at
+                if done.get(diagonal, -1) > at:
+                    continue
+                ws = items[item]
+                size = len(ws)
+                a, q = at, p
+                while a and q and (own[a - 1] == ws[q - 1] or near(own[a - 1], ws[q - 1])):
+                    a -= 1
+                    q -= 1
+                b, r = at + SEED, p + SEED
+                if size < SEED:
+                    b, r = at + size, size
+                while b < end and r < size and (own[b] == ws[r] or near(own[b], ws[r])):
+                    b += 1
+                    r += 1
+                done[diagonal] = b
+                if b - a >= MIN_RUN or b - a == size:
+                    out[item].append((a, q, b - a))
         return out
 
     def leaked(self, text: str) -> dict[int, float]:

@@ -151,6 +151,8 @@ def test_leaks_frame(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (1, ITEM, "a"), (2, None, "b"), (3, "", "c"), (4, "z " * 200_000 + ITEM, "d")], "doc_id bigint, text string, share string")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (7, ITEM)], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(1, 7), (4, 7)}
+    named = items.selectExpr("concat('i', item_id) item_id", "text")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, "doc_id", "text", named, "item_id", "text").collect()} == {(1, "i7"), (4, "i7")}
     assert leaks.leaks(docs, "doc_id", "text", items.where("false"), "item_id", "text").count() == 0
     assert leaks.leaks(docs.where("false"), "doc_id", "text", items, "item_id", "text").count() == 0
 
