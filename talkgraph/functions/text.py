@@ -13,6 +13,11 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1))
 
 
+def token_hashes(c: Column) -> Column:
+    """The distinct words of a text as 64-bit hashes, which take less room than the words."""
+    return F.transform(tokens(c), lambda w: F.xxhash64(w))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 

@@ -25,9 +25,9 @@ def half_up(x: np.ndarray, places: int) -> np.ndarray:
 
 
 def common(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of common words, words of the left rows as a column, of the right rows as a row) of rows of distinct words."""
-    n, m = left.map(len).to_numpy(), right.map(len).to_numpy()
-    codes, _ = pd.factorize(np.concatenate([*left, *right, np.array([], object)]))
+    """(numbers of common words, words of the left rows as a column, of the right rows as a row) of rows of distinct words, or of their hashes."""
+    n, m = left.map(len).to_numpy(int), right.map(len).to_numpy(int)
+    codes, _ = pd.factorize(np.concatenate([np.asarray(x) for x in (*left, *right) if len(x)] or [np.array([], int)]))
     width, split = (codes.max() + 1 if len(codes) else 1), n.sum()
     a, b = np.zeros((len(n), width), np.float32), np.zeros((len(m), width), np.float32)
     a[np.repeat(np.arange(len(n)), n), codes[:split]] = 1

@@ -35,7 +35,7 @@ def top_by_words(nodes: DataFrame, texts: DataFrame, by: str, k: int) -> DataFra
 
     An id stored with several wordings counts with its best one. Null contents have no words.
     """
-    worded = lambda df, key, c: df.where(F.col(key).isNotNull()).select("sample_id", F.col(key).alias("key"), X.tokens(F.coalesce(c, F.lit(""))).alias("words")).distinct()
+    worded = lambda df, key, c: df.where(F.col(key).isNotNull()).select("sample_id", F.col(key).alias("key"), X.token_hashes(F.coalesce(c, F.lit(""))).alias("words")).distinct()
     left, right = worded(nodes, "node_id", "content"), worded(texts, "id", "text")
     # a wording is a row of its own; of a text with several wordings at most that many are among the best
     several = lambda df: df.groupBy("sample_id", "key").agg(F.count("*").alias("c")).groupBy("sample_id").agg(F.max("c").alias("c"))
@@ -58,7 +58,7 @@ def related_nodes(nodes: DataFrame) -> DataFrame:
     session that share most words with it, plus a tenth of their confidence. nodes: sample_id, node_id, type, content,
     confidence, one row per session, id and type. All pairs are scored, in blocks.
     """
-    n = nodes.select("sample_id", "node_id", "type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), X.tokens(F.coalesce("content", F.lit(""))).alias("words"))
+    n = nodes.select("sample_id", "node_id", "type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), X.token_hashes(F.coalesce("content", F.lit(""))).alias("words"))
     most = F.create_map(*(F.lit(x) for kv in RELATED.items() for x in kv))
     kinds = F.explode(F.array(*(F.lit(k) for k in RELATED)))
     left = n.where("type = 'Claim'").select("sample_id", F.col("node_id").alias("claim"), kinds.alias("type"), "words").withColumn("need", most[F.col("type")]).withColumn("lid", F.concat_ws("\u001f", "claim", "type"))

@@ -32,10 +32,10 @@ def hard_negatives(positives: DataFrame, pool: DataFrame, existing: DataFrame, k
     more = known.groupBy("head_id", "relation").agg(F.count("*").alias("more"))
     left = ok.join(more, ["head_id", "relation"], "left").select(
         "sample_id", "tail_type", F.col("edge_id").alias("lid"), "tail_id", (F.lit(k) + F.coalesce("more", F.lit(0))).cast("int").alias("need"),
-        X.tokens(F.coalesce("tail_content", F.lit(""))).alias("tt"), X.tokens(F.coalesce("head_content", F.lit(""))).alias("ht"),
+        X.token_hashes(F.coalesce("tail_content", F.lit(""))).alias("tt"), X.token_hashes(F.coalesce("head_content", F.lit(""))).alias("ht"),
     )
     right = (
-        pool.where("id is not null").select("sample_id", F.col("id").alias("rid"), F.col("type").alias("tail_type"), X.tokens(F.coalesce("content", F.lit(""))).alias("ct"), F.md5(F.concat("id", F.lit(f"|{seed}"))).alias("h"))
+        pool.where("id is not null").select("sample_id", F.col("id").alias("rid"), F.col("type").alias("tail_type"), X.token_hashes(F.coalesce("content", F.lit(""))).alias("ct"), F.md5(F.concat("id", F.lit(f"|{seed}"))).alias("h"))
         .dropDuplicates(["sample_id", "rid", "tail_type"])
     )
 
