@@ -41,10 +41,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, group_mb: int = 128) -> DataFrame:
     """Write df to the shared folder and read it back: later stages survive the loss of any executor
-    and non-deterministic columns (row numbers, partition ids) keep one value."""
+    and non-deterministic columns (row numbers, partition ids) keep one value. group_mb: what each task
+    holds in memory before it writes (Parquet's row group)."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_mb << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

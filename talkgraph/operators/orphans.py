@@ -1,13 +1,16 @@
 """References to records that do not exist, found with bitmaps per key range and period.
 
 Keys of all tables are dictionary-encoded as integers in key order, so that the keys of one session
-share a key range. For each range (2**15 codes) and period (a day) there is a bitmap of the codes
-referenced, of the codes born and of those withdrawn. Going through a range's periods in order,
+share a key range; a key's code is the number of its first row, so codes have gaps. For each range
+(2**15 codes) and period (a day) there is a bitmap of the codes referenced, of the codes born and of those
+withdrawn. Going through a range's periods in order,
 ``referenced AND NOT (born before the period and not withdrawn by its end)`` leaves the bits that may be
 orphans; only these are decoded, and their time stamps compared one by one.
 
 Sizes: a bitmap is 4 KB at most and sparse ones are kept as arrays of 16-bit positions; one task holds
 the bitmaps of one key range, so a key that a third of all rows refer to costs one bit a period.
+Days and versions of a key stay rows: nothing is gathered into a set or an array per key, as Spark holds
+those as objects whose memory runs out on large tables.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgraph.functions.shared import written
@@ -85,36 +88,40 @@ def parents(slides: DataFrame, regions: DataFrame, chunks: DataFrame, utterances
     return out.where("id is not null")
 
 
-def dictionary(refs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per key: its integer code, its versions (born, gone) and the days it is referred to.
+def versions(rows: DataFrame) -> DataFrame:
+    """Of an id's rows that end at the same time only the one born first: wherever another holds, it does too."""
+    kept = rows.groupBy("kind", "id", "gone").agg(F.min("born").alias("born"), F.max(F.col("born").isNull()).alias("always"))
+    return kept.select("kind", "id", F.when(~F.col("always"), F.col("born")).alias("born"), "gone")
 
-    A hot key is collapsed to its days before the shuffle, so a row holds at most one entry a day.
+
+def marks(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per mark of a key, with the key's integer code and whether it has a version (held): a version
+    (born, gone), or a day it is referred to (null for references without a time).
+
+    A hot key is collapsed to its days, a parent to its ends, before the shuffle.
     """
-    days = refs.select("kind", F.col("ref_id").alias("id"), F.to_date("at").alias("day"), F.lit(None).cast("struct<born:timestamp_ntz,gone:timestamp_ntz>").alias("version")).distinct()
-    versions = rows.select("kind", "id", F.lit(None).cast("date").alias("day"), F.struct("born", "gone").alias("version")).distinct()
-    keys = (
-        days.union(versions)
-        .groupBy("kind", "id")
-        .agg(
-            F.collect_set("day").alias("days"),
-            F.collect_set("version").alias("versions"),
-            F.max(F.col("day").isNull() & F.col("version").isNull()).alias("undated"),
-        )
+    no_time = F.lit(None).cast("timestamp_ntz")
+    days = refs.select("kind", F.col("ref_id").alias("id"), F.to_date("at").alias("day")).distinct()
+    both = days.select("*", F.lit(False).alias("version"), no_time.alias("born"), no_time.alias("gone")).union(
+        versions(rows).select("kind", "id", F.lit(None).cast("date"), F.lit(True), "born", "gone")
     )
-    coded = keys.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id")
-    return written(coded.withColumn("code", F.monotonically_increasing_id()), "orphan-keys")
+    numbered = both.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").withColumn("n", F.monotonically_increasing_id())
+    key = Window.partitionBy("kind", "id")
+    return numbered.select("kind", "id", F.min("n").over(key).alias("code"), F.max("version").over(key).alias("held"), "day", "version", "born", "gone")
 
 
 def bitmaps(keys: DataFrame) -> DataFrame:
-    """(key_range, day, role, bits): what is referred to, born and withdrawn, packed."""
-    own = keys.select("code", F.shiftright("code", RANGE_BITS).alias("key_range"), (F.col("code") % (1 << RANGE_BITS)).alias("pos"), "days", "versions")
-    marks = F.concat(
-        F.transform("days", lambda d: F.struct(F.lit("ref").alias("role"), d.alias("day"))),
-        F.transform("versions", lambda v: F.struct(F.lit("born").alias("role"), F.coalesce(F.to_date(v["born"]), F.lit("0001-01-01").cast("date")).alias("day"))),
-        F.transform(F.filter("versions", lambda v: v["gone"].isNotNull()), lambda v: F.struct(F.lit("gone").alias("role"), F.to_date(v["gone"]).alias("day"))),
-    )
+    """(key_range, day, role, bits): what is referred to, born and withdrawn, packed.
+
+    The marks are shuffled, not their bitmaps: those are made one after the other from sorted marks and packed
+    at once. In a shuffle they compress so well that one task would be given, and sort, very many of them.
+    """
+    born = F.when(F.col("version"), F.coalesce(F.to_date("born"), F.lit("0001-01-01").cast("date")))
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), d.alias("day")) for r, d in (("ref", F.col("day")), ("born", born), ("gone", F.to_date("gone")))))
     made = (
-        own.select("key_range", "pos", F.explode(marks).alias("m"))
+        keys.select(F.shiftright("code", RANGE_BITS).alias("key_range"), (F.col("code") % (1 << RANGE_BITS)).alias("pos"), F.explode(roles).alias("m"))
+        .where("m.day is not null")
+        .repartition("key_range")
         .groupBy("key_range", "m.role", "m.day")
         .agg(F.expr("bitmap_construct_agg(pos)").alias("bits"))
     )
@@ -156,7 +163,8 @@ def _survivors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             days += [day] * len(left)
         if "born" in roles:  # a parent born on the day itself may be later than the reference: left to the decoder
             born |= roles["born"]
-    return pd.DataFrame({"code": np.concatenate(codes) if codes else np.zeros(0, np.int64), "day": days})
+    # without a survivor the list of days would become a column of doubles, which Arrow does not take for dates
+    return pd.DataFrame({"code": np.concatenate(codes) if codes else np.zeros(0, np.int64), "day": pd.Series(days, dtype=object)})
 
 
 def orphans(refs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -168,29 +176,24 @@ def orphans(refs: DataFrame, rows: DataFrame) -> DataFrame:
     A parent without a time counts as always there; a reference without one can only be missing, and its
     period is null. Repeated rows give one result row. Empty tables give an empty result.
     """
-    keys = dictionary(refs, rows)
-    left = bitmaps(keys).groupBy("key_range").applyInPandas(_survivors, "code long, day date")
-    suspects = (
+    keys = written(marks(refs, rows), "orphan-keys", group_mb=16)
+    left = bitmaps(keys).groupBy("key_range").applyInPandas(_survivors, "code long, day date").withColumnRenamed("day", "on")
+    suspects = (  # the versions of a key, or one row without any
         left.join(keys, "code")
-        .select("kind", F.col("id").alias("ref_id"), "day", "versions")
-        .union(keys.where("undated and size(versions) = 0").select("kind", "id", F.lit(None).cast("date"), "versions"))
+        .where("version or (not held and day = on)")
+        .select("kind", F.col("id").alias("ref_id"), F.col("on").alias("day"), "version", "born", "gone")
+        .union(keys.where("day is null and not held").select("kind", "id", "day", "version", "born", "gone"))
     )
     at_day = refs.withColumn("day", F.to_date("at")).alias("r")
     s = suspects.alias("s")
     joined = at_day.join(s, (F.col("r.kind") == F.col("s.kind")) & (F.col("r.ref_id") == F.col("s.ref_id")) & F.col("r.day").eqNullSafe(F.col("s.day")))
-    in_time = lambda v: v["born"].isNull() | (v["born"] <= F.col("r.at"))
-    alive = lambda v: v["gone"].isNull() | (v["gone"] > F.col("r.at"))
-    status = (
-        F.when(F.size("s.versions") == 0, "missing")
-        .when(F.exists("s.versions", lambda v: in_time(v) & alive(v)), None)
-        .when(F.exists("s.versions", in_time), "deleted")
-        .otherwise("late")
-    )
-    return (
-        joined.select("r.source_table", "r.source_key", "r.ref_field", "r.ref_id", status.alias("status"), F.date_format("r.at", "yyyy-MM").alias("period"))
-        .where("status is not null")
-        .distinct()
+    in_time = F.col("s.version") & (F.col("s.born").isNull() | (F.col("s.born") <= F.col("r.at")))
+    alive = F.col("s.gone").isNull() | (F.col("s.gone") > F.col("r.at"))
+    judged = joined.groupBy("r.source_table", "r.source_key", "r.ref_field", "r.kind", "r.ref_id", "r.at").agg(
+        F.max("s.version").alias("held"), F.max(in_time).alias("in_time"), F.max(in_time & alive).alias("fine")
     )
+    status = F.when(~F.col("held"), "missing").when(~F.col("in_time"), "late").otherwise("deleted")
+    return judged.where("not held or not fine").select("source_table", "source_key", "ref_field", "ref_id", status.alias("status"), F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -191,3 +191,24 @@ def test_a_hot_reference(spark):
     refs = spark.createDataFrame([("t", str(i), "f", "region", "hot" if i % 3 == 0 else f"r{i}", t) for i in range(300)], REFS)
     assert O.orphans(refs, spark.createDataFrame([], ROWS)).count() == 300
     assert O.orphans(refs, spark.createDataFrame([("region", "hot", datetime(2030, 1, 1), None)], ROWS)).count() == 200
+
+
+def test_parents_of_many_versions(spark):
+    rng = random.Random(6)
+    day = lambda: datetime(2030, 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 40))
+    rows = [("region", f"r{rng.randrange(3)}", day(), day()) for _ in range(120)] + [("region", "r2", None, datetime(2030, 1, 9)), ("region", "r9", day(), None)]
+    refs = [("t", str(i), "f", "region", rng.choice(["r0", "r1", "r2", "r9", "none"]), rng.choice([day(), rows[i % 120][2], rows[i % 120][3], None])) for i in range(600)]
+    want = {(r[1], r[4], s) for r in refs if (s := judge(rows, r[4], r[5]))}
+    got = O.orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(rows, ROWS)).collect()
+    assert {(r["source_key"], r["ref_id"], r["status"]) for r in got} == want and len(got) == len(want) and {s for _, _, s in want} == {"missing", "late", "deleted"}
+
+
+def test_a_key_range_without_orphans(spark):
+    sound = spark.createDataFrame([("t", "1", "f", "region", "a", datetime(2030, 1, 2))], REFS)
+    assert O.orphans(sound, spark.createDataFrame([("region", "a", datetime(2030, 1, 1), None)], ROWS)).count() == 0
+
+
+def test_orphans_gather_nothing_per_key(spark, monkeypatch):
+    monkeypatch.setattr(O, "written", lambda df, *_, **__: df)  # for the whole plan
+    plan = O.orphans(spark.createDataFrame([], REFS), spark.createDataFrame([], ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "ObjectHashAggregate" not in plan and "collect_" not in plan
