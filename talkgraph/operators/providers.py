@@ -6,6 +6,8 @@ batch of distinct inputs.
 
 from __future__ import annotations
 
+import math
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -34,9 +36,26 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+#: What the prompts say around their context: up to it, and between it and the question.
+_LEAD = re.compile(r"[^\n]*\n(?:[^\n]*\nEvidence:\n|The graph has \d+ nodes [^\n]*\n)?")
+_TAIL = "\nFollow the relations to what the question asks for."
+
+
 def keyword_answer(prompts: list[str]) -> list[str]:
-    """Offline default of a chat model: the prompt's first line of context."""
-    return [next((x.strip() for x in p.splitlines()[1:] if x.strip()), "No answer.") for p in prompts]
+    """Offline default of a chat model: the context's line that holds most of the question's words, rare ones counting more
+    (the first of several); no answer where no line holds any."""
+    words = lambda x: set(re.findall(r"\w+", x.lower()))
+    out = []
+    for p in prompts:
+        head, _, question = p.removesuffix("\nAnswer:").rpartition("\nQuestion: ")
+        lead = _LEAD.match(f"{head}\n")
+        lines = [x.strip() for x in head[lead.end() :].removesuffix(_TAIL).split("\n") if x.strip()] if lead else []
+        asked = sorted(words(question))
+        held = [{w for w in asked if w in own} for own in map(words, lines)]
+        rare = {w: math.log(1 + len(lines) / n) if (n := sum(w in h for h in held)) else 0.0 for w in asked}
+        best = max(range(len(lines)), key=lambda i: sum(rare[w] for w in asked if w in held[i]), default=None)
+        out.append(lines[best] if best is not None and held[best] else "No answer.")
+    return out
 
 
 def called(df: DataFrame, text_col: str, out_col: str, out_type: str, provider: Provider, lanes: int | None = None, interval_s: float = 0.0, retries: int = 3, dead: str | None = None) -> DataFrame:
