@@ -19,8 +19,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
+    once = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n))  # else the norm is taken for each element
+    return F.element_at(once, 1)
 
 
 def pooled(states: Column, mask: Column) -> Column:

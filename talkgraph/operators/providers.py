@@ -65,8 +65,9 @@ def called(df: DataFrame, text_col: str, out_col: str, out_type: str, provider:
     A batch that fails is retried, then its items one by one; what fails for good gets null, and with ``dead`` its
     text and error are written to that folder, the dead letters.
     """
-    todo = df.select(F.col(text_col).alias("_t")).where("_t is not null").distinct()
-    todo = todo.repartition(lanes, "_t") if lanes else todo
+    df = df.withColumn("_k", F.unhex(F.md5(text_col)))  # texts are met again by their hash, which takes less room
+    todo = df.select("_k", F.col(text_col).alias("_t")).where("_t is not null").dropDuplicates(["_k"])
+    todo = todo.repartition(lanes, "_k") if lanes else todo
 
     def tried(texts: list[str]) -> tuple[list | None, str]:
         error = ""
@@ -88,13 +89,13 @@ def called(df: DataFrame, text_col: str, out_col: str, out_type: str, provider:
                 got, errors = [g[0] if g else None for g, _ in each], [e for _, e in each]
             if interval_s:
                 time.sleep(interval_s * (lanes or 1))
-            yield pd.DataFrame({"_t": texts, out_col: got, "_error": [e or None for e in errors]})
+            yield pd.DataFrame({"_k": part["_k"], "_t": texts if dead else None, out_col: got, "_error": [e or None for e in errors]})
 
-    made = todo.mapInPandas(run, f"_t string, `{out_col}` {out_type}, _error string")
+    made = todo.mapInPandas(run, f"_k binary, _t string, `{out_col}` {out_type}, _error string")
     if dead:
         made = written(made, "provided")
         made.where("_error is not null").select(F.col("_t").alias("text"), F.col("_error").alias("error")).write.mode("append").json(dead)
-    return df.join(made.drop("_error"), df[text_col] == made["_t"], "left").drop("_t")
+    return df.join(made.drop("_t", "_error"), "_k", "left").drop("_k")
 
 
 def embedded(df: DataFrame, text_col: str, provider: Provider = hashed_embedding) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgraph.functions import text as X
+from talkgraph.functions.shared import written
 from talkgraph.operators import answers as Q
 from talkgraph.operators import evidence as E
 from talkgraph.operators import extraction as G
@@ -208,7 +209,9 @@ def e16_native_prompts(s, d):
 def windows(s, d) -> DataFrame:
     """Windows of all raw text of the sessions that questions ask about."""
     asked = table(s, d, "gold_test").select("session_id").distinct()
-    return Q.raw_windows(bundle(s, d).join(asked, "session_id", "left_semi").select("session_id", F.concat_ws("\n", "paper", "transcript", "slides").alias("text")))
+    piece = lambda part, name, key, c: table(s, d, name).where(F.trim(F.coalesce(c, F.lit(""))) != "").select(F.col("sample_id").alias("session_id"), F.lit(part).alias("part"), F.col(key).alias("key"), F.col(c).alias("text")).distinct()
+    parts = piece(0, "paper_chunks", "chunk_id", "text").union(piece(1, "utterances", "utterance_id", "text")).union(piece(2, "visual_regions", "region_id", "ocr_text"))
+    return written(Q.raw_windows(Q.laid(parts.join(asked, "session_id", "left_semi"))), "windows")
 
 
 def asked(s, d) -> DataFrame:
