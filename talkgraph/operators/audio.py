@@ -1,7 +1,11 @@
-"""Sequence rules of recordings: chunk ranges, overlapping segments, onset of speech. All are folds in the JVM."""
+"""Sequence rules of recordings: chunk ranges, overlapping segments, onset of speech. All but cut_ranges are folds in the JVM."""
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from itertools import takewhile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ def chunk_ranges(duration: Column, pauses: Column, target: float = 30.0, least:
     """Ranges of a recording to transcribe, cut at the pause nearest the target, each beginning a little before the last one's end.
 
     pauses: array of (s, e); those of 0.2 s and more count, by their start. No duration gives one empty range.
+    The whole recording is one row and its pauses are gone through for each range: for short ones; cut_ranges does any length.
     """
     points = F.array_sort(F.transform(F.filter(pauses, lambda p: (p["e"] - p["s"] >= 0.2) & (p["s"] > 0) & (p["s"] < duration)), lambda p: p["s"]))
     zero = F.struct(F.lit(0.0).alias("cur"), F.lit(False).alias("done"), F.array().cast(_RANGE).alias("out"))
@@ -37,6 +42,71 @@ def chunk_ranges(duration: Column, pauses: Column, target: float = 30.0, least:
     return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, whole).when(F.size(made) == 0, whole).otherwise(made)
 
 
+def cut_ranges(durations: DataFrame, pauses: DataFrame, target: float = 30.0, least: float = 20.0, most: float = 35.0, lap: float = 1.5, rows: int = 50_000) -> DataFrame:
+    """(sample_id, i, s, e): ranges of each recording (sample_id, duration) to transcribe, cut at the pause (sample_id, s, e) nearest
+    the target, each beginning a little before the last one's end.
+
+    Pauses of 0.2 s and more count, by their start. No duration gives one empty range. Pauses come in order of time and a
+    recording is gone through once; only those within reach of the next cut are held.
+    """
+    d = durations.select("sample_id", F.greatest(F.lit(0.0), F.coalesce(F.col("duration").cast("double"), F.lit(0.0))).alias("d"))
+    at = d.join(pauses.where("e - s >= 0.2 and s > 0").select("sample_id", F.col("s").cast("double").alias("p")), "sample_id").where("p < d")
+    kind = dict(d.dtypes)["sample_id"]
+    events = d.select("sample_id", "d", F.lit(None).cast("double").alias("p")).union(at.select("sample_id", "d", "p"))
+    ordered = events.repartition("sample_id").sortWithinPartitions("sample_id", F.asc_nulls_first("p"))
+
+    def run(parts):
+        out, held = [], deque()
+        key, end, cur, i, open_ = None, 0.0, 0.0, 0, False
+
+        def cuts(seen: float):
+            """The ranges that no pause from ``seen`` on can change."""
+            nonlocal cur, i, open_
+            while open_:
+                goal, lo, hi = (min(end, cur + x) for x in (target, least, most))
+                if hi <= cur + 0.05:
+                    open_ = False
+                    break
+                if seen <= hi:
+                    return
+                while held and held[0] < lo:
+                    held.popleft()
+                near = min(((abs(p - goal), p) for p in takewhile(lambda p: p <= hi, held)), default=(0.0, hi))[1]
+                cut = goal if near <= cur + 0.05 else near
+                yield key, i, cur, cut
+                i, open_ = i + 1, cut < end
+                back = max(0.0, cut - lap)
+                cur = cut if back <= cur + 0.01 else back
+            if not i and seen == math.inf:
+                yield key, 0, 0.0, end
+                i = 1
+
+        frame = lambda: pd.DataFrame(out, columns=["sample_id", "i", "s", "e"])
+        started = False
+        for part in parts:
+            for k, d_, p in zip(part["sample_id"], part["d"].tolist(), part["p"].tolist()):
+                new = p != p  # a recording's own row comes first
+                for r in cuts(math.inf if new else p) if started else ():
+                    out.append(r)
+                    if len(out) >= rows:
+                        yield frame()
+                        out.clear()
+                if new:
+                    key, end, cur, i, open_, started = k, d_, 0.0, 0, True, True
+                    held.clear()
+                elif open_:
+                    held.append(p)
+        for r in cuts(math.inf) if started else ():
+            out.append(r)
+            if len(out) >= rows:
+                yield frame()
+                out.clear()
+        yield frame()
+
+    made = ordered.mapInPandas(run, f"sample_id {kind}, i int, s double, e double")
+    return made.select("sample_id", "i", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"))
+
+
 def fixed_ranges(start: Column, end: Column, most: float) -> Column:
     """A range in pieces of at most ``most`` seconds; nothing of an empty range."""
     n = F.greatest(F.lit(1), F.ceil((end - start) / most)).cast("int")

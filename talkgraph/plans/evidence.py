@@ -101,10 +101,8 @@ def pred09_distinct_summaries(s, d):
 @query()
 def w06_asr_chunks(s, d):
     """Ranges to transcribe of each session, cut at its pauses."""
-    dur = table(s, d, "utterances").where("end_time is not null").groupBy("sample_id").agg(F.max("end_time").alias("duration"))
-    p = prosody(s, d).groupBy("sample_id").agg(F.collect_list(F.struct("s", "e")).alias("pauses"))
-    x = dur.join(p, "sample_id", "left").withColumn("pauses", F.coalesce("pauses", F.array().cast("array<struct<s:double,e:double>>")))
-    return x.select("sample_id", F.posexplode(A.chunk_ranges(F.col("duration"), F.col("pauses"))).alias("i", "r")).select("sample_id", "i", "r.s", "r.e")
+    dur = table(s, d, "utterances").where("end_time is not null and abs(end_time) < double('infinity')").groupBy("sample_id").agg(F.max("end_time").alias("duration"))
+    return A.cut_ranges(dur, prosody(s, d)).select("sample_id", "i", "s", "e")
 
 
 @query("select utterance_id, i, round(a+i*2.0::double,3) s, round(least(b,a+(i+1)*2.0::double),3) e from (select distinct utterance_id, start_time a, end_time b from utterances where end_time > start_time), lateral (select unnest(range(greatest(1,ceil((b-a)/2.0::double)::int)))::int i)")
